@@ -132,7 +132,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         elif b > a:
             factor, value = 1, np.zeros(1, dtype=np.uint64)
             for k in range(a, b):
-                value += words[k] * np.uint64(factor)
+                value += words[k : k + 1] * np.uint64(factor)
                 factor = factor * _STEP & _MASK
             out.append(mix64(value + np.uint64(b - a)))
         else:

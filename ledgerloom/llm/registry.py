@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from ledgerloom.llm.fingerprints import op10_fingerprints
+
+QUERIES: dict = {
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLES: dict = {}
