@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from ledgerloom.llm.fingerprints import op10_fingerprints
+from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
 
 QUERIES: dict = {
+    "op7_line_dedup": op7_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op7_line_dedup": OP7_SQL,
+}
