@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
+from ledgerloom.llm.pieces import op8_sentencepiece
 
 QUERIES: dict = {
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {
