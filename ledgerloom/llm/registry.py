@@ -6,8 +6,10 @@ from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
 from ledgerloom.llm.neardup import OP6_SQL, op6_near_duplicates
 from ledgerloom.llm.pieces import op8_sentencepiece
+from ledgerloom.llm.quality import op3_quality
 
 QUERIES: dict = {
+    "op3_quality": op3_quality,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
