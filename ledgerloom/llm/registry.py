@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
+from ledgerloom.llm.mixing import OP9_SQL, op9_mixing
 from ledgerloom.llm.neardup import OP6_SQL, op6_near_duplicates
 from ledgerloom.llm.pieces import op8_sentencepiece
 from ledgerloom.llm.quality import op3_quality
@@ -13,9 +14,11 @@ QUERIES: dict = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {
     "op6_near_duplicates": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_mixing": OP9_SQL,
 }
