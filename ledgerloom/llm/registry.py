@@ -8,9 +8,11 @@ from ledgerloom.llm.mixing import OP9_SQL, op9_mixing
 from ledgerloom.llm.neardup import OP6_SQL, op6_near_duplicates
 from ledgerloom.llm.pieces import op8_sentencepiece
 from ledgerloom.llm.quality import op3_quality
+from ledgerloom.llm.secrets import OP5_SQL, op5_secrets
 
 QUERIES: dict = {
     "op3_quality": op3_quality,
+    "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
@@ -18,6 +20,7 @@ QUERIES: dict = {
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {
+    "op5_secrets": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_mixing": OP9_SQL,
