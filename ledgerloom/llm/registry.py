@@ -6,11 +6,13 @@ from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
 from ledgerloom.llm.mixing import OP9_SQL, op9_mixing
 from ledgerloom.llm.neardup import OP6_SQL, op6_near_duplicates
+from ledgerloom.llm.neighbours import op1_nearest_neighbours
 from ledgerloom.llm.pieces import op8_sentencepiece
 from ledgerloom.llm.quality import op3_quality
 from ledgerloom.llm.secrets import OP5_SQL, op5_secrets
 
 QUERIES: dict = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_quality": op3_quality,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
