@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm.fingerprints import op10_fingerprints
+from ledgerloom.llm.licenses import OP4_SQL, op4_licenses
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
 from ledgerloom.llm.mixing import OP9_SQL, op9_mixing
 from ledgerloom.llm.neardup import OP6_SQL, op6_near_duplicates
@@ -14,6 +15,7 @@ from ledgerloom.llm.secrets import OP5_SQL, op5_secrets
 QUERIES: dict = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_line_dedup": op7_line_dedup,
@@ -22,6 +24,7 @@ QUERIES: dict = {
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {
+    "op4_licenses": OP4_SQL,
     "op5_secrets": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
