@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.chat import OP2_SQL, op2_preferences
 from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.licenses import OP4_SQL, op4_licenses
 from ledgerloom.llm.lines import OP7_SQL, op7_line_dedup
@@ -14,6 +15,7 @@ from ledgerloom.llm.secrets import OP5_SQL, op5_secrets
 
 QUERIES: dict = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_preferences": op2_preferences,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
@@ -24,6 +26,7 @@ QUERIES: dict = {
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {
+    "op2_preferences": OP2_SQL,
     "op4_licenses": OP4_SQL,
     "op5_secrets": OP5_SQL,
     "op6_near_duplicates": OP6_SQL,
