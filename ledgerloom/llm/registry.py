@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+
 from ledgerloom.llm.chat import OP2_SQL, op2_preferences
 from ledgerloom.llm.fingerprints import op10_fingerprints
 from ledgerloom.llm.licenses import OP4_SQL, op4_licenses
@@ -14,6 +16,7 @@ from ledgerloom.llm.quality import op3_quality
 from ledgerloom.llm.secrets import OP5_SQL, op5_secrets
 
 QUERIES: dict = {
+    "pipeline": run,
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_preferences": op2_preferences,
     "op3_quality": op3_quality,
