@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     A round costs a few shuffles of the remaining links; the number of rounds grows with the logarithm of the longest
     chain. Each round is written to the checkpoint folder, so a lost executor costs one round at most.
     """
+    links = cut_lineage(links)
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     edges = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(edges)

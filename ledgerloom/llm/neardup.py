@@ -2,14 +2,12 @@
 
 Two permutations make every signature: sigma places a shingle in a universe of 2**32 slots, pi ranks the slots, and
 coordinate k ranks slots shifted round by k. Documents of equal shingle sets become one class. Classes that share a band
-meet in that band's bucket, where packed signatures say which pairs can reach the threshold:
+meet in that band's bucket: packed signatures say which pairs can reach the threshold, full shingle sets say which do.
 
-1. each bucket proposes a maximum spanning forest of its likely pairs - one link less than members, not all pairs;
-2. proposals are verified on full shingle sets; verified links are joined to components;
-3. likely pairs of one bucket that are still in different components are verified too.
-
-So a group of any number of near copies costs about a link for each member, and no link between different components is
-left untried. Buckets are cut into blocks, pairs of blocks are compared in tasks of bounded size.
+A bucket never gives out its pairs: what leaves it is a spanning forest of its exact links, less than a row for each
+member. The first bands are settled and joined to components; of the other bands only buckets that still hold different
+components are opened. A pair is looked at in the first band that it shares, and nowhere else. Buckets are cut into
+blocks, and pairs of blocks are compared in tasks of bounded size, so no group is too large and no pair is left out.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +30,11 @@ COORDS = BANDS * ROWS
 LIKELY = 0.55
 #: Members of a bucket that one task compares with as many others at most.
 BLOCK = 1024
+#: Bands that are settled before the others: 19 of 20 pairs at the threshold share one of them.
+FIRST_BANDS = 8
 NUMERATOR = 75
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary"
+_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary, packed binary"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -55,7 +56,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "k1", "k2", "bands", "sig"]
+    names = ["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "packed"]
+    closed = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = text_bytes(batch.column(1))
         for a, b in chunks([len(t) for t in texts]):
@@ -82,131 +84,136 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0)[a:b], pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
+                    pa.array([closed.compress(t) if n else None for t, n in zip(texts[a:b], sizes, strict=True)], pa.binary()),
                 ],
                 names,
             )
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal coordinates of each row of a with each row of b, chance agreement of a byte taken out."""
-    out = np.empty((len(a), len(b)), dtype=np.float32)
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(axis=2, dtype=np.uint8 if COORDS < 256 else np.uint16)
-    return (out / COORDS - 1 / 256) / (1 - 1 / 256)
-
-
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum spanning forest of a symmetric matrix, over entries of LIKELY and more (Prim)."""
-    n = len(near)
-    todo = np.ones(n, dtype=bool)
-    best, origin, out = np.full(n, -1, dtype=np.float32), np.zeros(n, dtype=np.int64), []
-    for _ in range(n):
-        i = int(np.argmax(np.where(todo, best, -2)))
-        if best[i] >= LIKELY:
-            out.append((int(origin[i]), i))
-        todo[i] = False
-        closer = near[i] > best
-        best[closer], origin[closer] = near[i][closer], i
+def _agreement(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a with each row of b: the share of equal coordinates, chance agreement of a byte taken out, and
+    whether `band` is the first band that they share."""
+    share = np.empty((len(a), len(b)), dtype=np.float32)
+    first = np.empty((len(a), len(b)), dtype=bool)
+    for i in range(0, len(a), 32):
+        equal = a[i : i + 32, None, :] == b[None, :, :]
+        share[i : i + 32] = equal.sum(axis=2, dtype=np.uint8 if COORDS < 256 else np.uint16)
+        before = equal[:, :, : band * ROWS].reshape(*equal.shape[:2], band, ROWS)
+        first[i : i + 32] = ~before.all(axis=3).any(axis=2)
+    return (share / COORDS - 1 / 256) / (1 - 1 / 256), first
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of dense 0/1 blocks."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    at = [np.searchsorted(common, f) for f in flat]
+    for k in (0, 1):
+        at[k] = np.minimum(at[k], max(0, len(common) - 1))
+        hit = common[at[k]] == flat[k] if len(common) else np.zeros(len(flat[k]), dtype=bool)
+        order = np.argsort(at[k][hit], kind="stable")
+        owner[k], at[k] = owner[k][hit][order], at[k][hit][order]
+    for begin in range(0, len(common), width):
+        blocks = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            x, y = np.searchsorted(at[k], [begin, begin + width])
+            block = np.zeros((n, min(width, len(common) - begin)), dtype=np.float32)
+            block[owner[k][x:y], at[k][x:y] - begin] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric 0/1 matrix of links."""
+    todo, out = np.ones(len(linked), dtype=bool), []
+    while todo.any():
+        root = int(np.argmax(todo))
+        todo[root] = False
+        front = [root]
+        while front:
+            i = front.pop()
+            fresh = np.flatnonzero(linked[i] & todo)
+            todo[fresh] = False
+            out += [(i, int(j)) for j in fresh]
+            front += fresh.tolist()
     return out
 
 
-def _cells(forest: bool):
-    """Stream cells (band, hash, i, j): proposals of each cell, or all its likely pairs of different components."""
-
-    def proposals(ids: np.ndarray, second: np.ndarray, sigs: list[bytes], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        packed = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), COORDS)
-        if second.any():  # two blocks: only pairs across
-            left, right = np.flatnonzero(~second), np.flatnonzero(second)
-            if not len(left):
-                return
-        else:
-            left = right = np.arange(len(ids))
-        if not forest and label.min() == label.max():
-            return
-        near = _agreement(packed[left], packed[right])
-        if forest:
-            square = np.zeros((len(ids), len(ids)), dtype=np.float32)
-            square[np.ix_(left, right)] = near
-            square[np.ix_(right, left)] = near.T
-            np.fill_diagonal(square, 0)
-            pairs = np.array(_forest(square), dtype=np.int64).reshape(-1, 2)
-            a, b = pairs[:, 0], pairs[:, 1]
-        else:
-            x, y = np.nonzero((near >= LIKELY) & (label[left][:, None] != label[right][None, :]))
-            a, b = left[x], right[y]
-        a, b = ids[a], ids[b]
-        yield np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def settle(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, labels = rows["rep"].to_numpy(), rows["label"].to_numpy()
-            second, sigs = rows["second"].to_numpy(), rows["sig"].to_pylist()
-            begin, a, b = 0, [], []
-            for end in ends:
-                if end - begin > 1:
-                    for x, y in proposals(ids[begin:end], second[begin:end], sigs[begin:end], labels[begin:end]):
-                        a.append(x)
-                        b.append(y)
-                begin = end
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([*held, batch])
-            keys = [rows[c].to_numpy() for c in ("band", "hash", "i", "j")]
-            new = np.zeros(len(rows) - 1, dtype=bool)
-            for k in keys:
-                new |= k[1:] != k[:-1]
-            ends = np.flatnonzero(new) + 1
-            if len(ends):
-                yield from settle(rows.slice(0, ends[-1]), ends)
-                rows = rows.slice(ends[-1])
-            held = rows.combine_chunks().to_batches()
-        if held:
-            rows = pa.Table.from_batches(held)
-            yield from settle(rows, np.array([len(rows)]))
-
-    return run
-
-
-def _pairs(members: DataFrame, forest: bool, parts: int) -> DataFrame:
-    """members: band, hash, rep, label, sig, size (of the bucket)."""
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream cells (band, hash, i, j), members in order, and emit a spanning forest of the exact links of each."""
+    opened = zstandard.ZstdDecompressor()
+    held: list[pa.RecordBatch] = []
+
+    def cell(band: int, ids: np.ndarray, second: np.ndarray, sigs: list, packed: list, label: np.ndarray) -> np.ndarray:
+        nothing = np.zeros((0, 2), dtype=np.int64)
+        if label.min() == label.max():
+            return nothing
+        signs = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), COORDS)
+        left = np.flatnonzero(~second)
+        right = np.flatnonzero(second) if second.any() else left
+        if not len(left):
+            return nothing
+        share, first = _agreement(signs[left], signs[right], band)
+        likely = (share >= LIKELY) & first & (label[left][:, None] != label[right][None, :])
+        rows, cols = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+        if not len(rows):
+            return nothing
+        need = np.union1d(left[rows], right[cols])
+        texts = [opened.decompress(packed[i]) for i in need]
+        sets = dict(zip(need.tolist(), (s for a, b in chunks([len(t) for t in texts]) for s in shingle_sets(texts[a:b])), strict=True))
+        ours, theirs = [sets[i] for i in left[rows].tolist()], [sets[i] for i in right[cols].tolist()]
+        both = _overlaps(ours, theirs)
+        sizes = np.array([len(s) for s in ours])[:, None] + np.array([len(s) for s in theirs])[None, :]
+        good = likely[np.ix_(rows, cols)] & (100 * both >= NUMERATOR * (sizes - both)) & (both > 0)
+        linked = np.zeros((len(ids), len(ids)), dtype=bool)
+        linked[np.ix_(left[rows], right[cols])] = good
+        pairs = np.array(_forest(linked | linked.T), dtype=np.int64).reshape(-1, 2)
+        return ids[pairs]
+
+    def settle(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, labels, bands = rows["rep"].to_numpy(), rows["label"].to_numpy(), rows["band"].to_numpy()
+        second, sigs, packed = rows["second"].to_numpy(), rows["sig"].to_pylist(), rows["packed"].to_pylist()
+        begin, out = 0, [np.zeros((0, 2), dtype=np.int64)]
+        for end in ends:
+            if end - begin > 1:
+                own = slice(begin, end)
+                out.append(cell(int(bands[begin]), ids[own], second[own], sigs[own], packed[own], labels[own]))
+            begin = end
+        pairs = np.concatenate(out)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        new = np.zeros(len(rows) - 1, dtype=bool)
+        for c in ("band", "hash", "i", "j"):
+            key = rows[c].to_numpy()
+            new |= key[1:] != key[:-1]
+        ends = np.flatnonzero(new) + 1
+        if len(ends):
+            yield from settle(rows.slice(0, ends[-1]), ends)
+            rows = rows.slice(ends[-1])
+        held = rows.combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield from settle(rows, np.array([len(rows)]))
+
+
+def _linked(members: DataFrame, contents: DataFrame, parts: int) -> DataFrame:
+    """members: band, hash, rep, label, size (of the bucket); contents: rep, sig, packed."""
     blocks = members.withColumn("n", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep", "band"), "n"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
-        "band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "sig",
+        "band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label",
         (F.col("own") > F.col("other")).alias("second"),
     )
-    placed = cells.repartition(parts, "band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "rep")
-    return placed.mapInArrow(_cells(forest), "a long, b long").distinct()
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, b, text of a, text of b: those whose full shingle sets are near enough."""
-    for batch in batches:
-        left, right = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-        good = np.zeros(batch.num_rows, dtype=bool)
-        for x, y in chunks([len(s) + len(t) for s, t in zip(left, right, strict=True)]):
-            for k, (s, t) in enumerate(zip(shingle_sets(left[x:y]), shingle_sets(right[x:y]), strict=True), x):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good[k] = len(s) > 0 and 100 * both >= NUMERATOR * (len(s) + len(t) - both)
-        rows = np.flatnonzero(good)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """texts: doc_id, body."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = texts.join(wanted, "doc_id", "left_semi")
-    joined = (
-        pairs.join(some.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), "a")
-        .join(some.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b")), "b")
-        .select("a", "b", "body_a", "body_b")
-    )
-    return joined.mapInArrow(_verify, "a long, b long").distinct()
+    full = cells.join(contents, "rep").select("band", "hash", "i", "j", "rep", "label", "second", "sig", "packed")
+    placed = full.repartition(parts, "band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "rep")
+    return placed.mapInArrow(_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,34 +229,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = shuffle_parts(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     sketches = cut_lineage(texts.mapInArrow(_sketch, _SKETCH))
-    classes = (
-        sketches.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
+    full = sketches.where("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     h = F.xxhash64("rep")
     buckets = banded.groupBy("band", "hash").agg(
         F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")
     ).where("size > 1")
-    # buckets of the same members make the same proposals: one of them is enough
+    # of buckets of the same members only the first has pairs that no earlier band holds
     chosen = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash", "size")
-    members = cut_lineage(
-        banded.join(chosen, ["band", "hash"]).join(classes.select("rep", "sig"), "rep")
-        .select("band", "hash", "rep", "sig", "size")
-    )
-    first = cut_lineage(_pairs(members.withColumn("label", F.col("rep")), True, parts))
-    links = cut_lineage(_verified(first, texts, parts))
+    members = cut_lineage(banded.join(chosen, ["band", "hash"]).select("band", "hash", "rep", "size"))
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    contents = cut_lineage(full.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "packed"))
+    links = cut_lineage(_linked(members.where(F.col("band") < FIRST_BANDS).withColumn("label", F.col("rep")), contents, parts))
     found = cut_lineage(components(links))
-    labelled = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "label", F.coalesce("component", "rep")
-    )
+    labelled = members.where(F.col("band") >= FIRST_BANDS).join(
+        found.select(F.col("node").alias("rep"), "component"), "rep", "left"
+    ).select("band", "hash", "rep", "size", F.coalesce("component", "rep").alias("label"))
     mixed = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    second = cut_lineage(
-        _pairs(labelled.join(mixed.select("band", "hash"), ["band", "hash"]), False, parts).join(first, ["a", "b"], "left_anti")
-    )
-    if not second.isEmpty():
-        more = _verified(second, texts, parts)
-        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    more = _linked(labelled.join(mixed.select("band", "hash"), ["band", "hash"]), contents, parts)
+    found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     named = classes.select("k1", "k2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
