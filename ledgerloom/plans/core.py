@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.functions import money, text
+from ledgerloom.lineage import written
 from ledgerloom.operators import classify as K
 from ledgerloom.operators import coverage as C
 from ledgerloom.operators import ledger as L
@@ -409,7 +410,7 @@ def chosen_months(statements: DataFrame) -> DataFrame:
 
 
 def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statements = orders_statements(spark, sf_dir)
-    months = chosen_months(statements)
+    statements = written(orders_statements(spark, sf_dir))
+    months = written(chosen_months(statements))
     rows = C.covered_rows(classified(spark, sf_dir), C.covered_days(statements), months)
     return M.revenue_metrics(rows, months)
