@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import cases, core  # noqa: F401  (cases adds its queries to those of core)
+from ledgerloom.plans import cases, core, evidence  # noqa: F401  (each adds its queries to those of core)
 
 QUERIES: dict = {**core.QUERIES}
 ORACLES: dict = {**core.ORACLES}
