@@ -15,7 +15,7 @@ CONSTANT = COLUMNS[:8]
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, content, sha256) of every file below a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.select(F.col("path").alias("source_file"), F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
