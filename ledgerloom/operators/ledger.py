@@ -212,3 +212,16 @@ def currency_of(statements: DataFrame, suspect: bool = False, overrides: DataFra
     kept = [c for c in statements.columns if c != "currency"]
     return out.select(*kept, currency.alias("currency"), source.alias("currency_source"),
                       (~F.coalesce(currency, F.lit("")).isin("CAD", "USD")).alias("currency_unknown"))
+
+
+def replace_findings(findings: DataFrame, fresh: DataFrame, rule_set: str) -> DataFrame:
+    """V2: findings of other rule sets stay, those of `rule_set` give way to `fresh`; each stands once."""
+    return findings.where(F.col("rule_set") != rule_set).unionByName(fresh.withColumn("rule_set", F.lit(rule_set))).dropDuplicates()
+
+
+def refresh_currency(ledger: DataFrame, statements: DataFrame) -> DataFrame:
+    """The currency that a row's statement (stmt_id, account_id) has now; rows without a statement keep theirs."""
+    now = statements.select("stmt_id", "account_id", F.col("currency").alias("_now"), F.lit(True).alias("_known")).dropDuplicates(["stmt_id", "account_id"])
+    out = ledger.join(now, ["stmt_id", "account_id"], "left")
+    kept = F.when(F.col("_known"), F.col("_now")).otherwise(F.col("currency"))
+    return out.select(*[kept.alias(c) if c == "currency" else F.col(c) for c in ledger.columns])

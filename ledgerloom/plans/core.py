@@ -414,3 +414,25 @@ def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = written(chosen_months(statements))
     rows = C.covered_rows(classified(spark, sf_dir), C.covered_days(statements), months)
     return M.revenue_metrics(rows, months)
+
+
+@query("v2_replaced_findings", over_orders("""
+SELECT stmt_id, 'total' AS code, 'totals' AS rule_set FROM statements WHERE stmt_ord % 2 = 0
+UNION ALL SELECT stmt_id, 'new', 'shared' FROM statements WHERE stmt_ord % 5 = 0"""))
+def v2_replaced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement has an old finding of the shared rules, every second one of the totals; every fifth gets a new shared one, twice."""
+    st = orders_statements(spark, sf_dir)
+    old = st.select("stmt_id", F.lit("old").alias("code"), F.lit("shared").alias("rule_set")).unionByName(
+        st.where("stmt_ord % 2 = 0").select("stmt_id", F.lit("total").alias("code"), F.lit("totals").alias("rule_set"))
+    )
+    fresh = st.where("stmt_ord % 5 = 0").select("stmt_id", F.lit("new").alias("code"))
+    return L.replace_findings(old, fresh.unionByName(fresh), "shared")
+
+
+@query("j7_refreshed_currency", over_orders("""
+SELECT l.id, CASE WHEN s.stmt_id IS NULL THEN l.currency WHEN s.stmt_ord % 3 = 0 THEN 'EUR' ELSE s.currency END AS currency
+FROM ledger l LEFT JOIN statements s ON s.stmt_id = l.stmt_id"""))
+def j7_refreshed_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = orders_statements(spark, sf_dir)
+    new = st.withColumn("currency", F.when(F.col("stmt_ord") % 3 == 0, "EUR").otherwise(F.col("currency")))
+    return L.refresh_currency(orders_ledger(spark, sf_dir), new).select("id", "currency")
