@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Text bytes that are turned into arrays at once inside a task; only one longer text goes beyond it.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +84,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * CHUNK_BYTES)
+            n = max(n, CHUNK_BYTES + (1 << 16))
             factors = np.full(n, _WORD_PRIME, dtype=np.uint64)
             factors[0] = 1
             self.up = np.multiply.accumulate(factors)
