@@ -18,6 +18,8 @@ from ledgerloom.llm.common import WORD_CLASS, cut_lineage, table
 
 #: Tokens of a slot, at most; a small corpus is cut into MIN_SLOTS slots or more.
 BLOCK_TOKENS, MIN_SLOTS = 4096, 65_536
+#: Sources whose targets are broadcast, at most; more are joined by a shuffle, whose large partitions Spark splits.
+BROADCAST_SOURCES = 20_000
 #: Times a source's own size that it may give.
 MOST_REPEATS = 3
 _CHUNK, _CELLS = 1 << 16, 1 << 14
@@ -106,8 +108,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranked.where(F.col("rank") < MOST_REPEATS * blocks)
         .groupBy("place", (F.col("rank") % blocks).cast("long").alias("block")).agg(F.count("*").alias("uses"))
     )
-    named = sized.join(F.broadcast(targets.select(F.col("source").alias("s"), "place", "source_size", "target")),
-                       F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    of_source = targets.select(F.col("source").alias("s"), "place", "source_size", "target")
+    if targets.count() <= BROADCAST_SOURCES:
+        of_source = F.broadcast(of_source)
+    named = sized.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     shuffled = named.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
         "chunk", F.substring("key", 1, 3)
     )
