@@ -158,7 +158,18 @@ def is_revenue() -> Column:
 def classify(ledger: DataFrame) -> DataFrame:
     """K2 and K5: adds category, revenue_status, classification_source, classification_reason, reviewed,
     internal_transfer and transfer_match to rows with description, tx_type and account_id."""
-    out = ledger.withColumn("category", suggested_category(F.col("description"), F.col("tx_type"), F.col("account_id")))
+    servus = F.startswith(F.coalesce("account_id", F.lit("")), F.lit(rules.SERVUS_INTEREST[0]))
+    if ledger.isStreaming:  # row by row: a stream has no distinct descriptions at hand
+        out = ledger.withColumn("category", suggested_category(F.col("description"), F.col("tx_type"), F.col("account_id")))
+    else:
+        account = F.when(F.col("_servus"), F.lit(rules.SERVUS_INTEREST[0])).otherwise(F.lit(""))
+        texts = ledger.select("description", "tx_type", servus.alias("_servus")).distinct()
+        named = texts.select(
+            F.col("description").alias("_d"), F.col("tx_type").alias("_t"), F.col("_servus").alias("_s"),
+            suggested_category(F.col("description"), F.col("tx_type"), account).alias("category"),
+        )
+        same = F.col("description").eqNullSafe(F.col("_d")) & F.col("tx_type").eqNullSafe(F.col("_t")) & (servus == F.col("_s"))
+        out = ledger.join(named, same, "left").drop("_d", "_t", "_s")
     out = out.withColumn("revenue_status", status_of(F.col("category"), F.col("tx_type")))
     settled = (F.col("revenue_status") != rules.REVIEW) | (F.col("tx_type") == "debit")
     return out.select(
@@ -205,13 +216,19 @@ def classify_local(ledger: DataFrame, payer_rules: DataFrame | None = None) -> D
     )
     out = ledger.withColumn("merchant", F.nullif(deposit, F.lit(""))).join(debits, ["case_id", "account_id", "merchant"], "left")
     credit = (F.col("tx_type") == "credit") & ~F.startswith("classification_source", F.lit("underwriter"))
-    gone = exclusion_category(F.col("description"))
+    own = F.col("description")
+    facts = ledger.where("tx_type = 'credit'").select("description").distinct().select(
+        own.alias("_d"), exclusion_category(own).alias("_category"), exclusion_reason(own).alias("_reason"),
+        F.regexp_like(text, F.lit(rules.MERCHANT_SERVICE)).alias("_service"), F.regexp_like(text, F.lit(rules.EXPLICIT_RECEIPT)).alias("_explicit"),
+    )
+    out = out.join(facts, own.eqNullSafe(F.col("_d")), "left")
+    gone = F.col("_category")
     out = out.withColumn("_gone", credit & gone.isNotNull()).withColumn("_was", F.col("revenue_status"))
-    out = set_decision(out, F.col("_gone"), F.lit(rules.NON), F.lit("rules"), exclusion_reason(F.col("description")), gone)
+    out = set_decision(out, F.col("_gone"), F.lit(rules.NON), F.lit("rules"), F.col("_reason"), gone)
     open_ = credit & ~F.col("_gone") & (F.col("_was") == rules.REVIEW)
     merchant = open_ & F.coalesce("has_fees", F.lit(False))
-    service = open_ & ~merchant & F.regexp_like(text, F.lit(rules.MERCHANT_SERVICE))
-    explicit = open_ & ~merchant & ~service & F.regexp_like(text, F.lit(rules.EXPLICIT_RECEIPT))
+    service = open_ & ~merchant & F.coalesce("_service", F.lit(False))
+    explicit = open_ & ~merchant & ~service & F.coalesce("_explicit", F.lit(False))
     out = out.withColumn("_m", merchant).withColumn("_s", service).withColumn("_e", explicit)
     out = set_decision(out, F.col("_m"), F.lit(rules.TRUE), F.lit("merchant_reference_rule"),
                        F.lit("Merchant deposit reference matches merchant fee debits in this account."), F.lit(rules.POS))
