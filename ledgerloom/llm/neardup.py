@@ -90,17 +90,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _agreement(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a with each row of b: the share of equal coordinates, chance agreement of a byte taken out, and
-    whether `band` is the first band that they share."""
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a with each row of b: the share of equal coordinates, chance agreement of a byte taken out."""
     share = np.empty((len(a), len(b)), dtype=np.float32)
-    first = np.empty((len(a), len(b)), dtype=bool)
     for i in range(0, len(a), 32):
         equal = a[i : i + 32, None, :] == b[None, :, :]
         share[i : i + 32] = equal.sum(axis=2, dtype=np.uint8 if COORDS < 256 else np.uint16)
-        before = equal[:, :, : band * ROWS].reshape(*equal.shape[:2], band, ROWS)
-        first[i : i + 32] = ~before.all(axis=3).any(axis=2)
-    return (share / COORDS - 1 / 256) / (1 - 1 / 256), first
+    return (share / COORDS - 1 / 256) / (1 - 1 / 256)
+
+
+def _first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a with each row of b, hashes of the earlier bands: whether none is the same, so that the pair
+    meets in no earlier bucket. Bytes of coordinates can't tell: those of other coordinates agree once in 256."""
+    first = np.ones((len(a), len(b)), dtype=bool)
+    for k in range(a.shape[1]):
+        first &= a[:, k, None] != b[None, :, k]
+    return first
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -147,7 +152,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened = zstandard.ZstdDecompressor()
     held: list[pa.RecordBatch] = []
 
-    def cell(band: int, ids: np.ndarray, second: np.ndarray, sigs: list, packed: list, label: np.ndarray) -> np.ndarray:
+    def cell(ids: np.ndarray, second: np.ndarray, sigs: list, packed: list, label: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         nothing = np.zeros((0, 2), dtype=np.int64)
         if label.min() == label.max():
             return nothing
@@ -156,8 +161,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = np.flatnonzero(second) if second.any() else left
         if not len(left):
             return nothing
-        share, first = _agreement(signs[left], signs[right], band)
-        likely = (share >= LIKELY) & first & (label[left][:, None] != label[right][None, :])
+        likely = _agreement(signs[left], signs[right]) >= LIKELY
+        likely &= _first(earlier[left], earlier[right]) & (label[left][:, None] != label[right][None, :])
         rows, cols = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
         if not len(rows):
             return nothing
@@ -176,11 +181,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, labels, bands = rows["rep"].to_numpy(), rows["label"].to_numpy(), rows["band"].to_numpy()
         second, sigs, packed = rows["second"].to_numpy(), rows["sig"].to_pylist(), rows["packed"].to_pylist()
+        earlier = np.concatenate([c.flatten().to_numpy() for c in rows["earlier"].chunks])  # as many in each row as its band
+        at = np.concatenate([[0], np.cumsum(bands, dtype=np.int64)])
         begin, out = 0, [np.zeros((0, 2), dtype=np.int64)]
         for end in ends:
             if end - begin > 1:
                 own = slice(begin, end)
-                out.append(cell(int(bands[begin]), ids[own], second[own], sigs[own], packed[own], labels[own]))
+                before = earlier[at[begin] : at[end]].reshape(end - begin, int(bands[begin]))
+                out.append(cell(ids[own], second[own], sigs[own], packed[own], labels[own], before))
             begin = end
         pairs = np.concatenate(out)
         if len(pairs):
@@ -205,13 +213,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(members: DataFrame, contents: DataFrame, parts: int) -> DataFrame:
-    """members: band, hash, rep, label, size (of the bucket); contents: rep, sig, packed."""
+    """members: band, hash, rep, label, size (of the bucket); contents: rep, bands, sig, packed."""
     blocks = members.withColumn("n", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep", "band"), "n"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
         "band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label",
         (F.col("own") > F.col("other")).alias("second"),
     )
-    full = cells.join(contents, "rep").select("band", "hash", "i", "j", "rep", "label", "second", "sig", "packed")
+    full = cells.join(contents, "rep").select(
+        "band", "hash", "i", "j", "rep", "label", "second", "sig", "packed", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")
+    )
     placed = full.repartition(parts, "band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "rep")
     return placed.mapInArrow(_links, "a long, b long").distinct()
 
@@ -240,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash", "size")
     members = cut_lineage(banded.join(chosen, ["band", "hash"]).select("band", "hash", "rep", "size"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    contents = cut_lineage(full.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "packed"))
+    contents = cut_lineage(full.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig", "packed"))
     links = cut_lineage(_linked(members.where(F.col("band") < FIRST_BANDS).withColumn("label", F.col("rep")), contents, parts))
     found = cut_lineage(components(links))
     labelled = members.where(F.col("band") >= FIRST_BANDS).join(

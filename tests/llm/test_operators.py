@@ -82,6 +82,17 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_of_many_groups_of_two(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(2000):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+        moved = rng.choice([14, 11, 8, 5])  # of 100 shingles each: similarities 0.75, 0.80, 0.85, 0.90
+        rows += [(2 * g, " ".join(words[:104])), (2 * g + 1, " ".join(words[moved : 104 + moved]))]
+    out = neardup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert [r.doc_id for r in out if r.component_id != r.doc_id - r.doc_id % 2] == []
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = neardup.near_duplicates(docs_of(spark, odd_rows())).collect()
     assert len(out) == len(odd_rows())
