@@ -69,10 +69,54 @@ def _running(df: DataFrame, group: list[str], chunk: str, order: list[Column], a
     return own.join(before, [*group, chunk]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
+def settled_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None
+) -> DataFrame:
+    """`mix_sources`, with what each source's slots leave over or take too much settled on its next or last blocks: every
+    source gives its target, rounded to a word, however small it is beside a block. `row_col`: a column that names the
+    rows of `docs`; it comes back as `row`.
+
+    The slots of a source take its blocks in turn, over and over, so what is taken is always a beginning of the source
+    repeated; settled, it is the first `target` words of that, whichever slots and blocks they came by. A row's taken
+    words are whole copies of it and, in the row that the target ends in, its first words. Rows without an id are
+    placed by `row_col` where there is one.
+    """
+    key = F.col(id_col).cast("long").cast("string")
+    row = [] if row_col is None else [F.col(row_col).alias("row")]
+    if row:
+        key = F.coalesce(key, F.concat(F.lit("row "), F.col(row_col).cast("string")))
+    sized = cut_lineage(
+        docs.select(
+            *row, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+            word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(key, F.lit("")).cast("binary")).alias("key"),
+        )
+    )
+    named = _named(sized, source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    order = [F.col(c) for c in ("key", "doc_id", "size", *["row"] * len(row))]
+    begun = _running(named.withColumn("chunk", F.substring("key", 1, 3)), ["place"], "chunk", order, F.col("size"), "start")
+    quota = F.floor(F.col("target") + 0.5)
+    whole = F.coalesce(F.floor(quota / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
+    ends = F.greatest(F.lit(0), F.least(F.col("size"), quota - whole * F.col("source_size") - F.col("start")))
+    return begun.select(
+        *["row"] * len(row), "doc_id", "size", "source_size", "target", (whole * F.col("size") + ends).cast("long").alias("taken")
+    )
+
+
+def _named(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """`sized` with place, source_size and target of its source."""
+    of_source = targets.select(F.col("source").alias("s"), "place", "source_size", "target")
+    if targets.count() <= BROADCAST_SOURCES:
+        of_source = F.broadcast(of_source)
+    return sized.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row (doc_id, size, source_size, target, taken) for each row of `docs`: words of the text, of its source,
     its source's share of the mix, and the words of it that the mix takes, repeats counted (three times size at most).
 
+    Each slot counts as a block, though the last block of a source holds only its remainder: a source not much larger
+    than a block misses its target. `settled_mix` meets it; this is what OP9_SQL says.
+
     Null text has size 0; a null source is a source of its own, last in order; rows that repeat an id or have none are
     documents of their own, in an arbitrary but equal place if text lengths are equal. An empty table gives no rows.
     """
@@ -108,11 +152,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ranked.where(F.col("rank") < MOST_REPEATS * blocks)
         .groupBy("place", (F.col("rank") % blocks).cast("long").alias("block")).agg(F.count("*").alias("uses"))
     )
-    of_source = targets.select(F.col("source").alias("s"), "place", "source_size", "target")
-    if targets.count() <= BROADCAST_SOURCES:
-        of_source = F.broadcast(of_source)
-    named = sized.join(of_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    shuffled = named.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
+    shuffled = _named(sized, targets).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
         "chunk", F.substring("key", 1, 3)
     )
     begun = cut_lineage(

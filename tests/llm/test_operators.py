@@ -222,6 +222,35 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix_sources(docs_of(spark, [(1, "", "s"), (2, None, None)])).count() == 2
 
 
+def test_mixing_settled_on_each_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MIN_SLOTS", 64)  # blocks of hundreds of words: most sources are near one or below
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, rng.randint(0, 60)), "hot") for i in range(700)]
+    tiny = [("a", 50), ("b", 300), ("c", 1), ("d", 245), ("e", 1000), (None, 70)]
+    for name, words in tiny:
+        while words:
+            n = min(words, rng.randint(1, 40))
+            rows.append((len(rows), sentence(rng, n), name))
+            words -= n
+    rows += [(None, sentence(rng, 9), "hot"), (None, sentence(rng, 30), "b"), (3, sentence(rng, 8), "e")]
+    sources, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sources[s] += len(t.split())
+    want = brute_targets(sources)
+    docs = docs_of(spark, [(k, t, s) for k, (_, t, s) in enumerate(rows)])
+    docs = docs.withColumnRenamed("doc_id", "at").join(spark.createDataFrame(list(enumerate(i for i, _, _ in rows)), "at long, doc_id long"), "at")
+    out = mixing.settled_mix(docs, row_col="at").collect()
+    assert sorted(r.row for r in out) == list(range(len(rows)))
+    for r in out:
+        i, t, s = rows[r.row]
+        assert (r.doc_id, r.size) == (i, len(t.split())) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    assert len(mixing.settled_mix(docs_of(spark, odd_rows())).collect()) == len(odd_rows())
+    assert mixing.settled_mix(docs_of(spark, [])).count() == 0
+    assert [r.taken for r in mixing.settled_mix(docs_of(spark, [(1, "", "s"), (2, None, None)])).collect()] == [0, 0]
+
+
 def test_secret_spans_and_ownership(spark):
     live, shown = "Abcdef0123456789ABCDEFxyz", "Zbcdef0123456789ABCDEFxyz"
     rows = odd_rows() + [(30, f"é password = 'hunter22' x {live}", "s"), (31, "AKIA" + "A1" * 10 + " " + "0f" * 12 + " pwd", "s"),
