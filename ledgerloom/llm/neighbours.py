@@ -111,11 +111,13 @@ def _nearest(k: int):
     """Stream cells, queries first, and emit (query_id, vec_id, score): the k best of each query in this task."""
 
     def best(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((v, s, q))
+        order = np.lexsort((s, v, q))
         q, v, s = q[order], v[order], s[order]
-        same = (q[1:] == q[:-1]) & (v[1:] == v[:-1])  # equal rows stand side by side: their scores are equal too
+        same = (q[1:] == q[:-1]) & (v[1:] == v[:-1])  # rows of one id side by side, the nearest first
         fresh = np.append(True, ~same) if len(q) else np.zeros(0, dtype=bool)
         q, v, s = q[fresh], v[fresh], s[fresh]
+        order = np.lexsort((v, s, q))
+        q, v, s = q[order], v[order], s[order]
         starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, dtype=np.int64)
         rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
         return q[rank < k], v[rank < k], s[rank < k]
@@ -124,16 +126,19 @@ def _nearest(k: int):
         qs, vs, qx, vx = ids[query], ids[~query], x[query], x[~query]
         if not len(qs) or not len(vs):
             return
+        named, at = np.unique(vs, return_index=True)  # rows of one id stand side by side
         for begin in range(0, len(qs), 16):
             part = qx[begin : begin + 16]
             d = np.sqrt(((part[:, None, :] - vx[None, :, :]) ** 2).sum(axis=2))
-            d[qs[begin : begin + 16, None] == vs[None, :]] = np.inf
+            if len(named) < len(vs):
+                d = np.minimum.reduceat(d, at, axis=1)
+            d[qs[begin : begin + 16, None] == named[None, :]] = np.inf
             if d.shape[1] > k:
                 near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
             else:
                 near = np.ones(d.shape, dtype=bool)
             a, b = np.nonzero(near & np.isfinite(d))
-            yield best(qs[begin + a], vs[b], d[a, b])
+            yield best(qs[begin + a], named[b], d[a, b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -201,13 +206,13 @@ def _met(vectors: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFram
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec in double precision) of the rows that take part: an id, and a vector of the most frequent length
-    without null or non-finite components, not all zero."""
+    without null or non-finite components, not all zero. Rows equal in both count once."""
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).dropna()
     good = own.where(
         F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     )
     most = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").select("n").first()
-    return good.where(F.size("vec") == (most[0] if most else 0))
+    return good.where(F.size("vec") == (most[0] if most else 0)).dropDuplicates(["vec_id", "vec"])
 
 
 def nearest(

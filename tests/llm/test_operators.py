@@ -188,6 +188,26 @@ def test_neighbours_reach_their_recall_and_ties(spark):
     assert len(few) == 6 and neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_count_a_repeated_id_once(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((300, 8)).astype(np.float32))]
+    rows += [(1, rows[0][1] + np.float32(1e-3))] * 30  # the nearest id, far more than k times
+    rows += [(2, rows[0][1] + np.float32(1e-2 + 1e-4 * j)) for j in range(30)]
+    rows += [(100, rows[100][1] + np.float32(1e-3 * j)) for j in range(30)]  # a query
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    ids, e = np.array([i for i, _ in rows]), np.array([v for _, v in rows]).astype(float)
+    got = defaultdict(list)
+    for probes in (1, 64):  # with one bucket a table, all queries are compared with every row
+        got.clear()
+        for r in neighbours.nearest(table, probes=probes, projections=40 if probes == 1 else 2).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        for q in (0, 100, 200):
+            d = np.sqrt(((e[:, None, :] - e[None, ids == q, :]) ** 2).sum(axis=2)).min(axis=1)
+            best = sorted((min(d[ids == v]), v) for v in set(ids.tolist()) - {q})[:10]
+            assert len(got[q]) == len(set(got[q])) == 10
+            assert probes == 64 and len({v for _, v in best} & set(got[q])) >= 8 or got[q] == [v for _, v in best]
+
+
 def brute_targets(sizes):
     names = sorted([s for s in sizes if s is not None]) + [s for s in sizes if s is None]
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
