@@ -1,5 +1,9 @@
+from collections import Counter
+
 import corpus_pipeline as pipeline
 import pytest
+from ledgerloom.llm.mixing import source_targets, word_count
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,6 +37,25 @@ def test_no_near_copies_are_left(stages):
     assert near_duplicates(stages[3][1]).where("not kept").count() == 0
 
 
+def test_mix_takes_each_row_on_its_own(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    # a third without an id, and ids that several rows share; each text names its row
+    ids = F.when(F.col("doc_id") % 3 > 0, F.floor(F.col("doc_id") / 5))
+    texts = F.concat(F.lit("row"), F.col("doc_id").cast("string"), F.repeat(F.lit(" x"), (F.col("doc_id") % 37 * 9).cast("int")))
+    sources = F.concat(F.lit("s"), (F.col("doc_id") % 3 + F.when(F.col("doc_id") % 50 == 0, 3).otherwise(0)).cast("string"))
+    odd = docs.withColumn("text", texts).withColumn("source", sources).withColumn("doc_id", ids.cast("long")).cache()
+    rows = {r.text.split()[0]: r for r in odd.collect()}
+    words, copies = Counter(), Counter()
+    for r in pipeline.mix(spark, odd, SMALL).collect():
+        own = rows[r.text.split()[0]]
+        assert (r.doc_id, r.source) == (own.doc_id, own.source) and own.text.startswith(r.text) and r.n_chars == len(r.text)
+        words[r.source] += len(r.text.split())
+        copies[own.text.split()[0]] += 1
+    assert max(copies.values()) <= 3
+    targets = {r.source: r.target for r in source_targets(odd.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))).collect()}
+    assert all(abs(words[s] - t) <= 0.5 for s, t in targets.items())
+
+
 def test_pieces_decode_to_their_texts(spark, stages):
     from ledgerloom.llm.pieces import codec, default_model
 
