@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written once to the checkpoint folder that executors share (spark.checkpoint.dir; a new one only where the
-    session has none, as in tests) and read from there."""
+    """`df` written once to the checkpoint folder that executors share (spark.checkpoint.dir) and read from there.
+
+    Where that is unset, a folder is made on a local master alone, as in tests; on a cluster it would not be shared, so
+    it is refused.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
