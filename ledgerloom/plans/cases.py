@@ -152,7 +152,70 @@ def g6_payment_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.payment_pattern(_payments(spark, sf_dir), ["account_id", "lender"]).select("account_id", "lender", "installment", "frequency")
 
 
-@query("g5_payment_streams")
+def _streams_sql(rows: str, group: str) -> str:
+    """CTEs up to `streamed`: the rows (id, date, seq, amount and `group`) with their stream, payment by payment in a recursion."""
+    same = lambda x, y: " AND ".join(f"{x}.{c.strip()} IS NOT DISTINCT FROM {y}.{c.strip()}" for c in group.split(","))
+    of = lambda x: ", ".join(f"{x}.{c.strip()}" for c in group.split(","))
+    return f"""per_day AS (
+    SELECT {group}, date, count(*) AS n, list({{'amount': amount, 'id': id}} ORDER BY seq, id) AS paid,
+        row_number() OVER (PARTITION BY {group} ORDER BY date DESC) AS r FROM {rows} GROUP BY {group}, date
+), usual AS (
+    SELECT {group}, n, count(*) AS k FROM per_day WHERE r <= 6 GROUP BY {group}, n
+), gated AS (
+    SELECT u.*, (SELECT list_sort(list_transform(arg_min(d.paid, d.r), lambda x: x.amount)) FROM per_day d WHERE {same("d", "u")} AND d.n = u.n) AS anchors
+    FROM usual u WHERE n >= 2 AND k >= 3 AND k >= 0.6 * (SELECT least(6, max(r)) FROM per_day d WHERE {same("d", "u")})
+), walk AS (
+    SELECT {of("g")}, n, 1 AS r, d.paid AS todo, range(1, n + 1) AS free, anchors, NULL::BIGINT AS id, NULL::BIGINT AS stream
+    FROM gated g JOIN (SELECT * EXCLUDE (n) FROM per_day) d ON d.r = 1 AND {same("d", "g")}
+    UNION ALL
+    SELECT {of("p")}, p.n, p.r + (len(p.rest) = 0)::INT, CASE WHEN len(p.rest) = 0 THEN d.paid ELSE p.rest END,
+        CASE WHEN len(p.rest) = 0 THEN range(1, p.n + 1) ELSE p.unused END, p.anchors, p.id, p.stream
+    FROM (
+        SELECT {of("w")}, n, r, todo[best.place].id AS id, best.stream AS stream,
+            list_transform(range(1, n + 1), lambda s: CASE WHEN s = best.stream THEN todo[best.place].amount ELSE anchors[s] END) AS anchors,
+            [todo[j] for j in range(1, len(todo) + 1) if j <> best.place] AS rest, list_filter(free, lambda s: s <> best.stream) AS unused
+        FROM (
+            SELECT *, list_sort(flatten(list_transform(CASE WHEN len(free) > 0 THEN free ELSE range(1, n + 1) END, lambda s: list_transform(
+                range(1, len(todo) + 1), lambda j: {{'gap': abs(todo[j].amount - anchors[s]), 'stream': s, 'place': j}}))))[1] AS best
+            FROM walk WHERE todo IS NOT NULL
+        ) w
+    ) p LEFT JOIN per_day d ON d.r = p.r + 1 AND {same("d", "p")}
+), streamed AS (
+    SELECT x.*, coalesce(w.stream, 1) AS stream FROM {rows} x LEFT JOIN walk w ON w.id = x.id AND {same("w", "x")}
+)"""
+
+
+def _pattern_sql(key: str) -> str:
+    """CTEs from `streamed` to `pattern`: installment and frequency of each stream."""
+    same = lambda x, y: " AND ".join(f"{x}.{c.strip()} IS NOT DISTINCT FROM {y}.{c.strip()}" for c in key.split(","))
+    return f"""six AS (
+    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date DESC, seq DESC) AS r FROM streamed s
+    WHERE date >= (SELECT max(date) FROM streamed q WHERE {same("q", "s")}) - 44
+), modal AS (
+    SELECT {key}, amount, count(*) AS k, max(r) AS oldest FROM six WHERE r <= 6 GROUP BY ALL
+), picked AS (
+    SELECT {key}, arg_max(amount, k * 100 + oldest) AS a, max(k) AS k, sum(k) AS n FROM modal GROUP BY {key}
+), gaps AS (
+    SELECT {key}, d, d - lag(d) OVER (PARTITION BY {key} ORDER BY d) AS g FROM (SELECT DISTINCT {key}, date AS d FROM six)
+), shape AS (
+    SELECT {key}, count(*) AS nd, count(g) AS ng, median(g) AS md, avg((g <= 4)::INT) AS f4, avg((g BETWEEN 6 AND 8)::INT) AS f7,
+        avg((g BETWEEN 12 AND 16)::INT) AS f14 FROM gaps GROUP BY {key}
+), pattern AS (
+    SELECT {", ".join("s." + c.strip() for c in key.split(","))}, CAST(CASE WHEN p.k >= greatest(2, 0.6 * p.n) THEN p.a ELSE l.amount END AS DECIMAL(18,2)) AS installment,
+        CASE WHEN nd >= 6 AND md <= 2 AND f4 >= 0.8 THEN 'Daily' WHEN ng >= 2 AND f7 >= 0.6 THEN 'Weekly' WHEN ng >= 2 AND f14 >= 0.6 THEN 'Bi-Weekly'
+             WHEN ng >= 3 AND md BETWEEN 2 AND 4 THEN '2-3x Weekly' WHEN md BETWEEN 26 AND 35 THEN 'Monthly' WHEN nd > 1 THEN NULL ELSE 'Monthly' END AS frequency
+    FROM shape s JOIN picked p ON {same("p", "s")} JOIN six l ON {same("l", "s")} AND l.r = 1
+)"""
+
+
+_EVENT_PAYMENTS = """, paid AS (
+    SELECT case_id, event_type AS lender, date, id, row_number() OVER (PARTITION BY case_id, event_type ORDER BY date, id) AS seq,
+        CAST(round(amount / 100) * 100 + 100 AS DECIMAL(18,2)) AS amount FROM daily WHERE tx_type = 'debit'
+), """
+
+
+@query("g5_payment_streams", over_events(f"""{_EVENT_PAYMENTS}{_streams_sql("paid", "case_id, lender")}
+SELECT case_id, lender, id, date, amount, CAST(stream AS INT) AS stream FROM streamed""", recursive=True))
 def g5_payment_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments of a case and creditor on the days of its accounts: many groups have several payments a day."""
     rows = _payments(spark, sf_dir).withColumn("account_id", F.lit("all")).withColumn(
@@ -171,14 +234,29 @@ def g7_latest_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _g7(orders_ledger(spark, sf_dir)).select("account_id", "id", "rank")
 
 
-@query("a10_seed_positions", over_orders("""
-SELECT case_id, account_id, lender, CASE WHEN reference <> '' THEN reference ELSE lender END AS reference,
-    CASE WHEN tier = 'Bank' THEN 'Other debt' WHEN tier IN ('Premium', 'Standard') THEN 'MCA' END AS kind, count(*) AS observed_payments,
-    CAST(sum(amount) AS DECIMAL(18,2)) AS observed_total, max(date) AS last_seen FROM ledger WHERE tx_type = 'debit' AND lender IS NOT NULL
-GROUP BY ALL"""))
+def _debit_days(ledger: DataFrame) -> DataFrame:
+    """The daily ledger with the accounts of a case taken together, so that creditors are paid several times a day."""
+    return ledger.withColumns({"account_id": F.lit("all"), "seq": F.row_number().over(Window.partitionBy("case_id").orderBy("date", "id"))})
+
+
+@query("a10_seed_positions", over_events(f"""), matched AS (
+    SELECT case_id, lender, tier, reference, description, date, id, amount, row_number() OVER (PARTITION BY case_id ORDER BY date, id) AS seq, tx_type FROM daily
+), paid AS (
+    SELECT * FROM matched WHERE tx_type = 'debit' AND lender IS NOT NULL
+), {_streams_sql("paid", "case_id, lender, reference")}, {_pattern_sql("case_id, lender, reference, stream")}, seen AS (
+    SELECT case_id, lender, reference, stream, any_value(tier) AS tier, count(*) AS observed_payments, CAST(sum(amount) AS DECIMAL(18,2)) AS observed_total,
+        max(date) AS last_seen, string_agg(strftime(date, '%Y-%m-%d') || ':' || id, ',' ORDER BY date, id) AS evidence,
+        max(stream) OVER (PARTITION BY case_id, lender, reference) AS streams FROM streamed GROUP BY case_id, lender, reference, stream
+)
+SELECT s.case_id, s.lender, s.stream::INT AS stream, CASE WHEN s.reference <> '' THEN s.reference ELSE s.lender END
+        || CASE WHEN streams > 1 THEN ' / payment stream ' || s.stream ELSE '' END AS reference,
+    CASE WHEN tier = 'Bank' THEN 'Other debt' WHEN tier IN ('Premium', 'Standard') THEN 'MCA' END AS kind, frequency, installment AS payment, observed_payments,
+    observed_total, last_seen, evidence FROM seen s JOIN pattern p ON p.case_id = s.case_id AND p.lender = s.lender AND p.reference = s.reference AND p.stream = s.stream
+""".removeprefix(")"), recursive=True))
 def a10_seed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.seed_positions(orders_ledger(spark, sf_dir)).select(
-        "case_id", "account_id", "lender", "reference", "kind", "observed_payments", "observed_total", "last_seen"
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["date"].cast("string"), e["id"].cast("string"))), ",")
+    return D.seed_positions(_debit_days(events_ledger(spark, sf_dir))).select(
+        "case_id", "lender", "stream", "reference", "kind", "frequency", "payment", "observed_payments", "observed_total", "last_seen", shown.alias("evidence")
     )
 
 

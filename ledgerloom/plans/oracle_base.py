@@ -95,5 +95,5 @@ def over_orders(sql: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{LEDGER.strip()}{sql}"
 
 
-def over_events(sql: str) -> str:
-    return f"WITH {EVENTS.strip()}{sql}"
+def over_events(sql: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{EVENTS.strip()}{sql}"

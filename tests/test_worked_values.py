@@ -117,44 +117,68 @@ def test_advance_is_repaid_or_unknown(spark):
     assert first(pay).status == "unknown: no funding deposit"
 
 
-def walk(rows):
-    """The streams of one group, restated row by row."""
-    days = defaultdict(list)
-    for r in rows:
-        days[r[0]].append(r)
-    latest = sorted(days)[-6:]
-    n, k = max(Counter(len(days[d]) for d in latest).items(), key=lambda x: x[1])
-    if n < 2 or k < 3 or k < 0.6 * len(latest):
-        return {r[1]: 1 for r in rows}
-    anchors = sorted(r[2] for r in next(days[d] for d in reversed(latest) if len(days[d]) == n))
+PAYMENTS = "case_id long, account_id string, lender string, reference string, date date, id long, amount decimal(18,2), seq long"
+
+
+def streams_of(spark, *days):
+    """The amounts of each stream, in order of date; days: the amounts paid on successive days."""
+    paid = [(d, a) for d, amounts in enumerate(days) for a in amounts]
+    rows = [(1, "a", "L", "", date(2026, 2, 1) + timedelta(d), i, Decimal(a), i) for i, (d, a) in enumerate(paid)]
     out = {}
-    for d in sorted(days, reverse=True):
-        left, free = list(days[d]), set(range(n))
-        while left:
-            _, s, i = min((abs(r[2] - anchors[s]), s, i) for s in (free or range(n)) for i, r in enumerate(left))
-            r = left.pop(i)
-            out[r[1]], anchors[s] = s + 1, r[2]
-            free.discard(s)
+    for r in debt.concurrent_streams(spark.createDataFrame(rows, PAYMENTS)).orderBy("date", "seq").collect():
+        out.setdefault(r.stream, []).append(int(r.amount))
     return out
 
 
 def test_payment_streams(spark):
+    assert streams_of(spark, *[(174, 192)] * 6) == {1: [174] * 6, 2: [192] * 6}
+    assert streams_of(spark, *[(192, 174)] * 6) == {1: [174] * 6, 2: [192] * 6}  # the order of a day's rows tells nothing
+    assert streams_of(spark, *[(175,)] * 6, *[(192,)] * 6) == {1: [175] * 6 + [192] * 6}  # one payment that changed
+    assert streams_of(spark, *[(174, 174)] * 6) == {1: [174] * 6, 2: [174] * 6}
+    assert streams_of(spark, *[(100, 500)] * 2, *[(200, 510)] * 4) == {1: [100] * 2 + [200] * 4, 2: [500] * 2 + [510] * 4}
+    assert streams_of(spark, (5, 99, 100), *[(100, 200)] * 5) == {1: [100] * 6, 2: [5, 99] + [200] * 5}  # the third of a day joins the nearest
+    assert streams_of(spark, *[(100, 200)] * 2, *[(100,)] * 4) == {1: [100, 200, 100, 200] + [100] * 4}  # two of six days
+    six = [(1, "b", "L", "", date(2026, 2, 1) + timedelta(i // 2), 1000 + i, Decimal((174, 192)[i % 2]), i) for i in range(12)]
+    pattern = debt.payment_pattern(debt.concurrent_streams(spark.createDataFrame(six, PAYMENTS)), [*debt.GROUP, "stream"]).collect()
+    assert sorted((r.installment, r.frequency) for r in pattern) == [(174, "Daily"), (192, "Daily")]
+
+
+def test_payment_streams_lose_no_payment(spark):
     rng = random.Random(1)
-    rows, want, at = [], {}, 0
-    for g in range(40):
-        own = []
+    rows, at = [], 0
+    for g in range(30):
         for d in range(rng.randint(1, 9)):
             for _ in range(rng.choice([1, 2, 2, 2, 3])):
-                own.append((date(2026, 1, 1) + timedelta(d), at, Decimal(rng.randint(1, 6) * 50)))
+                rows.append((1, f"a{g}", "L", "", date(2026, 1, 1) + timedelta(d), at, Decimal(rng.randint(1, 6) * 50), at))
                 at += 1
-        want.update(walk(own))
-        rows += [(1, f"a{g}", "L", "", *r[:2], r[2], r[1]) for r in own]
-    kind = "case_id long, account_id string, lender string, reference string, date date, id long, amount decimal(18,2), seq long"
-    got = {r.id: r.stream for r in debt.concurrent_streams(spark.createDataFrame(rows, kind)).collect()}
-    assert got == want
-    six = [(1, "b", "L", "", date(2026, 2, 1) + timedelta(i // 2), 1000 + i, Decimal((174, 192)[i % 2]), i) for i in range(12)]
-    pattern = debt.payment_pattern(debt.concurrent_streams(spark.createDataFrame(six, kind)), [*debt.GROUP, "stream"]).collect()
-    assert sorted((r.installment, r.frequency) for r in pattern) == [(174, "Daily"), (192, "Daily")]
+    rows += [(1, "undated", "L", "", None if i == 3 else date(2026, 1, 1 + i // 2), at + i, Decimal(7), at + i) for i in range(12)]
+    out = debt.concurrent_streams(spark.createDataFrame(rows, PAYMENTS)).collect()
+    assert sorted(r.id for r in out) == sorted(r[5] for r in rows)
+    by_day = defaultdict(list)
+    for r in out:
+        by_day[r.account_id, r.date].append(r.stream)
+    most = {g: max(s) for g, s in ((r.account_id, [x.stream for x in out if x.account_id == r.account_id]) for r in out)}
+    for (g, _), streams in by_day.items():  # a day's payments share a stream only when each has one
+        assert len(set(streams)) == min(len(streams), most[g]) or most[g] == 1
+    assert most["undated"] == 1
+
+
+def test_debt_rows_of_a_callers_matcher_and_cited_rows(spark):
+    kind = "case_id long, account_id string, id long, date date, month string, tx_type string, amount decimal(18,2), description string, seq long"
+    day = date(2026, 1, 5)
+    rows = [(1, "a", 1, day, "2026-01", "debit", Decimal(10), "GREENBOX CAPITAL"), (1, "a", 2, day, "2026-01", "debit", Decimal(20), "ACME CO"),
+            (1, "a", 3, day, "2026-01", "credit", Decimal(30), "ACME CO"), (1, "a", 4, day, "2026-01", "debit", Decimal(40), "RENT")]
+    ledger = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], kind)
+    own = lambda text: F.when(F.contains(text, F.lit("ACME")), F.struct(F.lit("Standard").alias("tier"), F.lit("ACME").alias("lender")))
+    assert [(r.id, r.lender) for r in debt.debt_payments(ledger, own).collect()] == [(2, "ACME")]
+    assert [r.lender for r in debt.seed_positions(ledger, own).collect()] == ["ACME"]
+    seeded = debt.seed_positions(ledger)
+    cited = seeded.limit(1).withColumns({"position_id": F.lit("chat:x"), "contract": F.lit("chat:x"), "lender": F.lit("Landlord"),
+                                         "evidence": F.transform("evidence", lambda e: e.withField("id", F.lit(4).cast("long")))})
+    got = {r.id: r.lender for r in debt.debt_payment_rows(ledger, seeded.unionByName(cited)).collect()}
+    assert got == {1: "GREENBOX", 4: "Landlord"}
+    no = cited.withColumns({"verified": F.lit(True), "status": F.lit("Not debt")})
+    assert {r.id for r in debt.debt_payment_rows(ledger, seeded.unionByName(no)).collect()} == {1}
 
 
 def test_lines_of_words(spark):
