@@ -35,15 +35,24 @@ def signed(amount: str = "amount", side: str = "tx_type") -> Column:
     return F.when(F.col(side) == "credit", F.col(amount)).otherwise(-F.col(amount))
 
 
+#: Customers whose orders make five cases of four accounts each, so cases and accounts grow with the data.
+BLOCK = 500
+
+
+def account_number() -> Column:
+    return (F.floor(F.col("o_custkey") / BLOCK) * 20 + F.col("o_custkey") % 20).cast("long")
+
+
 def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, account_id, currency, stmt_id, stmt_ord, seq, id, date, month, tx_type, amount, description, balance."""
     side = F.when(F.col("o_orderstatus") == "F", "debit").otherwise("credit")
     day = F.col("o_orderdate").cast("date")
+    number = account_number()
     rows = table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") % 5).cast("long").alias("case_id"),
-        F.concat(F.lit("acct:"), (F.col("o_custkey") % 20).cast("string")).alias("account_id"),
+        (F.floor(F.col("o_custkey") / BLOCK) * 5 + F.col("o_custkey") % 5).cast("long").alias("case_id"),
+        F.concat(F.lit("acct:"), number.cast("string")).alias("account_id"),
         F.when(F.col("o_custkey") % 4 == 0, "USD").otherwise("CAD").alias("currency"),
-        F.concat_ws(":", F.lit("acct"), (F.col("o_custkey") % 20).cast("string"), month_of(day)).alias("stmt_id"),
+        F.concat_ws(":", F.lit("acct"), number.cast("string"), month_of(day)).alias("stmt_id"),
         (F.year(day) * 12 + F.month(day)).cast("int").alias("stmt_ord"),
         F.col("o_orderkey").cast("long").alias("id"), day.alias("date"), month_of(day).alias("month"), side.alias("tx_type"),
         F.col("o_totalprice").cast(CENTS).alias("amount"), _text(side, F.col("o_orderkey")).alias("description"),

@@ -7,6 +7,7 @@ from ledgerloom.lineage import written
 from ledgerloom.operators import classify as K
 from ledgerloom.operators import coverage as C
 from ledgerloom.operators import debt as D
+from ledgerloom.operators import decision as X
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import metrics as M
 from ledgerloom.operators import policy as P
@@ -68,19 +69,19 @@ def _reciprocal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row names the account five numbers on (credits) or back (debits), on one of 200 days and of one of 40 amounts."""
     n = F.element_at(F.split("account_id", ":"), 2).cast("long")
     family = F.when(n % 5 == 0, "vancity:").when(n % 5 == 1, "scotia:").otherwise("bmo_business:")
-    other = F.when(F.col("tx_type") == "credit", (n + 5) % 20).otherwise((n + 15) % 20)
+    other = n - n % 20 + F.when(F.col("tx_type") == "credit", n + 5).otherwise(n + 15) % 20
     return orders_ledger(spark, sf_dir).withColumns({
         "account_id": F.concat(family, n.cast("string")), "target": F.when(F.col("id") % 7 != 0, F.concat(family, other.cast("string"))),
         "date": F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") % 200).cast("int")),
         "amount": (F.col("id") % 40 + 1).cast(CENTS), "currency": F.lit("CAD"),
-        "holder": F.when(n % 5 != 2, F.concat(F.lit("Acme "), (n % 5).cast("string"), F.when(n > 9, " Inc").otherwise(" INC."))),
+        "holder": F.when(n % 5 != 2, F.concat(F.lit("Acme "), (n % 5).cast("string"), F.when(n % 20 > 9, " Inc").otherwise(" INC."))),
     })
 
 
 @query("j2_reciprocal_transfers", over_orders(""", r AS (
     SELECT id, case_id, tx_type, number % 5 AS f, CASE WHEN number % 5 = 0 THEN 'vancity:' WHEN number % 5 = 1 THEN 'scotia:' ELSE 'bmo_business:' END || number AS acc,
         CASE WHEN id % 7 <> 0 THEN CASE WHEN number % 5 = 0 THEN 'vancity:' WHEN number % 5 = 1 THEN 'scotia:' ELSE 'bmo_business:' END
-            || CASE WHEN tx_type = 'credit' THEN (number + 5) % 20 ELSE (number + 15) % 20 END END AS target, id % 200 AS d, id % 40 AS a FROM ledger
+            || (number // 20 * 20 + CASE WHEN tx_type = 'credit' THEN (number + 5) % 20 ELSE (number + 15) % 20 END) END AS target, id % 200 AS d, id % 40 AS a FROM ledger
 ), met AS (
     SELECT c.case_id, c.id AS cid, x.id AS did, c.f FROM r c JOIN r x ON c.tx_type = 'credit' AND x.tx_type = 'debit' AND c.case_id = x.case_id
         AND x.acc = c.target AND x.target = c.acc AND c.acc <> x.acc AND c.d = x.d AND c.a = x.a
@@ -398,13 +399,9 @@ def _ladder(column: str, steps: list[tuple], last: int, op: str) -> str:
 
 
 _INDUSTRY_ROWS = ", ".join("({}, '{}', {}, {})".format(i, n.replace("'", "''"), *P.rules.INDUSTRIES[n]) for i, n in enumerate(sorted(P.rules.INDUSTRIES)))
-_SCORE = f"""
-WITH ind(i, name, points, season) AS (VALUES {_INDUSTRY_ROWS}), c AS (
-    SELECT c_custkey AS case_id, c_acctbal * 25 AS r, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal / 200 END AS t, CASE WHEN c_custkey % 13 <> 0 THEN abs(c_acctbal) / 150 END AS v,
-        c_custkey % 60 AS n, c_custkey % 50 AS con, c_custkey % 30 AS b, c_custkey % 6 AS pos, c_custkey % 4 AS len, c_custkey % 7 AS ret, c_custkey % 100 AS mon,
-        c_custkey % {len(P.rules.INDUSTRIES) + 1} AS ind, CASE WHEN c_custkey % 9 <> 0 THEN 400 + c_custkey % 450 END AS cr, c_custkey % 4 AS q,
-        CASE WHEN c_acctbal > 0 THEN (c_acctbal * 25 - abs(c_acctbal) * 15 - abs(c_acctbal) * 5) / (c_acctbal * 25) * 100 END AS margin FROM customer
-), s AS (
+#: Points of cases `c` (r revenue, t trend, v volatility, n deposits, con concentration, b burden, pos, len lenders, ret returned, mon months,
+#: ind industry, cr credit, q records, u verification, margin) and their total.
+_POINTS = """s AS (
     SELECT case_id, CASE WHEN r >= 150000 THEN 17 WHEN r >= 75000 THEN 14 WHEN r >= 40000 THEN 11 WHEN r >= 20000 THEN 8 WHEN r >= 10000 THEN 6 ELSE 0 END AS revenue,
         CASE WHEN t IS NULL THEN 0 WHEN t > 15 THEN 6 WHEN t >= 5 THEN 5 WHEN t >= -5 THEN 4 WHEN t >= -10 THEN 2 WHEN t >= -20 THEN 1 ELSE 0 END AS trend,
         CASE WHEN n >= 40 THEN 5 WHEN n >= 20 THEN 4 WHEN n >= 10 THEN 3 WHEN n >= 5 THEN 2 ELSE 0 END AS deposits,
@@ -415,12 +412,19 @@ WITH ind(i, name, points, season) AS (VALUES {_INDUSTRY_ROWS}), c AS (
         CASE WHEN mon >= 84 THEN 6 WHEN mon >= 48 THEN 5 WHEN mon >= 24 THEN 4 WHEN mon >= 12 THEN 3 WHEN mon >= 6 THEN 1 ELSE 0 END AS time,
         points AS industry, season AS seasonality,
         CASE WHEN cr IS NULL THEN 0 WHEN cr >= 750 THEN 6 WHEN cr >= 700 THEN 5 WHEN cr >= 650 THEN 4 WHEN cr >= 600 THEN 3 WHEN cr >= 550 THEN 2 WHEN cr >= 500 THEN 1 ELSE 0 END AS credit,
-        CASE q WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS records, CASE q WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS verification,
+        CASE q WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS records, CASE u WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS verification,
         CASE WHEN con <= 20 THEN 2 WHEN con <= 35 THEN 1 ELSE 0 END AS concentration,
         CASE WHEN margin IS NULL THEN 0 WHEN margin >= 10 THEN 7 WHEN margin >= 5 THEN 6 WHEN margin >= 3 THEN 5 WHEN margin >= 0 THEN 4 WHEN margin >= -5 THEN 2 WHEN margin >= -10 THEN 1 ELSE 0 END AS cash
     FROM c LEFT JOIN ind ON ind.i = c.ind
 ), total AS (
-    SELECT *, revenue + trend + deposits + volatility + positions + burden + velocity + returned + time + industry + seasonality + credit + records + verification + concentration + cash AS score FROM s
+    SELECT *, revenue + trend + deposits + volatility + positions + burden + velocity + returned + time + industry + seasonality + credit + records + verification + concentration + cash AS score FROM s"""
+_SCORE = f"""
+WITH ind(i, name, points, season) AS (VALUES {_INDUSTRY_ROWS}), c AS (
+    SELECT c_custkey AS case_id, c_acctbal * 25 AS r, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal / 200 END AS t, CASE WHEN c_custkey % 13 <> 0 THEN abs(c_acctbal) / 150 END AS v,
+        c_custkey % 60 AS n, c_custkey % 50 AS con, c_custkey % 30 AS b, c_custkey % 6 AS pos, c_custkey % 4 AS len, c_custkey % 7 AS ret, c_custkey % 100 AS mon,
+        c_custkey % {len(P.rules.INDUSTRIES) + 1} AS ind, CASE WHEN c_custkey % 9 <> 0 THEN 400 + c_custkey % 450 END AS cr, c_custkey % 4 AS q, c_custkey % 4 AS u,
+        CASE WHEN c_acctbal > 0 THEN (c_acctbal * 25 - abs(c_acctbal) * 15 - abs(c_acctbal) * 5) / (c_acctbal * 25) * 100 END AS margin FROM customer
+), {_POINTS}
 )"""
 
 
@@ -488,86 +492,172 @@ def r8_r9_r10_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- The decision run ---------------------------------------------------------------------------------------------------------
+#
+# Every case differs by its number k: pending deposits are decided but for k % 5 = 4, amounts are small for k % 7 = 6, the opening
+# balances of k % 11 = 10 are unknown, and what people stated and confirmed depends on k as well.
+
+_FACTS = {
+    "industry": "CASE WHEN k % 9 <> 8 THEN list_extract(['{}', '{}', 'none'], (k % 3 + 1)::INT) END".format(*sorted(P.rules.INDUSTRIES)[:2]),
+    "credit": "CASE WHEN k % 4 <> 1 THEN 500 + k * 13 % 350 END",
+}
+
+
+def _decision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("case_id")
+    rows = orders_ledger(spark, sf_dir).withColumn("amount", F.when(k % 7 == 6, 1 + F.col("id") % 50).otherwise(F.col("amount")).cast(CENTS))
+    own = K.classify_local(K.classify(rows)).withColumn("statement_period_start", F.trunc("date", "month"))
+    late = (k % 6 == 5) & (F.col("description") == "RENT")
+    decided = (k % 5 != 4) & (F.col("revenue_status") == P.rules.REVIEW)
+    return own.withColumns({
+        "description": F.when(late, F.lit("RENT PAST DUE")).otherwise(F.col("description")),
+        "revenue_status": F.when(decided, F.lit(P.rules.NON)).otherwise(F.col("revenue_status")),
+    })
+
 
+def _decision_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, bad = F.col("case_id"), (F.col("stmt_ord") % 17 == 3) & (F.col("case_id") % 3 == 1)
+    return orders_statements(spark, sf_dir).withColumns({
+        "opening": F.when(k % 11 != 10, F.col("opening")), "rate": F.lit(1).cast("decimal(18,6)"),
+        "status": F.when(bad, F.lit("review_required")).otherwise(F.lit(X.ALLOWED_STATUSES[0])),
+        "extraction_method": F.when(F.col("stmt_ord") % 29 == 0, F.lit(X.READ_BY_MODEL[0])).otherwise(F.lit("text")),
+    })
 
-def decision_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11 for every case: measures of the offer months, distinct lenders paid, returns, operating outflows."""
-    statements = written(orders_statements(spark, sf_dir))
-    ledger = written(classified(spark, sf_dir))
+
+def _decision_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Everything that a decision run rests on."""
+    ledger, statements = written(_decision_ledger(spark, sf_dir)), written(_decision_statements(spark, sf_dir))
     months = written(chosen_months(statements))
-    rows = written(C.covered_rows(ledger, C.covered_days(statements), months))
-    paid = D.debt_payments(rows)
-    lenders = paid.groupBy("case_id").agg(F.count_distinct("lender").alias("lenders"))
-    outflows = M.monthly_average(rows.where("tx_type = 'debit'").join(paid.select("case_id", "id"), ["case_id", "id"], "left_anti"), months, "operating_outflows")
-    debt = M.monthly_average(paid, months, "monthly_debt")
-    returns = M.returned_payments(ledger).select("case_id", F.col("returned_items").alias("returned"))
-    out = M.revenue_metrics(rows, months).withColumnRenamed("average", "revenue")
-    for part in (lenders, outflows, debt, returns):
-        out = out.join(part, "case_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("lenders", "returned")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("operating_outflows", "monthly_debt")}
-    return written(out.withColumns(zero))
-
-
-_INPUTS = f"""{_OFFER}, m AS (
-    SELECT c.case_id, c.month, c.covered_days / c.calendar_days AS f FROM coverage c JOIN offer o ON o.case_id = c.case_id AND o.month = c.month
+    k = F.col("case_id")
+    groups = D.debt_payments(ledger).groupBy("case_id", "account_id", "lender", F.col("reference").alias("contract")).agg(F.first("tier").alias("tier"))
+    no = (F.col("lender") == "BIZFUND") & (k % 2 == 0)
+    positions = written(groups.select(
+        F.concat_ws("/", "account_id", "lender", "contract").alias("position_id"), "case_id", "account_id", "lender", "contract", F.lit("").alias("reference"),
+        F.when(F.col("tier").isin("Premium", "Standard"), "MCA").otherwise("Other debt").alias("kind"), F.when(no, "Not debt").otherwise("Active").alias("status"),
+        F.lit("Monthly").alias("frequency"), (100 + F.element_at(F.split("account_id", ":"), 2).cast("long") * 10).cast(CENTS).alias("payment"),
+        (k % 4 != 1).alias("verified"), F.array().cast("array<struct<id: bigint>>").alias("evidence"),
+    ))
+    inputs = written(X.underwriting_inputs(ledger, statements, months, positions))
+    findings = statements.where("status = 'review_required'").select("case_id", "stmt_id", F.when(k % 13 == 7, "Suspected manipulation of text").otherwise("Totals differ").alias("code"))
+    names = sorted(P.rules.INDUSTRIES)[:2]
+    signed = X.data_signature(ledger, statements)
+    cases = signed.select(
+        "case_id", F.when(k % 9 != 8, F.element_at(F.array(*map(F.lit, [*names, "none"])), (k % 3 + 1).cast("int"))).alias("industry"),
+        (6 + k * 7 % 100).alias("months_in_business"), F.element_at(F.array(*map(F.lit, P.RECORDS)), (k % 4 + 1).cast("int")).alias("public_records"),
+        F.element_at(F.array(*map(F.lit, P.VERIFICATION)), (F.floor(k / 2) % 4 + 1).cast("int")).alias("bank_verification"),
+        F.when(k % 4 != 1, 500 + k * 13 % 350).alias("credit_score"), (k % 2 == 0).alias("extraction_confirmed"), (k % 5 != 3).alias("pages_reviewed"),
+        (k % 4 != 2).alias("coverage_acknowledged"), (k % 3 != 1).alias("integrity_reviewed"), F.when(k % 6 != 0, "letter 7").otherwise(" ").alias("integrity_note"),
+        (k % 6 != 4).alias("compared"), (k % 8 != 5).alias("complete"), F.when(k % 3 == 0, F.col("signature")).when(k % 3 == 1, F.lit("of other data")).alias("override_signature"),
+        (3 + k % 7).cast("int").alias("repayment_term"), F.lit(None).cast("decimal(6,4)").alias("repayment_factor"), F.when(k % 3 == 2, 40).cast("decimal(6,2)").alias("advance_pct_revenue"),
+    )
+    flags = cases.where("case_id % 2 = 1").select("case_id", F.when(k % 4 == 1, "page").otherwise("integrity").alias("kind"))
+    return {"ledger": ledger, "statements": statements, "inputs": inputs, "findings": findings, "cases": written(cases), "flags": flags}
+
+
+_INPUTS = f"""{_OFFER}, dl AS (
+    SELECT l.* REPLACE (CASE WHEN case_id % 7 = 6 THEN CAST(1 + id % 50 AS DECIMAL(18,2)) ELSE amount END AS amount,
+        CASE WHEN case_id % 6 = 5 AND description = 'RENT' THEN 'RENT PAST DUE' ELSE description END AS description,
+        CASE WHEN case_id % 5 <> 4 AND revenue_status = 'Review Required' THEN 'Non-Revenue' ELSE revenue_status END AS revenue_status) FROM ledger l
+), m AS (
+    SELECT c.case_id, c.month, c.covered_days / c.calendar_days AS f, c.covered_days = c.calendar_days AS whole FROM coverage c
+    JOIN offer o ON o.case_id = c.case_id AND o.month = c.month
 ), rows AS (
-    SELECT l.* FROM ledger l JOIN covered d ON d.case_id = l.case_id AND d.day = l.date JOIN m ON m.case_id = l.case_id AND m.month = l.month
+    SELECT l.*, l.tx_type = 'debit' AND lender IS NOT NULL AND NOT (lender = 'BIZFUND' AND l.case_id % 2 = 0) AS debt
+    FROM dl l JOIN covered d ON d.case_id = l.case_id AND d.day = l.date JOIN m ON m.case_id = l.case_id AND m.month = l.month
 ), sums AS (
-    SELECT m.case_id, m.month, m.f, (SELECT coalesce(sum(amount), 0)::DOUBLE FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND r.tx_type = 'debit' AND lender IS NULL) / m.f AS o,
-        (SELECT coalesce(sum(amount), 0)::DOUBLE FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND r.tx_type = 'debit' AND lender IS NOT NULL) / m.f AS d,
-        (SELECT coalesce(sum(amount), 0)::DOUBLE FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND revenue_status = 'True Revenue') / m.f AS v FROM m
+    SELECT m.case_id, m.month, m.f, m.whole, (SELECT coalesce(sum(amount), 0)::DOUBLE FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND r.tx_type = 'debit' AND NOT debt) / m.f AS o,
+        (SELECT coalesce(sum(amount), 0)::DOUBLE FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND revenue_status = 'True Revenue') / m.f AS v,
+        (SELECT count(*) FROM rows r WHERE r.case_id = m.case_id AND r.month = m.month AND revenue_status = 'True Revenue') / m.f AS n FROM m
+), averages AS (
+    SELECT case_id, avg(o) AS o, avg(v) AS r, avg(n) AS n, count(*) AS months, bool_and(whole) AS whole, stddev_pop(v) AS sd, min_by(v, month) AS v1, max_by(v, month) AS v2 FROM sums GROUP BY 1
+), payers AS (
+    SELECT case_id, max(x)::DOUBLE / sum(x)::DOUBLE * 100 AS con FROM (SELECT case_id, description, sum(amount) AS x FROM rows WHERE revenue_status = 'True Revenue' GROUP BY ALL) GROUP BY 1
+), moves AS (
+    SELECT account_id, date, sum(CASE WHEN tx_type = 'credit' THEN amount ELSE -amount END) AS net FROM dl GROUP BY ALL
+), rolled AS (
+    SELECT s.case_id, s.day, s.opening + sum(coalesce(net, 0)) OVER (PARTITION BY s.stmt_id ORDER BY s.day) AS v FROM (
+        SELECT case_id, account_id, stmt_id, opening, unnest(generate_series(period_start, period_end, INTERVAL 1 DAY))::DATE AS day FROM statements) s
+    LEFT JOIN moves ON moves.account_id = s.account_id AND moves.date = s.day
+), balances AS (
+    SELECT case_id, round(avg(total)::DOUBLE, 2) AS adb, count(*) FILTER (WHERE below) AS negative FROM (
+        SELECT r.case_id, r.day, sum(v) AS total, bool_or(v < 0) AS below FROM rolled r JOIN covered d ON d.case_id = r.case_id AND d.day = r.day
+        JOIN m ON m.case_id = r.case_id AND m.month = strftime(r.day, '%Y-%m') WHERE r.case_id % 11 <> 10 GROUP BY 1, 2) GROUP BY 1
+), positions AS (
+    SELECT case_id, 100 + number * 10 AS pay, tier IN ('Premium', 'Standard') AS mca, lender = 'BIZFUND' AND case_id % 2 = 0 AS no_debt, case_id % 4 <> 1 AS verified
+    FROM (SELECT DISTINCT case_id, number, lender, reference, tier FROM ledger WHERE tx_type = 'debit' AND lender IS NOT NULL)
+), debts AS (
+    SELECT case_id, coalesce(sum(pay) FILTER (WHERE verified AND NOT no_debt), 0)::DOUBLE AS debt, count(*) FILTER (WHERE verified AND NOT no_debt AND mca) AS mca,
+        count(*) FILTER (WHERE NOT verified) AS unverified FROM positions GROUP BY 1
 ), inputs AS (
-    SELECT case_id, avg(o) AS o, avg(d) AS d, avg(v) AS v FROM sums GROUP BY 1
+    SELECT DISTINCT s.case_id, coalesce(a.r, 0) AS r, coalesce(a.n, 0) AS n, round(coalesce(a.o, 0), 2) AS o, coalesce(a.months, 0) AS months, a.whole, b.adb, b.negative, coalesce(d.debt, 0) AS debt,
+        coalesce(d.mca, 0) AS mca, coalesce(d.unverified, 0) AS unverified, CASE WHEN a.whole AND a.months > 1 AND a.r > 0 THEN sd / a.r * 100 END AS v,
+        CASE WHEN a.whole AND a.months > 1 AND v1 > 0 THEN (v2 - v1) / v1 * 100 END AS t, coalesce(con, 0) AS con,
+        (SELECT count(DISTINCT lender) FROM rows x WHERE x.case_id = s.case_id AND debt AND lender IN ('GREENBOX', 'BIZFUND', 'BDC')) AS len,
+        (SELECT count(*) FROM dl x WHERE x.case_id = s.case_id AND description IN ('Cheque returned NSF', 'RETURNED ITEM CREDIT')) AS ret,
+        (SELECT count(*) FROM dl x WHERE x.case_id = s.case_id AND description = 'NSF item fee 3 @ $45.00') AS fees
+    FROM (SELECT DISTINCT case_id FROM statements) s LEFT JOIN averages a ON a.case_id = s.case_id LEFT JOIN balances b ON b.case_id = s.case_id LEFT JOIN debts d ON d.case_id = s.case_id
+    LEFT JOIN payers p ON p.case_id = s.case_id
 )"""
 
 
 @query("a11_decision_inputs", over_orders(f"""{_INPUTS}
-SELECT case_id, round(v, 4) AS revenue, round(o, 4) AS operating_outflows, round(d, 4) AS monthly_debt,
-    (SELECT count(DISTINCT lender) FROM rows r WHERE r.case_id = i.case_id AND r.tx_type = 'debit') AS lenders,
-    (SELECT count(*) FROM ledger l WHERE l.case_id = i.case_id AND description IN ('Cheque returned NSF', 'RETURNED ITEM CREDIT')) AS returned FROM inputs i""", recursive=True))
+SELECT case_id, round(r, 4) AS revenue, o AS operating_outflows, debt AS monthly_debt, len AS lenders, ret AS returned, adb AS average_daily_balance, negative AS negative_days,
+    mca AS mca_positions, unverified, CASE len WHEN 0 THEN '0 in 90 Days' WHEN 1 THEN '1 in 90 Days' ELSE '2+ in 90 Days' END AS velocity FROM inputs""", recursive=True))
 def a11_decision_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decision_inputs(spark, sf_dir)
-    return out.select("case_id", *[F.round(c, 4).alias(c) for c in ("revenue", "operating_outflows", "monthly_debt")], "lenders", "returned")
-
-
-def decide(inputs: DataFrame) -> DataFrame:
-    """Gates, score, position, cap and range of each case, with a hash of what they rest on."""
-    c = F.col
-    cases = inputs.withColumns({
-        "burden": F.when(c("revenue") > 0, c("monthly_debt") / F.nullif(c("revenue"), F.lit(0.0)) * 100).otherwise(F.lit(0.0)),
-        "positions": F.least(c("lenders"), F.lit(3)), "months_in_business": F.lit(36), "industry": F.lit("5812 - Eating Places / Restaurants"),
-        "credit_score": F.lit(700), "public_records": F.lit("Clean"), "bank_verification": F.lit("Original PDF"),
-    })
-    scored = written(P.scorecard(cases))
-    gates = gate_findings(inputs).groupBy("case_id").agg(F.array_sort(F.collect_set("gate")).alias("gates"))
-    funded = scored.select(
-        "case_id", c("revenue").cast(CENTS).alias("revenue"), c("monthly_debt").cast(CENTS).alias("monthly_debt"), c("operating_outflows").cast(CENTS).alias("operating_outflows"),
-        F.lit(0).cast(CENTS).alias("reserve"), (c("positions") + 1).cast("int").alias("funding_position"), F.lit("1.46").cast("decimal(6,4)").alias("factor"),
-        c("advance").cast("decimal(6,4)").alias("advance"), c("max_burden").cast("decimal(6,4)").alias("max_burden"), F.lit(None).cast(CENTS).alias("cap"),
-    ).withColumn("term", P.term_bounds(c("funding_position"))[0])
-    limits = P.funding_limits(funded).select("case_id", "amount", "problem")
-    low, median, high = P.estimate_range(c("amount"))
-    snapshot = F.sha2(F.to_json(F.struct(*[F.round(x, 4).alias(x) for x in ("revenue", "monthly_debt", "operating_outflows")], "lenders", "returned")), 256)
-    return scored.select("case_id", "score", "grade", snapshot.alias("input_snapshot")).join(limits, "case_id").join(gates, "case_id", "left").select(
-        "case_id", "score", "grade", "problem", F.coalesce("gates", F.array().cast("array<string>")).alias("gates"), low.alias("low"), median.alias("median"),
-        high.alias("high"), "input_snapshot",
+    return _decision_frames(spark, sf_dir)["inputs"].select(
+        "case_id", F.round("revenue", 4).alias("revenue"), "operating_outflows", "monthly_debt", "lenders", "returned", "average_daily_balance", "negative_days",
+        "mca_positions", "unverified", "velocity",
     )
 
 
-def gate_findings(inputs: DataFrame) -> DataFrame:
-    """V6: (case_id, gate) for each gate that a case fails."""
-    gates = {"revenue_below_10000": F.col("revenue") < 10000, "returned_payments": F.col("returned") > 4, "no_operating_outflows": F.col("operating_outflows") <= 0}
-    found = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in gates.items()]))
-    return inputs.select("case_id", F.explode(found).alias("gate"))
+_GATES = f"""{_INPUTS}, k AS (
+    SELECT i.*, i.case_id AS k, i.case_id % 3 = 0 AS waived, {_FACTS["industry"]} AS industry, (i.case_id // 2) % 4 AS u,
+        (SELECT count(*) FROM statements s WHERE s.case_id = i.case_id AND stmt_ord % 17 = 3 AND i.case_id % 3 = 1) AS bad,
+        (SELECT count(*) FROM statements s WHERE s.case_id = i.case_id AND stmt_ord % 29 = 0) AS by_model,
+        (SELECT count(*) FROM dl x WHERE x.case_id = i.case_id AND revenue_status = 'Review Required') AS pending,
+        (SELECT count(*) FROM dl x WHERE x.case_id = i.case_id AND description = 'RENT PAST DUE') AS late FROM inputs i
+), gates AS (
+    SELECT k AS case_id, gate FROM (
+        SELECT k, unnest([CASE WHEN NOT waived AND bad > 0 THEN 'statement_issues' END, CASE WHEN NOT waived AND bad > 0 THEN 'disallowed_status' END,
+            CASE WHEN NOT waived AND by_model > 0 AND k % 2 = 1 THEN 'extraction_unconfirmed' END, CASE WHEN pending > 0 THEN 'pending_deposits' END,
+            CASE WHEN months = 0 THEN 'no_common_months' END, CASE WHEN unverified > 0 THEN 'debt_unverified' END, CASE WHEN NOT waived AND adb IS NULL THEN 'no_daily_balances' END,
+            CASE WHEN NOT waived AND fees > 0 AND ret = 0 THEN 'fees_without_returns' END, CASE WHEN industry IS NULL THEN 'inputs_incomplete' END,
+            CASE WHEN NOT waived AND k % 4 = 1 AND k % 5 = 3 THEN 'pages_unreviewed' END, CASE WHEN NOT waived AND months > 0 AND NOT whole AND k % 4 = 2 THEN 'coverage_unacknowledged' END,
+            CASE WHEN NOT waived AND k % 4 = 3 AND (k % 3 = 1 OR k % 6 = 0) THEN 'integrity_unreviewed' END, CASE WHEN k % 8 = 5 THEN 'completeness_unconfirmed' END,
+            CASE WHEN NOT waived AND k % 6 = 4 THEN 'originals_not_compared' END,
+            CASE WHEN NOT waived AND (late > 0 OR u = 3 OR (bad > 0 AND k % 13 = 7)) THEN 'hard_stop' END, CASE WHEN r < 10000 THEN 'revenue_below_minimum' END]) AS gate FROM k)
+    WHERE gate IS NOT NULL
+)"""
 
 
-@query("v6_gates", over_orders(f"""{_INPUTS}
-SELECT case_id, 'revenue_below_10000' AS gate FROM inputs WHERE v < 10000 UNION ALL SELECT case_id, 'no_operating_outflows' FROM inputs WHERE o <= 0
-UNION ALL SELECT case_id, 'returned_payments' FROM inputs i WHERE (SELECT count(*) FROM ledger l WHERE l.case_id = i.case_id AND description IN ('Cheque returned NSF', 'RETURNED ITEM CREDIT')) > 4""", recursive=True))
+@query("v6_gates", over_orders(f"""{_GATES}
+SELECT g.case_id, gate, CASE gate WHEN 'statement_issues' THEN bad ELSE 1 END AS details FROM gates g JOIN k ON k.case_id = g.case_id""", recursive=True))
 def v6_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate_findings(decision_inputs(spark, sf_dir))
-
-
-@query("r11_decision_run")
+    d = _decision_frames(spark, sf_dir)
+    found = X.gate_findings(d["cases"], d["ledger"], d["statements"], d["findings"], d["inputs"], d["flags"])
+    return found.groupBy("case_id", "gate").agg(F.count("*").alias("details"))
+
+
+@query("r11_decision_run", over_orders(f"""{_GATES}, ind(i, name, points, season) AS (VALUES {_INDUSTRY_ROWS}), c AS (
+    SELECT k.*, k.debt / r * 100 AS b, k.mca AS pos, 6 + k * 7 % 100 AS mon, {_FACTS["credit"]} AS cr, k % 4 AS q,
+        CASE WHEN r > 0 THEN (r - o - debt) / r * 100 END AS margin, ind.points, ind.season FROM k LEFT JOIN ind ON ind.name = k.industry
+), {_POINTS.replace("FROM c LEFT JOIN ind ON ind.i = c.ind", "FROM c")}
+), ranked AS (
+    SELECT c.k, c.r, c.mca, t.score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 82 THEN 'A' WHEN score >= 74 THEN 'B' WHEN score >= 66 THEN 'C' WHEN score >= 58 THEN 'D' WHEN score IS NOT NULL THEN 'E' END AS grade,
+        CASE WHEN score >= 90 THEN 100 WHEN score >= 82 THEN 85 WHEN score >= 74 THEN 70 WHEN score >= 66 THEN 55 WHEN score >= 58 THEN 35 WHEN score IS NOT NULL THEN 0 END AS pct,
+        CASE c.mca WHEN 0 THEN 5 ELSE 3 END AS lo, CASE c.mca WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 4 END AS hi FROM c JOIN total t ON t.case_id = c.k
+    WHERE c.k NOT IN (SELECT case_id FROM gates)
+), amounts AS (
+    SELECT *, floor(CAST(r AS DECIMAL(18,2)) * pct) / 100 AS multiple, CASE WHEN k % 3 = 2 THEN floor(CAST(r AS DECIMAL(18,2)) * 40) / 100 END AS cap FROM ranked
+), ends AS (
+    SELECT *, CAST(CASE WHEN score IS NOT NULL THEN least(multiple, coalesce(cap, multiple)) END AS DECIMAL(18,2)) AS high FROM amounts
+)
+SELECT i.case_id, (SELECT count(*) FROM gates g WHERE g.case_id = i.case_id) > 0 AS blocked, coalesce((SELECT string_agg(gate, ',' ORDER BY gate) FROM gates g WHERE g.case_id = i.case_id), '') AS gates,
+    score, grade, mca + 1 AS funding_position, greatest(lo, least(hi, 3 + k % 7)) AS term, CASE WHEN k IS NOT NULL AND score IS NULL THEN 'no score' END AS problem,
+    CAST(floor(high * 85) / 100 AS DECIMAL(18,2)) AS low, high FROM (SELECT case_id FROM inputs) i LEFT JOIN ends ON ends.k = i.case_id""", recursive=True))
 def r11_decision_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(decision_inputs(spark, sf_dir))
+    d = _decision_frames(spark, sf_dir)
+    gates = written(X.gate_findings(d["cases"], d["ledger"], d["statements"], d["findings"], d["inputs"], d["flags"]))
+    out = X.decision_run(d["cases"], d["inputs"], gates)
+    return out.select(
+        "case_id", "blocked", F.array_join("gates", ",").alias("gates"), "score", "grade", "funding_position", "term", "problem", "low", "high"
+    )

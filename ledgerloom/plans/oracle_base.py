@@ -39,8 +39,8 @@ LEDGER = (
 sided AS (
     SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'debit' ELSE 'credit' END AS tx_type, CAST(o_orderdate AS DATE) AS day FROM orders
 ), plain AS (
-    SELECT o_custkey % 5 AS case_id, 'acct:' || (o_custkey % 20) AS account_id, o_custkey % 20 AS number,
-        CASE WHEN o_custkey % 4 = 0 THEN 'USD' ELSE 'CAD' END AS currency, 'acct:' || (o_custkey % 20) || ':' || strftime(day, '%Y-%m') AS stmt_id,
+    SELECT o_custkey // 500 * 5 + o_custkey % 5 AS case_id, o_custkey // 500 * 20 + o_custkey % 20 AS number, 'acct:' || number AS account_id,
+        CASE WHEN o_custkey % 4 = 0 THEN 'USD' ELSE 'CAD' END AS currency, 'acct:' || number || ':' || strftime(day, '%Y-%m') AS stmt_id,
         year(day) * 12 + month(day) AS stmt_ord, o_orderkey AS id, day AS date, strftime(day, '%Y-%m') AS month, tx_type,
         CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
         CAST(CASE WHEN tx_type = 'credit' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(18,2)) AS move, o_orderkey
