@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -22,16 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder that all executors share, and read it from there.
+    """Write `df` once to the checkpoint folder that all executors share, and read it from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a new one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Where that is unset, one is
+    made on a local master alone; on a cluster a local folder would not be shared, so it is refused."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+#: A key of at least this part of all rows is hot: there are as many such keys at most.
+HOT_PART = 1024
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """`rows` joined to `keyed`, which has one row for each key of `rows`, with the number of its rows in a column `count`
+    (dropped). Hot keys are broadcast, HOT_PART of them at most, so no task joins all rows of one."""
+    keyed = cut_lineage(keyed)
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) >= max(1, total // HOT_PART)
+    often = F.broadcast(keyed.where(hot).drop(count))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti")
+    return rows.join(often, on).unionByName(rest.join(keyed.where(~hot).drop(count), on))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

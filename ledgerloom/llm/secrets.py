@@ -3,15 +3,16 @@
 Candidates are found in each text by kind; hashes of their values are then counted over the corpus by distinct
 repository (document) and distinct owner (source). A value that many owners show is a widely copied example; one that
 stays with one owner looks live. Besides the base kinds, long mixed tokens are candidates too, and join the spans only if
-their ownership says that they belong to someone. All of it is column expressions, joins and groupings.
+their ownership says that they belong to someone. All of it is column expressions, joins and groupings; places of matches
+are prefix sums over rows, so a text of any number of matches costs their number times its logarithm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut_lineage, table
+from ledgerloom.llm.common import cut_lineage, join_counted, table
 
 #: The base patterns, in the order in which kinds at one start are listed.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -26,68 +27,71 @@ ASSIGN_CHARS = 6
 #: A value that this many owners or more show is a copied example.
 COPIED_OWNERS = 3
 
-_SPAN = "struct<kind string, first int, last int, value string>"
+KINDS = ("assign", "access", "hex", "owned")
 
 
-def _spans(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
-    """All leftmost matches, as structs of kind, start and end in code points, and value.
-
-    Gaps between matches come from a split by the same pattern: each match starts where the gaps and matches before it
-    end.
-    """
+def _matches(text: Column, kind: str, pattern: str, value_group: int = 0) -> Column:
+    """All leftmost matches in order, as structs of kind, pos, gap (characters between the match before and this one),
+    chars and value. Gaps come from a split by the same pattern."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("val"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        end = start + F.coalesce(F.length(row["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("first"), end.alias("last"), row["val"].alias("value"))
-        return F.struct(
-            end.alias("at"), F.when(row["hit"].isNotNull(), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
-        )
-
-    named = F.transform(rows, lambda r: F.struct(r["gap"].alias("gap"), r["hit"].alias("hit"), r["val"].alias("val")))
-    spans = F.aggregate(named, empty, step, lambda s: s["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("val"))
+    spans = F.transform(
+        F.filter(rows, lambda r: r["hit"].isNotNull()),
+        lambda r, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), F.length(r["gap"]).alias("gap"), F.length(r["hit"]).alias("chars"), r["val"].alias("value")
+        ),
+    )
+    none = F.array().cast("array<struct<kind: string, pos: int, gap: int, chars: int, value: string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row (row, doc_id, owner, base, extra) for each row of `docs`: arrays of spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """One row (row, doc_id, owner, matches) for each row of `docs`: the matches of all kinds, one kind after another."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-        F.col(owner_col).cast("string").alias("owner"), text.alias("t"),
-    )
-    assign = F.filter(_spans(F.col("t"), "assign", ASSIGN, 2), lambda s: F.length(s["value"]) >= ASSIGN_CHARS)
-    owned = F.filter(
-        _spans(F.col("t"), "owned", OWNED),
-        lambda s: F.regexp_like(s["value"], F.lit(_MIXED[0])) & F.regexp_like(s["value"], F.lit(_MIXED[1]))
-        & F.regexp_like(s["value"], F.lit(_MIXED[2])),
+        F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     )
-    found = rows.select(
-        "row", "doc_id", "owner", assign.alias("assign"), _spans(F.col("t"), "access", ACCESS).alias("access"),
-        _spans(F.col("t"), "hex", HEX).alias("hex"), owned.alias("owned"),
-    )
-    base = F.concat("assign", "access", "hex")
-    apart = F.filter(
-        "owned", lambda s: ~F.exists(base, lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"]))
+    t = F.col("t")
+    every = F.concat(_matches(t, "assign", ASSIGN, 2), _matches(t, "access", ACCESS), _matches(t, "hex", HEX), _matches(t, "owned", OWNED))
+    return rows.select("row", "doc_id", "owner", every.alias("matches"))
+
+
+def placed_spans(found: DataFrame) -> DataFrame:
+    """`candidates` as one row (row, doc_id, owner, kind, first, last, value, h1, h2) for each span: code points, end
+    exclusive. Base spans too short go, and owned ones without a digit, a capital and a small letter or that touch a base
+    span.
+
+    An owned span touches a base span if the furthest end of the base spans that begin before its end lies behind its
+    start: one pass over a text's spans in order, base spans at their start and owned ones at their end.
+    """
+    each = found.where(F.size("matches") > 0).select("row", "doc_id", "owner", F.explode("matches").alias("m")).select("row", "doc_id", "owner", "m.*")
+    so_far = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.sum(F.col("gap") + F.col("chars")).over(so_far)
+    ended = each.withColumn("last", last.cast("int")).withColumn("first", (F.col("last") - F.col("chars")).cast("int"))
+    base = F.col("kind") != "owned"
+    mixed = F.regexp_like("value", F.lit(_MIXED[0])) & F.regexp_like("value", F.lit(_MIXED[1])) & F.regexp_like("value", F.lit(_MIXED[2]))
+    good = ended.where(F.when(F.col("kind") == "assign", F.length("value") >= ASSIGN_CHARS).when(base, F.lit(True)).otherwise(mixed))
+    sweep = Window.partitionBy("row").orderBy("at", "base").rowsBetween(Window.unboundedPreceding, 0)
+    swept = good.withColumns({"at": F.when(base, F.col("first")).otherwise(F.col("last")), "base": base}).withColumn(
+        "reach", F.max(F.when(F.col("base"), F.col("last"))).over(sweep)
     )
-    return found.select("row", "doc_id", "owner", base.alias("base"), apart.alias("extra"))
+    apart = swept.where("base or reach is null or reach <= first")
+    return apart.select(
+        "row", "doc_id", "owner", "kind", "first", "last", "value", F.xxhash64("value").alias("h1"),
+        F.xxhash64(F.lit("value"), "value").alias("h2"),
+    )
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """found: (doc_id, owner, spans). One row (h1, h2, repositories, owners) for each distinct value.
+def ownership(spans: DataFrame) -> DataFrame:
+    """`placed_spans`: one row (h1, h2, spans, repositories, owners) for each distinct value.
 
     Values are counted once for each document before owners are counted, and each owner's count is partial sums first,
     so a value that a third of all documents hold costs no task more than its own share of them.
     """
-    values = found.select("doc_id", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("v"))
-    hashed = values.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("value"), "v").alias("h2"), "doc_id", "owner")
-    by_owner = hashed.groupBy("h1", "h2", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("h1", "h2").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    by_row = spans.groupBy("h1", "h2", "row", "owner").agg(F.count("*").alias("spans"))
+    by_owner = by_row.groupBy("h1", "h2", "owner").agg(F.count("*").alias("n"), F.sum("spans").alias("spans"))
+    return by_owner.groupBy("h1", "h2").agg(F.sum("spans").alias("spans"), F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
 def _joined(spans: Column) -> Column:
@@ -96,7 +100,7 @@ def _joined(spans: Column) -> Column:
         spans,
         lambda s: F.struct(
             s["first"].alias("first"),
-            F.array_position(F.array(*map(F.lit, ("assign", "access", "hex", "owned"))), s["kind"]).alias("place"),
+            F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"),
             F.concat_ws(":", s["kind"], s["first"], s["last"]).alias("shown"),
         ),
     )
@@ -110,23 +114,18 @@ def scan_secrets(
 
     `base` holds the base spans of every kind; `owned` holds the long mixed tokens, apart from base spans, that fewer
     than `copied` owners show. Null text is empty; a null owner is an owner of its own; rows that repeat an id or have
-    none are rows of their own. An empty table gives no rows. Other columns are ignored.
+    none are rows of their own. Very long texts are searched whole. An empty table gives no rows. Other columns are ignored.
     """
     found = cut_lineage(candidates(docs, id_col, text_col, owner_col))
-    with_any = found.select("row", "doc_id", "owner", F.concat("base", "extra").alias("spans")).where(F.size("spans") > 0)
-    counts = ownership(with_any)
-    each = with_any.select("row", F.explode("spans").alias("s")).select(
-        "row", "s", F.xxhash64("s.value").alias("h1"), F.xxhash64(F.lit("value"), "s.value").alias("h2")
+    spans = cut_lineage(placed_spans(found))
+    judged = join_counted(spans, ownership(spans), ["h1", "h2"], "spans").where((F.col("kind") != "owned") | (F.col("owners") < copied))
+    by_row = judged.groupBy("row").agg(
+        F.collect_list(F.struct("kind", "first", "last", "value", "repositories", "owners")).alias("spans")
     )
-    judged = each.join(counts, ["h1", "h2"]).select(
-        "row",
-        F.struct("s.kind", "s.first", "s.last", "s.value", "repositories", "owners").alias("s"),
-    ).where((F.col("s.kind") != "owned") | (F.col("s.owners") < copied))
-    by_row = judged.groupBy("row").agg(F.collect_list("s").alias("spans"))
-    spans = F.coalesce(F.col("spans"), F.array().cast(by_row.schema["spans"].dataType))
+    spans_or_none = F.coalesce(F.col("spans"), F.array().cast(by_row.schema["spans"].dataType))
     return found.select("row", "doc_id").join(by_row, "row", "left").select(
-        "doc_id", F.filter(spans, lambda s: s["kind"] != "owned").alias("base"),
-        F.filter(spans, lambda s: s["kind"] == "owned").alias("owned"),
+        "doc_id", F.filter(spans_or_none, lambda s: s["kind"] != "owned").alias("base"),
+        F.filter(spans_or_none, lambda s: s["kind"] == "owned").alias("owned"),
     )
 
 

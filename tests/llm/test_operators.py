@@ -5,11 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from ledgerloom.llm import chat, fingerprints, licenses, lines, mixing, neardup, neighbours, quality, secrets
+from ledgerloom.llm import chat, components, fingerprints, licenses, lines, mixing, neardup, neighbours, quality, secrets
 from ledgerloom.llm.common import shingle_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep string, block string, a string"
@@ -85,9 +86,9 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
 def test_near_duplicates_of_many_groups_of_two(spark):
     rng = random.Random(7)
     rows = []
-    for g in range(2000):
+    for g in range(5000):
         words = [f"w{rng.getrandbits(40)}" for _ in range(120)]
-        moved = rng.choice([14, 11, 8, 5])  # of 100 shingles each: similarities 0.75, 0.80, 0.85, 0.90
+        moved = rng.choice([14, 14, 13, 12, 11, 8])  # of 100 shingles each: similarities 0.754 (twice), 0.770, 0.786, 0.802, 0.852
         rows += [(2 * g, " ".join(words[:104])), (2 * g + 1, " ".join(words[moved : 104 + moved]))]
     out = neardup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
     assert [r.doc_id for r in out if r.component_id != r.doc_id - r.doc_id % 2] == []
@@ -162,6 +163,60 @@ def test_fingerprints_estimate_and_edit(spark):
     assert fingerprints.fingerprint_column(docs_of(spark, odd_rows())).count() == len(odd_rows())
 
 
+def plain_fingerprint(hashes):
+    """Bins, densification and low bits one by one."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & mask
+        return x ^ x >> 33
+
+    bins = {}
+    for h in hashes:
+        t = mix(h ^ 0x5851F42D4C957F2D)
+        bins[t >> 56] = min(bins.get(t >> 56, mask), t << 8 & mask)
+    out = []
+    for k in range(256):
+        donor, attempt = k, 0
+        while bins and donor not in bins:
+            attempt += 1
+            donor = mix((k << 20) + attempt) & 255
+        out.append(mix(bins[donor]) & 15 if bins else 0)
+    return bytes(a << 4 | b for a, b in zip(out[::2], out[1::2], strict=True))
+
+
+def test_fingerprints_equal_plain_ones():
+    rng = random.Random(15)
+    texts = ["", "a", "a b c d e f g"] + [sentence(rng, n) for n in (20, 300, 6000)]
+    for t, packed in zip(texts, fingerprints.fingerprints([t.encode() for t in texts]), strict=True):
+        assert packed.tobytes() == plain_fingerprint([int(h) for h in shingle_sets([t.encode()])[0]])
+
+
+def test_likeness_is_unbiased():
+    rng = random.Random(16)
+    errors = []
+    for _ in range(300):
+        a = [rng.choice(WORDS) for _ in range(400)]
+        b = a[: rng.randint(50, 380)]
+        b += [rng.choice(WORDS) for _ in range(400 - len(b))]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        p = fingerprints.fingerprints([" ".join(a).encode(), " ".join(b).encode()])
+        errors.append(fingerprints.likeness(p[:1], p[1:])[0] - len(x & y) / len(x | y))
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.05
+
+
+def test_fingerprints_of_hot_ids_are_spread(spark):
+    rng = random.Random(17)
+    rows = [(None, "one and the same text of several words", "s")] * 300 + [(7, sentence(rng, 30), "s") for _ in range(100)] + [(8, "b", "s"), (9, "c" * 40, "s")]
+    out = fingerprints.edited_likeness(docs_of(spark, rows), parts=16).collect()
+    assert len(out) == len(rows)
+    same = [r for r in out if r.doc_id is None]
+    assert len(same) == 300 and sum(r.near_next == 1.0 for r in same) == 299
+    assert [r.edited_sha256 for r in out if r.doc_id == 8] == [hashlib.sha256(b"b").hexdigest()]
+    assert [r.edited_sha256 for r in out if r.doc_id == 9] == [hashlib.sha256(("c" * 30 + "one and th").encode()).hexdigest()]
+
+
 def test_neighbours_reach_their_recall_and_ties(spark):
     rng = np.random.default_rng(4)
     vectors = [[float(x) for x in v] for v in rng.standard_normal((1200, 16))]
@@ -188,6 +243,34 @@ def test_neighbours_reach_their_recall_and_ties(spark):
     assert len(few) == 6 and neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_of_each_length_on_their_own(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in rng.standard_normal(8 if i % 3 else 5)]) for i in range(600)] + [(900, [1.0])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 600, 100):
+        alike = [(np.linalg.norm(np.subtract(v, rows[q][1])), i) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        hits += len({i for _, i in sorted(alike)[:10]} & set(got[q]))
+        assert len(got[q]) == 10
+    assert hits >= 54 and 900 not in got
+
+
+def test_neighbours_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    good = {r.vec_id: np.array(r.vec) for r in neighbours.usable(table, "vec_id", "embedding").collect()}
+    ids, e = np.array(sorted(good)), np.array([good[i] for i in sorted(good)])
+    hits, got = 0, defaultdict(set)
+    for r in neighbours.nearest(table).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in [i for i in ids.tolist() if i % 100 == 0]:
+        d = np.sqrt(((e - good[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def test_neighbours_count_a_repeated_id_once(spark):
     rng = np.random.default_rng(9)
     rows = [(i, v) for i, v in enumerate(rng.standard_normal((300, 8)).astype(np.float32))]
@@ -234,7 +317,7 @@ def test_mixing_meets_its_targets(spark):
         assert r.size == size[r.doc_id] and r.source_size == sources[of[r.doc_id]] and 0 <= r.taken <= 3 * r.size
         assert abs(r.target - want[of[r.doc_id]]) < 1e-6 * max(1, r.target)
         taken[of[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 0.02 * sum(sources.values()) for s in want)
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
     again = mixing.mix_sources(docs_of(spark, rows).repartition(7)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
     assert len(mixing.mix_sources(docs_of(spark, odd_rows())).collect()) == len(odd_rows())
@@ -242,7 +325,7 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix_sources(docs_of(spark, [(1, "", "s"), (2, None, None)])).count() == 2
 
 
-def test_mixing_settled_on_each_target(spark, monkeypatch):
+def test_mixing_meets_each_target_with_blocks_of_many_words(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MIN_SLOTS", 64)  # blocks of hundreds of words: most sources are near one or below
     rng = random.Random(8)
     rows = [(i, sentence(rng, rng.randint(0, 60)), "hot") for i in range(700)]
@@ -259,16 +342,46 @@ def test_mixing_settled_on_each_target(spark, monkeypatch):
     want = brute_targets(sources)
     docs = docs_of(spark, [(k, t, s) for k, (_, t, s) in enumerate(rows)])
     docs = docs.withColumnRenamed("doc_id", "at").join(spark.createDataFrame(list(enumerate(i for i, _, _ in rows)), "at long, doc_id long"), "at")
-    out = mixing.settled_mix(docs, row_col="at").collect()
+    out = mixing.mix_sources(docs, row_col="at").collect()
     assert sorted(r.row for r in out) == list(range(len(rows)))
     for r in out:
         i, t, s = rows[r.row]
         assert (r.doc_id, r.size) == (i, len(t.split())) and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    assert len(mixing.settled_mix(docs_of(spark, odd_rows())).collect()) == len(odd_rows())
-    assert mixing.settled_mix(docs_of(spark, [])).count() == 0
-    assert [r.taken for r in mixing.settled_mix(docs_of(spark, [(1, "", "s"), (2, None, None)])).collect()] == [0, 0]
+    assert len(mixing.mix_sources(docs_of(spark, odd_rows())).collect()) == len(odd_rows())
+    assert mixing.mix_sources(docs_of(spark, [])).count() == 0
+    assert [r.taken for r in mixing.mix_sources(docs_of(spark, [(1, "", "s"), (2, None, None)])).collect()] == [0, 0]
+
+
+def test_mixing_schedule_is_whole_and_even(spark):
+    docs = [(i, p, n, q, st, sz) for i, (p, n, q, st, sz) in enumerate([(1, 100, 300, 0, 60), (1, 100, 300, 60, 40), (2, 5000, 2500, 0, 5000), (3, 7, 21, 0, 7)])]
+    begun = spark.createDataFrame(docs, "row long, place long, source_size long, quota long, start long, size long")
+    got = mixing.mix_pieces(begun, 10).orderBy("slot", "rank", "first").collect()
+    words, slots = Counter(), defaultdict(dict)
+    for r in got:
+        words[r.place, r.rank] += r.last - r.first
+        slots[r.place][r.rank] = r.slot
+    assert all(n == 10 for (p, k), n in words.items() if p < 3) and [words[3, k] for k in range(3)] == [10, 10, 1]
+    assert [len(slots[p]) for p in (1, 2, 3)] == [30, 250, 3]
+    for p in slots:  # ranks in the order of slots, spread over the whole mix
+        at = [slots[p][k] for k in sorted(slots[p])]
+        assert at == sorted(at)
+    first = sorted(s for p in slots for s in slots[p].values())[:100]
+    assert 7 <= sum(s in first for s in slots[1].values()) <= 14
+
+
+def test_mixing_of_many_sources_is_ranked_by_ranges(spark):
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, rng.randint(1, 9)), f"host{rng.randint(0, 700)}") for i in range(2000)]
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, of = brute_targets(sizes), {i: s for i, _, s in rows}
+    for r in mixing.mix_sources(docs_of(spark, rows).repartition(5)).collect():
+        assert abs(r.target - want[of[r.doc_id]]) < 1e-6
+        taken[of[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
 
 
 def test_secret_spans_and_ownership(spark):
@@ -288,11 +401,48 @@ def test_licenses_in_windows(spark):
     rows = odd_rows() + [(50, sentence(rng, 33) + " " + grant + " " + sentence(rng, 20), "s"), (51, "RELEASED under the mit license.", "s"),
                          (52, " ".join(grant.split()[:16]) + " " + sentence(rng, 9), "s"), (53, " ".join(grant.split()[:9]), "s")]
     got = {r.doc_id: [(x.license, x.containment) for x in r.licenses] for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    rows += [(54, grant, "s"), (54, grant, "s"), (54, "", "s")]
+    assert Counter(len(r.licenses) for r in licenses.scan_licenses(docs_of(spark, rows)).where("doc_id = 54").collect()) == {1: 2, 0: 1}
     assert got[50] == [("MIT-grant", 1.0)] and got[51] == [("MIT", 1.0)] and not got[53]
     assert [n for n, _ in got[52]] == ["MIT-grant"] and 0.75 <= got[52][0][1] < 1
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0 and licenses.scan_licenses(docs_of(spark, rows), templates={}).count() == len(rows)
 
 
+def plain_licenses(text, templates):
+    """Best window of each template by plain loops over all windows."""
+    w, out = re.sub("[A-Z]", lambda m: m[0].lower(), text).split(), []
+    for name in sorted(templates):
+        t = templates[name].lower().split()
+        m = min(5, len(t))
+        own = {tuple(t[i : i + m]) for i in range(len(t) - m + 1)} if t else set()
+        step = min((c for c in licenses.LADDER if c >= len(own)), default=None)
+        said = [tuple(w[i : i + m]) for i in range(len(w) - m + 1)] if m else []
+        windows = [(-len(own & set(said[k * step : (k + 2) * step])), k) for k in range(-(-len(said) // step))] if own else []
+        if windows and -min(windows)[0] >= 0.75 * len(own):
+            out.append((name, min(windows)[1], -min(windows)[0]))
+    return out
+
+
+def test_licenses_equal_plain_windows(spark):
+    rng = random.Random(18)
+    given = {"short": "Some Right", "one": "w " * 9, "even": sentence(rng, 40), "long": sentence(rng, 300), "none": "  ", **licenses.TEMPLATES}
+    rows = []
+    for i in range(120):
+        words = sentence(rng, rng.randint(0, 700)).split()
+        for name in rng.sample(sorted(given), 3):
+            t = given[name].split()
+            for k in range(len(t)):
+                if rng.random() < rng.choice([0, 0, 0.01, 0.05]):
+                    t[k] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = t
+        rows.append((i, " ".join(words).upper() if i % 3 == 0 else " ".join(words), "s"))
+    given_table = spark.createDataFrame(sorted(given.items()), "license string, notice string")
+    got = {r.doc_id: [(x.license, x.window, x.found) for x in r.licenses] for r in licenses.scan_licenses(docs_of(spark, rows), templates=given_table).collect()}
+    assert got == {i: plain_licenses(t, given) for i, t, _ in rows}
+    assert sum(map(len, got.values())) > 200
+
+
 def test_preferences_share_their_prompt(spark):
     turn = "array<struct<role: string, text: string>>"
     rows = [
@@ -343,3 +493,83 @@ def test_names_that_clash_are_refused(spark):
         quality.with_statistics(docs, name="keep")
     with pytest.raises(ValueError):
         fingerprints.fingerprint_column(docs, name="keep")
+
+
+def test_components_of_chains_stars_and_loops(spark, monkeypatch):
+    monkeypatch.setattr(components, "AT_ONCE", 50)
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(400)] + [(1000, 1001 + i) for i in range(300)] + [(5000, 5000), (6001, 6000), (6000, 6001), (6001, 6000)]
+    links += [tuple(rng.sample(range(7000, 7600), 2)) for _ in range(280)]
+    rng.shuffle(links)
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    want = {i: find(i) for i in up if find(i) != i}
+    for parts in (1, 13):
+        table = spark.createDataFrame(links, "a long, b long").repartition(parts)
+        got = components.components(table).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert components.components(table.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch):
+    """One large group, its bridges and strangers that share its bands: components of a block and more have their own."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "HEAVY", 60)
+    rng = random.Random(12)
+    base, rows = [rng.choice(WORDS) + str(i) for i in range(90)], []
+    for g, moved in enumerate((0, 9, 15, 22)):  # neighbours in this row are near enough or just not
+        for _ in range(60):
+            words = base[moved:] + [f"g{g}.{i}" for i in range(moved)]
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(words)))
+    want = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
+def brute_secrets(rows, copied=3):
+    """(doc_id, source) rows: base and owned spans by plain loops."""
+    patterns = [("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+                ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24), ("owned", r"[A-Za-z0-9+/_-]+", 0, 20)]
+    base, owned, owners = {}, {}, defaultdict(set)
+    for k, (_, t, s) in enumerate(rows):
+        spans = []
+        for kind, p, g, least in patterns:
+            for m in re.finditer(p, t or "", re.ASCII):
+                if len(m[g]) >= least:
+                    spans.append((kind, *m.span(), m[g]))
+        base[k] = [x for x in spans if x[0] != "owned"]
+        owned[k] = [x for x in spans if x[0] == "owned" and all(re.search(p, x[3]) for p in ("[0-9]", "[A-Z]", "[a-z]"))
+                    and not any(b[1] < x[2] and x[1] < b[2] for b in base[k])]
+        for x in base[k] + owned[k]:
+            owners[x[3]].add(s)
+    return base, {k: [x for x in v if len(owners[x[3]]) < copied] for k, v in owned.items()}
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = random.Random(13)
+    bits = ["password=", "Token : ", "api_key=\"", "AKIA" + "B7" * 9, "0a" * 13, "0a" * 10, "Zz9" * 8, "zz9" * 8, "hunter22", "é", " ", "\n", ".", "abc", "AB12cd" * 5]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40))), rng.choice(["s", "t", "u", "v", None])) for i in range(300)]
+    base, owned = brute_secrets(rows)
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    for k in base:
+        assert sorted(tuple(s)[:4] for s in got[k].base) == sorted(base[k])
+        assert sorted(tuple(s)[:4] for s in got[k].owned) == sorted(owned[k])
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    words = [f"{i:024x}" for i in range(100_000)]
+    rows = [(1, " ".join(words), "s"), (2, words[7], "t")]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert time.time() - began < 60
+    assert sorted((s.first, s.last) for s in got[1].base) == [(25 * i, 25 * i + 24) for i in range(100_000)]
+    assert got[2].base[0].repositories == 2 and got[2].base[0].owners == 2
