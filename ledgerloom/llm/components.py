@@ -1,52 +1,81 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds."""
+"""Connected components of a table of links: tasks join what they hold, star rounds join tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut_lineage
 
+#: Links that a task joins at once.
+AT_ONCE = 1 << 20
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are linked to its smallest neighbour (or itself)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a[i], b[i]) as (smallest node, node) for every other node that they connect to it."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        if (low == high).all():
+            break
+        np.minimum.at(up, high, low)  # a root goes below the smallest root that it is linked to
+        while (further := up[up]).tobytes() != up.tobytes():
+            up = further
+    leaf = up != np.arange(len(nodes))
+    return nodes[up[leaf]], nodes[leaf]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def done() -> pa.RecordBatch:
+        low, leaf = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(leaf)], ["a", "b"])
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are linked to the smallest of those."""
-    low = edges.groupBy("b").agg(F.min("a").alias("low"))
-    joined = edges.join(low, "b")
-    near = joined.select(F.col("low").alias("x"), F.col("a").alias("y"))
-    own = low.select(F.col("low").alias("x"), F.col("b").alias("y"))
-    return near.unionByName(own).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= AT_ONCE:
+            yield done()
+            held = []
+    if held:
+        yield done()
 
 
-def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h))).first())
+def _round(edges: DataFrame) -> DataFrame:
+    """Large star, then small star: larger neighbours go to the smallest neighbour, then smaller ones do."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+    large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+    low = large.groupBy("b").agg(F.min("a").alias("low"))
+    near = large.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return near.unionByName(low.select(F.col("low").alias("a"), "b")).where("a <> b").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either the smallest of its star or linked to just that one."""
+    ends = edges.select(F.col("b").alias("node"), F.col("a").alias("low")).unionByName(
+        edges.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("low"))
+    )
+    seen = ends.groupBy("node").agg(F.min("low").alias("lo"), F.max("low").alias("hi"), F.count("*").alias("n"), F.count("low").alias("leaf"))
+    return seen.where("lo <> hi or (leaf > 0 and leaf < n)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: (a long, b long), null-free. Returns (node, component) for every node of a link; component is the
-    smallest node that can be reached. Links of a node to itself, in both directions or repeated change nothing.
+    """links: (a long, b long), null-free. Returns (node, component) for every node but the smallest of its component;
+    component is the smallest node that can be reached. Links of a node to itself, in both directions or repeated change
+    nothing; without links there are no rows.
 
-    A round costs a few shuffles of the remaining links; the number of rounds grows with the logarithm of the longest
-    chain. Each round is written to the checkpoint folder, so a lost executor costs one round at most.
+    Tasks join the links that they hold, up to AT_ONCE at a time, so only what is spread over tasks is left to rounds of
+    a few shuffles; their number grows with the logarithm of the longest chain at most. Each round is written to the
+    checkpoint folder, so a lost executor costs one round at most.
     """
-    links = cut_lineage(links)
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    edges = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    state = _state(edges)
-    while state[0]:
-        after = cut_lineage(_small_star(_large_star(edges)))
-        now = _state(after)
-        edges = after
-        if now == state:
-            break
-        state = now
-    return nodes.join(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select(
-        "node", F.coalesce("root", "node").alias("component")
-    )
+    edges = cut_lineage(links.select("a", "b").mapInArrow(_joined, "a long, b long"))
+    while not _settled(edges):
+        edges = cut_lineage(_round(edges).mapInArrow(_joined, "a long, b long"))
+    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))

@@ -5,9 +5,10 @@ coordinate k ranks slots shifted round by k. Documents of equal shingle sets bec
 meet in that band's bucket: packed signatures say which pairs can reach the threshold, full shingle sets say which do.
 
 A bucket never gives out its pairs: what leaves it is a spanning forest of its exact links, less than a row for each
-member. The first bands are settled and joined to components; of the other bands only buckets that still hold different
-components are opened. A pair is looked at in the first band that it shares, and nowhere else. Buckets are cut into
-blocks, and pairs of blocks are compared in tasks of bounded size, so no group is too large and no pair is left out.
+member. Buckets are cut into blocks of bounded size, in members and in shingles, and two blocks meet in a cell. First, in
+the first bands, every block meets itself and one block that all of its bucket share, and what is linked is joined to
+components. Then, in all bands, buckets that still hold different components are opened whole, but never two blocks of
+one component. A pair is looked at in the first band that it shares, so no group is too large and no pair is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import chunks, cut_lineage, mix64, shingle_sets, shuffle_parts, table, text_bytes
@@ -28,9 +29,10 @@ BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 #: A pair is likely if this share of coordinates agrees: five standard deviations below 0.75.
 LIKELY = 0.55
-#: Members of a bucket that one task compares with as many others at most.
-BLOCK = 1024
-#: Bands that are settled before the others: 19 of 20 pairs at the threshold share one of them.
+#: Members of a bucket that one task compares with as many others at most. A text counts as one member, and as one more
+#: for every HEAVY shingles: a cell holds about two million shingles, unless a single text has more.
+BLOCK, HEAVY = 1024, 1024
+#: Bands that are looked at before the others: 19 of 20 pairs at the threshold share one of them.
 FIRST_BANDS = 8
 NUMERATOR = 75
 
@@ -212,18 +214,66 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(rows, np.array([len(rows)]))
 
 
-def _linked(members: DataFrame, contents: DataFrame, parts: int) -> DataFrame:
-    """members: band, hash, rep, label, size (of the bucket); contents: rep, bands, sig, packed."""
-    blocks = members.withColumn("n", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep", "band"), "n"))
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
-        "band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label",
-        (F.col("own") > F.col("other")).alias("second"),
-    )
+def _opened(cells: DataFrame, contents: DataFrame, parts: int) -> DataFrame:
+    """cells: band, hash, i, j, second, rep, label; contents: rep, bands, sig, packed. The exact links (a, b) of all cells,
+    as a spanning forest of each."""
     full = cells.join(contents, "rep").select(
         "band", "hash", "i", "j", "rep", "label", "second", "sig", "packed", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")
     )
     placed = full.repartition(parts, "band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "rep")
-    return placed.mapInArrow(_links, "a long, b long").distinct()
+    return placed.mapInArrow(_links, "a long, b long")
+
+
+def _paired(rows: DataFrame, others: Column) -> DataFrame:
+    """A row for each cell of a member: its block `own` with each of `others`."""
+    return rows.withColumn("other", F.explode(others)).select(
+        "band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label",
+        (F.col("own") > F.col("other")).alias("second"),
+    )
+
+
+def _near_cells(members: DataFrame) -> DataFrame:
+    """Each block of a bucket with itself and with the bucket's first: a few rows for each member, however large the
+    bucket. All that is alike within a bucket becomes one component by that, but for rare texts."""
+    n = F.ceil(F.col("size") / BLOCK)
+    rows = members.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep", "band"), "n"))
+    zero = F.lit(0).cast("long")
+    return _paired(rows, F.when(F.col("own") == 0, F.sequence(zero, F.col("n") - 1)).otherwise(F.array(zero, "own")))
+
+
+def _far_cells(labelled: DataFrame) -> DataFrame:
+    """All pairs of blocks of the buckets that hold several components, but for two blocks of one and the same.
+
+    A component that fills a block of a bucket has blocks of its own there, the others share blocks. So a bucket of one
+    huge component and some strangers costs the strangers times the blocks, not the square of the blocks.
+    """
+    kinds = labelled.groupBy("band", "hash", "label").agg(F.sum("weight").alias("held"), F.max("size").alias("size"))
+    large, blocks = F.col("held") >= BLOCK, F.ceil(F.col("held") / BLOCK)
+    buckets = kinds.groupBy("band", "hash").agg(
+        F.max("size").alias("size"), F.count("*").alias("labels"),
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("held"))), F.lit(0)) / BLOCK).alias("shared"),
+        F.coalesce(F.sum(F.when(large, blocks)), F.lit(0)).alias("pure"),
+    ).where("labels > 1")
+    before = Window.partitionBy("band", "hash").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    own_blocks = kinds.where(large).select(
+        "band", "hash", "label", "size", blocks.alias("mine"), F.coalesce(F.sum(blocks).over(before), F.lit(0)).alias("begin")
+    )
+
+    def salted(df: DataFrame) -> DataFrame:  # a row for each part of a bucket's members, so that none is joined as a whole
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).drop("size")
+
+    rows = labelled.withColumn("part", F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / BLOCK)))
+    rows = rows.join(salted(buckets), ["band", "hash", "part"]).join(salted(own_blocks), ["band", "hash", "part", "label"], "left")
+    some, last = F.xxhash64("band", "rep"), F.col("shared") + F.col("pure") - 1
+    first = F.col("shared") + F.col("begin")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    placed = rows.withColumns({
+        "own": F.when(F.col("mine").isNull(), F.pmod(some, F.greatest("shared", F.lit(1)))).otherwise(first + F.pmod(some, "mine")),
+        "all": F.sequence(zero, last),
+        "low": F.when(first > 0, F.sequence(zero, first - 1)).otherwise(none),
+        "high": F.when(first + F.col("mine") <= last, F.sequence(first + F.col("mine"), last)).otherwise(none),
+    })
+    return _paired(placed, F.when(F.col("mine").isNull(), F.col("all")).otherwise(F.concat("low", "high")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,28 +291,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = cut_lineage(texts.mapInArrow(_sketch, _SKETCH))
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
+    banded = classes.select("rep", (F.floor(F.col("n_shingles") / HEAVY) + 1).alias("weight"), F.posexplode("bands").alias("band", "hash"))
     h = F.xxhash64("rep")
     buckets = banded.groupBy("band", "hash").agg(
-        F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")
-    ).where("size > 1")
+        F.count("*").alias("n"), F.sum("weight").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")
+    ).where("n > 1")
     # of buckets of the same members only the first has pairs that no earlier band holds
-    chosen = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash", "size")
-    members = cut_lineage(banded.join(chosen, ["band", "hash"]).select("band", "hash", "rep", "size"))
+    chosen = buckets.groupBy("n", "size", "x", "y").agg(F.min(F.struct("band", "hash")).alias("at")).select("at.band", "at.hash", "size")
+    members = cut_lineage(banded.join(chosen, ["band", "hash"]).select("band", "hash", "rep", "weight", "size"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     contents = cut_lineage(full.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig", "packed"))
-    links = cut_lineage(_linked(members.where(F.col("band") < FIRST_BANDS).withColumn("label", F.col("rep")), contents, parts))
-    found = cut_lineage(components(links))
-    labelled = members.where(F.col("band") >= FIRST_BANDS).join(
-        found.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).select("band", "hash", "rep", "size", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    more = _linked(labelled.join(mixed.select("band", "hash"), ["band", "hash"]), contents, parts)
+    first = _near_cells(members.where(F.col("band") < FIRST_BANDS).withColumn("label", F.col("rep")))
+    found = cut_lineage(components(_opened(first, contents, parts)))
+    # small buckets of the first bands are settled; large ones only as far as their components
+    rest = members.where((F.col("band") >= FIRST_BANDS) | (F.col("size") > BLOCK))
+    labelled = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "band", "hash", "rep", "weight", "size", F.coalesce("component", "rep").alias("label")
+    )
+    more = _opened(_far_cells(labelled), contents, parts)
     found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     named = classes.select("k1", "k2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
-    out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
+    own = sketches.select("doc_id", "n_shingles", "k1", "k2")
+    blank = own.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long"))
+    out = own.where("n_shingles > 0").join(named, ["k1", "k2", "n_shingles"], "left").unionByName(blank)
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept")
