@@ -1,10 +1,14 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, shingle containment verifies them.
 
-A template of L five-word shingles is looked for in windows of 2L shingles that begin at every L-th word, so any L
-shingles in a row lie within one window whole. Bands of one coordinate each make a window that holds three quarters of a
-template (a similarity of a third, at least) collide in one of BANDS bands but for one in ten million. Windows without a
-single shingle of any template can collide with none and aren't hashed. What collides is verified on the shingles
-themselves.
+A template of L shingles is looked for in windows of 2C shingles that begin at every C-th, where C is the step of a fixed
+ladder next above L: any L shingles in a row lie within one window whole. The sketch of a window, and of a template, is
+its BANDS smallest shingle hashes (bottom-k MinHash, one hash for each shingle); each value of it is a band of one
+coordinate. All windows of all texts are hashed and their bands joined to those of a small table of templates.
+
+Two sets of similarity J share none of k smallest hashes with probability (1 - J)^k at most. A window that holds three
+quarters of a template has J of 0.24 or more (L is at least C / sqrt 2), so 32 bands retrieve it but for 1.5 times in
+10,000; up to 16 shingles the sketch of a window is the window itself and retrieves all. What collides is verified on the
+shingles themselves, as texts.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ascii_lower, cut_lineage, table, words_of
 
-#: Notices by which well-known licenses are applied to a work.
+#: Notices by which well-known licenses are applied to a work, and two whole license texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -24,99 +28,120 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR"
+        " DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT"
+        " SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS"
+        " OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH"
+        " THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
+        " \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
+        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,"
+        " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or"
+        " substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+        " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+        " AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,"
+        " ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-WIDTH, BANDS, CONTAINED = 5, 40, 0.75
-#: Templates that may be broadcast and listed in expressions.
+WIDTH, BANDS, CONTAINED = 5, 32, 0.75
+#: Steps of windows: 16 and on by the square root of two.
+LADDER = [round(16 * 2 ** (i / 2)) for i in range(40)]
+#: Templates that may be broadcast: BANDS rows of each, about 2 MB in all.
 MOST_TEMPLATES = 1000
+#: Parts that the rows of one text are dealt to when they fetch its result, so that a common row is no hot key.
+_PARTS = 16
 
 
-def _shingles(words: Column) -> Column:
-    """The five-word shingles of an array of words, in order, as texts; none for fewer words."""
-    n = F.size(words)
-    starts = F.when(n >= WIDTH, F.sequence(F.lit(1), n - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, WIDTH), " "))
+def _shingles(words: Column, width: Column | int) -> Column:
+    """The shingles of `width` words of an array of words, in order, as texts; none for fewer words."""
+    last = F.size(words) - width + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
 
 
-def _bands(shingles: Column) -> Column:
-    """BANDS coordinates of a MinHash signature, each a band of its own."""
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(k, s)))
-    )
+def _hashes(words: Column, width: int) -> Column:
+    """Hashes of the shingles of an array of word hashes, in order."""
+    last = F.size(words) - (width - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+
 
+def _sketch(hashes: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, BANDS)
 
-def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, notice string")
-    return rows.select("license", F.array_distinct(_shingles(words_of(ascii_lower(F.col("notice"))))).alias("own")).where(
-        "size(own) > 0"
-    ).withColumn("length", F.size("own"))
+
+def _template_table(templates: DataFrame) -> DataFrame:
+    """license, own (distinct shingles), length, width, step, sketch. A notice of fewer than five words is one shingle of
+    all its words."""
+    words = templates.select("license", words_of(ascii_lower(F.col("notice"))).alias("w")).where("size(w) > 0")
+    wide = words.withColumn("width", F.least(F.size("w"), F.lit(WIDTH))).withColumn("own", F.array_distinct(_shingles(F.col("w"), F.col("width"))))
+    long = wide.withColumn("length", F.size("own")).withColumn("step", F.array_min(F.filter(F.array(*map(F.lit, LADDER)), lambda c: c >= F.col("length"))))
+    hashed = F.transform("own", lambda s: F.xxhash64(F.transform(F.split(s, " "), lambda w: F.xxhash64(w))))
+    return long.select("license", "own", "length", "width", "step", _sketch(hashed).alias("sketch"))
 
 
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | DataFrame | None = None
 ) -> DataFrame:
     """One row (doc_id, licenses) for each row of `docs`: an array of (license, window, found, containment) by name,
-    one for each template that a window holds to three quarters; of several windows the fullest, then the first.
+    one for each template that a window holds to three quarters; of several windows the fullest, then the first. A window
+    is named by its number, counted in steps of its template.
 
-    Words are what stands between white space, A-Z as a-z. Null, empty and short texts hold nothing; rows that repeat an
-    id or have none are rows of their own; templates of fewer than five words are left out. An empty table gives no
-    rows. Other columns are ignored.
+    `templates`: notices or whole license texts by name, or a table (license, notice); one without words is found nowhere.
+    Words are what stands between white space, A-Z as a-z. Null, empty and short texts hold nothing; very long ones are
+    searched whole; rows that repeat an id or have none are rows of their own. An empty table gives no rows. Other columns
+    are ignored.
     """
-    templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError("more templates than may be broadcast")
     spark = docs.sparkSession
-    known = cut_lineage(_template_table(spark, templates))
-    hashed = known.select("length", F.explode("own").alias("s")).select(
-        "length", F.xxhash64(F.transform(F.split("s", " "), lambda w: F.xxhash64(w))).alias("h")
-    )
-    by_length: dict[int, list[int]] = {}
-    for r in hashed.collect():  # as many as the templates have shingles
-        by_length.setdefault(r.length, []).append(r.h)
-    every = sorted({h for hs in by_length.values() for h in hs})
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-        words_of(ascii_lower(F.col(text_col))).alias("w"),
-    ).withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
-    n = F.size("hw")
-    starts = F.when(n >= WIDTH, F.sequence(F.lit(1), n - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
-    touched = F.filter(
-        F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("hw", i, WIDTH)).alias("h"))),
-        lambda s: s["h"].isin(every) if every else F.lit(False),
-    )
-    found = rows.select("row", "doc_id", "w", touched.alias("hits"))
-
-    def windows(length: int) -> Column:
-        own = F.filter("hits", lambda s: s["h"].isin(by_length[length]))
-        at = F.flatten(F.transform(own, lambda s: F.array(F.floor(s["at"] / length), F.floor(s["at"] / length) - 1)))
-        return F.transform(
-            F.filter(F.array_distinct(at), lambda k: k >= 0),
-            lambda k: F.struct(
-                F.lit(length).alias("length"), k.cast("long").alias("window"),
-                F.slice("w", (k * length + 1).cast("int"), 2 * length + WIDTH - 1).alias("words"),
-            ),
-        )
-
-    kind = "array<struct<length: int, window: bigint, words: array<string>>>"
-    some = F.concat(F.array().cast(kind), *(windows(k) for k in sorted(by_length)))
-    found = cut_lineage(found.select("row", "doc_id", F.when(F.size("hits") > 0, some).alias("windows")))
-    each = found.select("row", F.explode("windows").alias("x")).select(
-        "row", "x.length", "x.window", F.array_distinct(_shingles(F.col("x.words"))).alias("shingles")
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(sorted((TEMPLATES if templates is None else templates).items()), "license string, notice string")
+    known = cut_lineage(_template_table(templates.select("license", "notice")))
+    if known.count() > MOST_TEMPLATES:
+        raise ValueError("more templates than may be broadcast")
+    kinds = [(r.width, r.step) for r in known.select("width", "step").distinct().orderBy("width", "step").collect()]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.xxhash64("doc_id", "t").alias("h1"), F.xxhash64(F.lit("row"), "doc_id", "t").alias("h2")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    hashed = rows.select(*key, words_of(ascii_lower(F.col("t"))).alias("w")).withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
+    hashed = hashed.select("h1", "h2", "w", *(_hashes(F.col("hw"), m).alias(f"s{m}") for m in sorted({m for m, _ in kinds})))
+
+    def numbered(width: int, step: int) -> Column:
+        count = F.ceil(F.size(f"s{width}") / step)
+        numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda k: F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), k.alias("window")))
+
+    none = F.array().cast("array<struct<width: int, step: int, window: bigint>>")
+    each = hashed.withColumn("x", F.explode(F.concat(none, *(numbered(*kind) for kind in kinds))))
+    begin, span = (F.col("x.window") * F.col("x.step") + 1).cast("int"), 2 * F.col("x.step")
+    own = F.lit(None).cast("array<bigint>")
+    for m in {m for m, _ in kinds}:
+        own = F.when(F.col("x.width") == m, F.col(f"s{m}")).otherwise(own)
+    banded = each.withColumn("value", F.explode(_sketch(F.slice(own, begin, span))))
+    offers = known.select("license", "width", "step", F.explode("sketch").alias("value"))
+    named = banded.select("h1", "h2", "w", "value", "x.*", begin.alias("begin"), (span + F.col("x.width") - 1).alias("n_words"))
+    met = named.join(F.broadcast(offers), ["width", "step", "value"]).select(
+        "h1", "h2", "license", "window", F.array_join(F.slice("w", F.col("begin"), F.col("n_words")), " ").alias("words")
     )
-    banded = each.select("*", F.posexplode(_bands(F.col("shingles"))).alias("band", "value"))
-    offers = known.select("license", "length", "own", F.posexplode(_bands(F.col("own"))).alias("band", "value"))
-    met = banded.join(F.broadcast(offers), ["length", "band", "value"]).dropDuplicates(["row", "license", "window"])
-    held = met.withColumn("found", F.size(F.array_intersect("shingles", "own")).cast("long")).withColumn(
+    met = cut_lineage(met.groupBy("h1", "h2", "license", "window").agg(F.first("words").alias("words")))
+    both = met.join(known.drop("sketch"), "license")
+    found = F.size(F.array_intersect(_shingles(F.split("words", " "), F.col("width")), F.col("own"))).cast("long")
+    held = both.select("h1", "h2", "license", "window", "length", found.alias("found")).withColumn(
         "containment", F.col("found") / F.col("length")
     ).where(F.col("containment") >= CONTAINED)
-    first = Window.partitionBy("row", "license").orderBy(F.desc("containment"), "window")
+    first = Window.partitionBy("h1", "h2", "license").orderBy(F.desc("containment"), "window")
     best = held.withColumn("place", F.row_number().over(first)).where("place = 1")
-    by_row = best.groupBy("row").agg(
+    of_text = best.groupBy("h1", "h2").agg(
         F.array_sort(F.collect_list(F.struct("license", "window", "found", "containment"))).alias("licenses")
-    )
-    nothing = F.array().cast(by_row.schema["licenses"].dataType)
-    return found.select("row", "doc_id").join(by_row, "row", "left").select("doc_id", F.coalesce("licenses", nothing).alias("licenses"))
+    ).withColumn("part", F.explode(F.array(*map(F.lit, range(_PARTS)))))
+    nothing = F.array().cast(of_text.schema["licenses"].dataType)
+    asked = rows.select("doc_id", *key, F.pmod(F.monotonically_increasing_id(), F.lit(_PARTS)).cast("int").alias("part"))
+    return asked.join(of_text, ["h1", "h2", "part"], "left").select("doc_id", F.coalesce("licenses", nothing).alias("licenses"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +154,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+_STEPS = ", ".join(f"({c})" for c in LADDER)
 OP4_SQL = rf"""
 WITH templates(license, notice) AS (
     VALUES {_TEMPLATE_ROWS}
+), steps(step) AS (
+    VALUES {_STEPS}
 ), texts AS (
     SELECT NULL AS license, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT license, NULL, notice FROM templates
 ), words AS (
@@ -143,12 +171,12 @@ WITH templates(license, notice) AS (
 ), own AS (
     SELECT DISTINCT license, s FROM shingles WHERE license IS NOT NULL
 ), lengths AS (
-    SELECT license, count(*) AS n FROM own GROUP BY license
+    SELECT license, n, min(step) AS c FROM (SELECT license, count(*) AS n FROM own GROUP BY license) JOIN steps ON step >= n GROUP BY license, n
 ), hits AS (
-    SELECT d.doc_id, o.license, n, d.pos, d.s FROM shingles d JOIN own o ON d.s = o.s JOIN lengths l ON l.license = o.license
+    SELECT d.doc_id, o.license, n, c, d.pos, d.s FROM shingles d JOIN own o ON d.s = o.s JOIN lengths l ON l.license = o.license
     WHERE d.license IS NULL
 ), placed AS (
-    SELECT doc_id, license, n, pos // n AS k, s FROM hits UNION ALL SELECT doc_id, license, n, pos // n - 1, s FROM hits
+    SELECT doc_id, license, n, pos // c AS k, s FROM hits UNION ALL SELECT doc_id, license, n, pos // c - 1, s FROM hits
 ), held AS (
     SELECT doc_id, license, k, count(DISTINCT s) AS found,
            row_number() OVER (PARTITION BY doc_id, license ORDER BY count(DISTINCT s) DESC, k) AS r
