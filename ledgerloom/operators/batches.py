@@ -102,6 +102,69 @@ def checkpoint_differences(rows: DataFrame, statements: DataFrame) -> DataFrame:
     return opened.withColumn("difference", (F.col("balance") - prev - F.col("_sum")).cast(CENTS)).where("difference <> 0").select("stmt_id", "seq", "difference")
 
 
+def extracted_findings(rows: DataFrame, statements: DataFrame) -> DataFrame:
+    """(stmt_id, seq, code) of all that keeps an extracted ledger from reconciling; seq is null for the statement's own.
+
+    rows: stmt_id, seq (as read), place (order of reading), date, description, tx_type, amount, balance; statements: stmt_id,
+    account_id, currency, period_start, period_end, opening, closing, debits, credits, debits_count, credits_count (null: not
+    printed)."""
+    order = Window.partitionBy("stmt_id").orderBy("place")
+    st = statements.select("stmt_id", F.col("period_start").alias("_s"), F.col("period_end").alias("_e"))
+    own = rows.join(st, "stmt_id", "left").withColumns({
+        "_nth": F.row_number().over(Window.partitionBy("stmt_id", "seq").orderBy("place")), "_before": F.lag("date").over(order),
+        "_good": F.coalesce((F.col("amount") > 0) & F.col("tx_type").isin("credit", "debit"), F.lit(False)),
+    })
+    codes = {
+        "sequence_invalid": F.col("seq").isNull() | (F.col("seq") < 1) | (F.col("_nth") > 1), "date_missing": F.col("date").isNull(),
+        "date_outside_period": (F.col("_s") <= F.col("_e")) & ~F.col("date").between(F.col("_s"), F.col("_e")), "dates_out_of_order": F.col("date") < F.col("_before"),
+        "description_missing": F.coalesce(F.trim("description") == "", F.lit(True)), "not_one_positive_side": ~F.col("_good"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in codes.items()]))
+    of_rows = own.select("stmt_id", "seq", F.explode(found).alias("code"))
+    good = own.where("_good").select("stmt_id", F.col("place").alias("seq"), F.col("seq").alias("_shown"), "tx_type", "amount", "balance")
+    steps = checkpoint_differences(good, statements).join(good.select("stmt_id", "seq", "_shown"), ["stmt_id", "seq"])
+    sums = good.groupBy("stmt_id").agg(*[f.alias(f"_{n}") for side in ("debit", "credit") for n, f in (
+        (f"{side}s", F.coalesce(F.sum(F.when(F.col("tx_type") == side, F.col("amount"))), F.lit(0))), (f"{side}s_count", F.count_if(F.col("tx_type") == side)))],
+        F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("seq"))).alias("_last"),
+        F.max(F.when(F.col("balance").isNotNull(), F.col("seq"))).alias("_at"),
+    )
+    move = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    after = good.join(sums.select("stmt_id", "_at"), "stmt_id").where("_at is null or seq > _at").groupBy("stmt_id").agg(F.sum(move).alias("_after"))
+    one = statements.join(sums, "stmt_id", "left").join(after, "stmt_id", "left")
+    c = F.col
+    rolled = F.coalesce("_last", "opening") + F.coalesce("_after", F.lit(0))
+    of_statement = {
+        "account_missing": F.coalesce(F.trim("account_id"), F.lit("")) == "", "currency_missing": c("currency").isNull(),
+        "currency_unsupported": ~c("currency").isin("CAD", "USD"), "period_missing": c("period_start").isNull() | c("period_end").isNull(),
+        "period_reversed": c("period_start") > c("period_end"), "opening_missing": c("opening").isNull(), "closing_missing": c("closing").isNull(),
+        "no_rows": c("_debits").isNull(), "debits_differ": c("debits") != c("_debits"), "credits_differ": c("credits") != c("_credits"),
+        "debits_count_differs": c("debits_count") != c("_debits_count"), "credits_count_differs": c("credits_count") != c("_credits_count"),
+        "closing_not_reached": c("opening").isNotNull() & (rolled != c("closing")),
+        "equation_fails": c("opening") + c("_credits") - c("_debits") != c("closing"),
+    }
+    failed = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in of_statement.items()]))
+    whole = one.select("stmt_id", F.lit(None).cast("int").alias("seq"), F.explode(failed).alias("code"))
+    checked = steps.select("stmt_id", F.col("_shown").alias("seq"), F.lit("checkpoint_difference").alias("code"))
+    return of_rows.unionByName(checked).unionByName(whole)
+
+
+def compare_uploads(first: DataFrame, second: DataFrame, keys: list[str], day: str = "date", values: tuple[str, ...] = ("date", "amount")) -> DataFrame:
+    """U1 to U3, for every key: days that both hold and that any holds, rows that only one holds (copies counted), and whether
+    they are equal as multisets. A key of one side alone is compared with nothing."""
+    sides = first.select(*keys, *values, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        second.select(*keys, *values, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    days = sides.groupBy(*keys, day).agg(F.max("_a").alias("a"), F.max("_b").alias("b")).groupBy(*keys).agg(
+        F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("shared_days"), F.count("*").alias("all_days")
+    )
+    more = F.greatest(F.lit(0), F.col("a") - F.col("b"))
+    less = F.greatest(F.lit(0), F.col("b") - F.col("a"))
+    tally = sides.groupBy(*keys, *values).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b")).groupBy(*keys).agg(
+        F.sum(more).alias("only_first"), F.sum(less).alias("only_second")
+    )
+    return days.join(tally, keys).withColumn("equal", (F.col("only_first") == 0) & (F.col("only_second") == 0))
+
+
 def retry_pages(findings: DataFrame, rows: DataFrame) -> DataFrame:
     """Pages of a statement to read again: those of rows with a finding, and for a balance finding the page of the row
     before; if no finding names a row, all pages. findings: stmt_id, seq (null: the statement), code; rows: stmt_id, seq, page."""

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 MOST_DAYS = 3660
 
 
+def included(df: DataFrame) -> DataFrame:
+    """Statements (or rows) that aren't marked exclude_from_ledger; all of them where there is no such column."""
+    return df.where(~F.coalesce("exclude_from_ledger", F.lit(False))) if "exclude_from_ledger" in df.columns else df
+
+
 def coverage_gaps(statements: DataFrame) -> DataFrame:
     """(case_id, account_id, missing_from, missing_through) between merged periods of an account."""
     w = Window.partitionBy("case_id", "account_id").orderBy("period_start", "period_end").rowsBetween(Window.unboundedPreceding, -1)
-    valid = statements.where("period_start <= period_end and account_id is not null")
+    valid = included(statements).where("period_start <= period_end and account_id is not null")
     return valid.withColumn("_end", F.max("period_end").over(w)).where("period_start > date_add(_end, 1)").select(
         "case_id", "account_id", F.date_add("_end", 1).alias("missing_from"), F.date_sub("period_start", 1).alias("missing_through")
     )
@@ -36,6 +41,7 @@ def covered_days(statements: DataFrame) -> DataFrame:
     ok = F.col("account_id").isNotNull() & (F.col("period_start") <= F.col("period_end")) & (
         F.datediff("period_end", "period_start") <= MOST_DAYS
     )
+    statements = included(statements)
     bad = statements.where(~F.coalesce(ok, F.lit(False))).select("case_id").distinct()
     good = statements.where(F.coalesce(ok, F.lit(False))).join(bad, "case_id", "left_anti")
     return _common(_account_days(good))
@@ -57,7 +63,7 @@ def coverage_summary(days: DataFrame, months: DataFrame | None = None) -> DataFr
 def full_months(statements: DataFrame, per_account: bool = False) -> DataFrame:
     """C4: (case_id, month) that every account covers whole; incomplete statements are skipped. With per_account, each
     account by itself (A8)."""
-    valid = statements.where("account_id is not null and period_start <= period_end")
+    valid = included(statements).where("account_id is not null and period_start <= period_end")
     days = _account_days(valid)
     keys = ["case_id", "account_id"] if per_account else ["case_id"]
     common = days if per_account else _common(days)
@@ -110,16 +116,18 @@ def daily_balances(statements: DataFrame, ledger: DataFrame, months: DataFrame |
     if an account lacks a wanted day. statements: case_id, account_id, stmt_id, period_start, period_end, opening, rate;
     ledger: case_id, account_id, date, seq, tx_type, amount, statement_period_start.
     """
+    statements, ledger = included(statements), included(ledger)
     days = covered_days(statements)
     if months is not None:
         days = days.withColumn("month", month_of(F.col("day"))).join(months, ["case_id", "month"], "left_semi").drop("month")
     last = days.groupBy("case_id").agg(F.max("day").alias("_max"), F.count("*").alias("_wanted"))
-    spans = statements.join(last, "case_id").join(days.withColumnRenamed("day", "_d"), "case_id").where(
-        "_d between period_start and period_end"
-    ).groupBy("case_id", "account_id", "stmt_id", "period_start", "period_end", "opening", "rate", "_max").agg(F.lit(1))
-    st = spans.withColumn("stop", F.least("period_end", "_max")).drop("1")
-    rows = ledger.select("case_id", "account_id", "date", "seq", "tx_type", "amount", F.col("statement_period_start").alias("_origin"))
-    reached = st.join(rows, ["case_id", "account_id"]).where("date between period_start and stop").where(
+    # the days of all statements, once; statements that hold a wanted day, and rows of those days, are joined by the day
+    own_days = statements.withColumn("day", F.explode(F.sequence("period_start", "period_end")))
+    wanted = own_days.join(days, ["case_id", "day"], "left_semi").select("case_id", "stmt_id").distinct()
+    st = statements.join(wanted, ["case_id", "stmt_id"], "left_semi").join(last, "case_id").withColumn("stop", F.least("period_end", "_max"))
+    spine = st.select("case_id", "account_id", "stmt_id", "opening", "rate", "period_start", F.explode(F.sequence("period_start", "stop")).alias("day"))
+    rows = ledger.select("case_id", "account_id", F.col("date").alias("day"), "seq", "tx_type", "amount", F.col("statement_period_start").alias("_origin"))
+    reached = spine.drop("opening", "rate").join(rows, ["case_id", "account_id", "day"]).where(
         ~F.coalesce(F.col("_origin") < F.col("period_start"), F.lit(False))
     )
     good = F.coalesce((F.col("amount") > 0) & F.col("tx_type").isin("credit", "debit"), F.lit(False))
@@ -131,11 +139,10 @@ def daily_balances(statements: DataFrame, ledger: DataFrame, months: DataFrame |
     )
     move = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
     key = ["case_id", "stmt_id"]
-    running = F.sum(move).over(Window.partitionBy(*key).orderBy("date", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    by_day = reached.withColumn("_move", move).withColumn("_cum", running).groupBy(*key, F.col("date").alias("day")).agg(
+    running = F.sum(move).over(Window.partitionBy(*key).orderBy("day", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    by_day = reached.withColumn("_move", move).withColumn("_cum", running).groupBy(*key, "day").agg(
         F.sum("_move").alias("net"), F.min("_cum").alias("lowest")
     )
-    spine = st.select("case_id", "account_id", "stmt_id", "opening", "rate", F.explode(F.sequence("period_start", "stop")).alias("day"))
     rolled = spine.join(by_day, [*key, "day"], "left").withColumn(
         "_cn", F.sum(F.coalesce("net", F.lit(0))).over(Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -88,6 +88,14 @@ def underwriting_inputs(
     return out.withColumns({"velocity": velocity, "burden": burden})
 
 
+def account_figures(ledger: DataFrame, statements: DataFrame, schedule: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`underwriting_inputs` of every account by itself, over its own available months. ledger and statements have the
+    account as their case_id; schedule: positions of a ledger."""
+    ledger, statements = written(ledger), written(statements)
+    months = written(C.coverage_summary(C.covered_days(statements), C.offer_months(statements)))
+    return underwriting_inputs(ledger, statements, months, None if schedule is None else schedule(ledger))
+
+
 def gate_findings(
     cases: DataFrame, ledger: DataFrame, statements: DataFrame, findings: DataFrame, inputs: DataFrame, flags: DataFrame | None = None
 ) -> DataFrame:

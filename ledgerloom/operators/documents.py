@@ -3,7 +3,7 @@ tables; every rule is a condition over columns."""
 
 from __future__ import annotations
 
-from ledgerloom.functions.text import compact
+from ledgerloom.functions.text import bound, compact
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +75,30 @@ def day_in_period(month: Column, day: Column, start: Column, end: Column) -> Col
     return F.when(F.size(fitting) == 1, F.element_at(fitting, 1))
 
 
-def leading_date(text: Column, start: Column, end: Column) -> Column:
-    """the date that a line begins with: 'Mon d', 'd Mon' or ISO; null if its year isn't plain from the period."""
+def _leading(text: Column, start: Column, end: Column) -> Column:
+    """struct(day, rest) of a line that begins with a date: 'Mon d', 'd Mon' or ISO; null if it doesn't, or if its year isn't
+    plain from the period."""
     t = F.trim(text)
     iso = F.regexp_extract(t, r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})(\s|$)", 1)
     parts = F.split(iso, r"[-/.]")
     plain = F.concat_ws("-", parts[0], F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(2)), 2, "0")).try_cast("date")
-    mon = F.coalesce(F.nullif(F.regexp_extract(t, r"^([A-Za-z]{3})\s*\d{1,2}(\s|$)", 1), F.lit("")), F.regexp_extract(t, r"^\d{1,2}\s*([A-Za-z]{3})(\s|$)", 1))
-    num = F.coalesce(F.nullif(F.regexp_extract(t, r"^[A-Za-z]{3}\s*(\d{1,2})(\s|$)", 1), F.lit("")), F.regexp_extract(t, r"^(\d{1,2})\s*[A-Za-z]{3}(\s|$)", 1))
+    first, second = r"^([A-Za-z]{3})\s*(\d{1,2})(?:\s|$)", r"^(\d{1,2})\s*([A-Za-z]{3})(?:\s|$)"
+    found = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit(""))
+    mon, num = F.coalesce(found(first, 1), found(second, 2)), F.coalesce(found(first, 2), found(second, 1))
+    whole = F.coalesce(F.nullif(iso, F.lit("")), found(first, 0), found(second, 0))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(mon)).cast("int")
-    return F.when(iso != "", plain).when(month > 0, day_in_period(month, num.try_cast("int"), start, end))
+    day = F.when(iso != "", plain).when(month > 0, day_in_period(month, num.try_cast("int"), start, end))
+    return F.when(day.isNotNull(), F.struct(day.alias("day"), F.substr(t, F.length(whole) + 1).alias("rest")))
+
+
+def leading_dates(text: Column, start: Column, end: Column) -> Column:
+    """up to two dates that a line begins with, in order."""
+    return bound(_leading(text, start, end), lambda one: F.array_compact(F.array(one["day"], _leading(one["rest"], start, end)["day"])))
+
+
+def leading_date(text: Column, start: Column, end: Column) -> Column:
+    """the first date that a line begins with, else null."""
+    return _leading(text, start, end)["day"]
 
 
 def stitched(lines: DataFrame, is_row: Column, keys: list[str], order: str, forward: bool = False) -> DataFrame:
@@ -119,13 +133,40 @@ def captured(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return pages.select("*", *[F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(n) for n, p in patterns.items()])
 
 
-def routed(text: Column, routes: list[tuple[str, list[str]]]) -> Column:
-    """The first layout all of whose texts a page holds; unsupported if none, image_only without text."""
-    out = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "image_only").otherwise("unsupported")
-    for name, needed in reversed(routes):
+#: The layouts, in the order in which they are tried, and what the first page of each holds. A test is a text as
+#: it stands, 'lower:' a text whatever its case, 'packed:' one without white space or case, 'like:' a pattern.
+ROUTES = [
+    ("neo", ["Neo Everyday Account Summary"]),
+    ("wise", ["Wise Payments", "statement"]),
+    ("vancity", ["packed:INDEPENDENTBUSINESSACCOUNT#", "lower:vancity"]),
+    ("rbc_french", ["lower:rbcbanqueroyale.com", "Sommaire de votre compte"]),
+    ("atb", ["lower:atb.com", "like:Consolidated Statement|Deposit Account Statement"]),
+    ("activity_screen", ["Scotiabank", "Current Account", "Transactions", "like:^((?!Account Summary for this Period)[\\s\\S])*$"]),
+    ("rbc", ["packed:ROYALBANKOFCANADA", "Account Summary for this Period"]),
+    ("scotia", ["like:(?i)scotiabank|bank of nova scotia", "like:Business Account\\s+\\d{5}\\s+\\d{5}\\s+\\d{2}", "Account Summary for this Period"]),
+    ("td", ["like:Statement of Account[\\s\\S]*CHEQUE/DEBIT|CHEQUE/DEBIT[\\s\\S]*Statement of Account"]),
+    ("td", ["Account Activity", "Withdrawals", "Deposits"]),
+    ("flinks", ["like:(?i)flinks dashboard|dashboard\\.flinks\\.com"]),
+    ("servus", ["lower:servus.ca", "Business Plan 150 #"]),
+    ("cibc", ["lower:cibc account statement", "lower:transaction details", "lower:account number"]),
+    ("bmo_business", ["lower:bmo.com", "Business Banking statement"]),
+    ("bmo_business_french", ["lower:bmo.com", "like:(?i)p[eé]riode termin[eé]e le"]),
+    ("national_french", ["MM JJ", "Période du"]),
+]
+
+
+def routed(text: Column, routes: list[tuple[str, list[str]]] | None = None) -> Column:
+    """The first layout all of whose tests a first page meets (see ROUTES); unsupported if none, image_only without text."""
+    out = F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\S")), "unsupported").otherwise("image_only")
+    packed = F.upper(F.regexp_replace(text, r"\s", ""))
+    for name, needed in reversed(ROUTES if routes is None else routes):
         hit = F.lit(True)
         for n in needed:
-            hit = hit & F.contains(F.lower(text), F.lit(n.lower()))
+            kind, _, rest = n.rpartition(":") if n.startswith(("lower:", "packed:")) else (("like", "", n[5:]) if n.startswith("like:") else ("", "", n))
+            hit = hit & {
+                "lower": lambda x: F.contains(F.lower(text), F.lit(x.lower())), "packed": lambda x: F.contains(packed, F.lit(x)),
+                "like": lambda x: F.regexp_like(text, F.lit(x)), "": lambda x: F.contains(text, F.lit(x)),
+            }[kind](rest)
         out = F.when(hit, name).otherwise(out)
     return out
 
@@ -145,27 +186,46 @@ def identified(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Where a header ends, labels of names, what a name is followed by, and companies by suffix or by number.
+TABLE_TITLE = r"(?i)Transaction\s*details|Account\s+(?:Activity\s+)?Details\b"
+NAME_LABEL = r"(?i)(?:Business\s*name|Operating\s*as)\s*:\s*\n([^\n]+)"
+NAME_TAIL = r"(?i)\s+For\s*questions[\s\S]*"
+SUFFIXED = r"(?i)^[\w &.,\-/’']{2,100}\s+(INC\.?|LTD\.?|LIMITED|LT[ÉE]E\.?|CORP\.?|CORPORATION)$"
+NUMBERED = r"(?i)^(\d[\d \-]{4,}\d)\s*(CANADA|ONTARIO|QU[ÉE]BEC)\s*(INC\.?|LTD\.?|LIMITED|LT[ÉE]E\.?)$"
+
+
 def header_names(docs: DataFrame) -> DataFrame:
-    """Business names of the lines above the transaction table: corporate suffixes and numbered companies, distinct by
-    key, the first spelling kept: (doc_id, key, name)."""
-    header = F.element_at(F.split("text", r"(?i)Transaction\s*details|Account\s+(?:Activity\s+)?Details\b"), 1)
-    lines = docs.select("doc_id", F.posexplode(F.split(header, "\n")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
-    suffix = r"(?i)^[\w &.,\-/’']{2,100}\s+(INC\.?|LTD\.?|LIMITED|LT[ÉE]E\.?|CORP\.?|CORPORATION)$"
-    numbered = r"(?i)^(\d[\d \-]{4,}\d)\s*(CANADA|ONTARIO|QU[ÉE]BEC)\s*(INC\.?|LTD\.?|LIMITED|LT[ÉE]E\.?)$"
-    number = F.concat(F.regexp_replace(F.regexp_extract("line", numbered, 1), r"\s", ""), F.lit(" "), F.upper(F.regexp_extract("line", numbered, 2)), F.lit(" "),
-                      F.rtrim(F.upper(F.regexp_extract("line", numbered, 3)), F.lit(".")), F.lit("."))
-    name = F.when(F.regexp_like("line", F.lit(numbered)), number).when(F.regexp_like("line", F.lit(suffix)), F.col("line"))
-    found = lines.withColumn("name", name).where("name is not null").withColumn("key", compact(F.col("name")))
+    """Business names of a document: labelled ones anywhere (as the header spells them, if it has them), then the lines
+    above the transaction table with a corporate suffix or of a numbered company; distinct by key, the first spelling kept:
+    (doc_id, key, name)."""
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    header = F.element_at(F.split("text", TABLE_TITLE), 1)
+    every = docs.select("doc_id", "text", F.split(header, "\n").alias("lines"))
+    hits = F.transform(F.regexp_extract_all("text", F.lit(NAME_LABEL), F.lit(1)), lambda x: F.trim(x))
+    labelled = every.select("doc_id", "lines", F.posexplode(hits).alias("pos", "printed"))
+    cut = lambda x: F.regexp_replace(x, NAME_TAIL, "")
+    spelled = F.get(F.filter("lines", lambda x: compact(cut(x)) == compact(F.col("printed"))), F.lit(0))
+    own = labelled.select("doc_id", (F.col("pos") - 1_000_000).alias("pos"), squeezed(cut(F.coalesce(spelled, "printed"))).alias("name"))
+    lines = every.select("doc_id", F.posexplode("lines").alias("pos", "line")).withColumn("line", squeezed("line"))
+    part = lambda k: F.regexp_extract("line", NUMBERED, k)
+    number = F.concat(F.regexp_replace(part(1), r"\s", ""), F.lit(" "), F.upper(part(2)), F.lit(" "), F.rtrim(F.upper(part(3)), F.lit(".")), F.lit("."))
+    name = F.when(F.regexp_like("line", F.lit(NUMBERED)), number).when(F.regexp_like("line", F.lit(SUFFIXED)), F.col("line"))
+    found = own.unionByName(lines.select("doc_id", "pos", name.alias("name"))).where("trim(name) <> ''").withColumn("key", compact(F.col("name")))
     return found.groupBy("doc_id", "key").agg(F.min_by("name", "pos").alias("name"))
 
 
 def integrity_flags(docs: DataFrame, chars: DataFrame | None = None) -> DataFrame:
-    """(doc_id, code) of a file's bytes as Latin-1 text (`raw`), its metadata and digits printed over each other."""
+    """(doc_id, code) of a file's bytes as Latin-1 text (`raw`), its metadata and digits printed over each other; where
+    docs has them, of its annotations (kinds; links don't count) and of a file that couldn't be read, which is no clean one."""
     flags = {
         "PDF_REVISIONS": (F.regexp_count("raw", F.lit("%%EOF")) > 1) & F.regexp_like("raw", F.lit(r"/Prev\s+\d+")),
         "EDITING_SOFTWARE": F.regexp_like(F.coalesce("producer", F.lit("")), F.lit(EDITORS)),
         "NO_TEXT_LAYER": F.trim(F.coalesce("text", F.lit(""))) == "",
     }
+    if "annotations" in docs.columns:
+        flags["ANNOTATIONS"] = F.exists("annotations", lambda a: a != "Link")
+    if "readable" in docs.columns:
+        flags["UNREADABLE"] = ~F.coalesce("readable", F.lit(False))
     found = docs.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in flags.items()]))).alias("code"))
     if chars is None:
         return found
@@ -184,13 +244,18 @@ def glyph_cells(chars: DataFrame) -> DataFrame:
 
 
 def verified_dates(rows: DataFrame, printed: DataFrame) -> DataFrame:
-    """Adds `date_check`: verified, mismatch or unverified. A row is matched to the one printed line of its page with its
-    amount and balance, at most 3 above or below. printed: stmt_id, page, top, amount, balance, printed_date."""
-    own = printed.select("stmt_id", "page", F.col("top").alias("_top"), "amount", "balance", "printed_date").where("printed_date is not null")
+    """Adds `date_check`: verified, mismatch or unverified. A row is matched to the one dated printed line of its page with
+    its amount and balance, at most 3 above or below. A line of two dates settles only rows that also have a posted_date,
+    by its second date. printed: stmt_id, page, top, amount, balance and printed_date, or dates (an array, see
+    `leading_dates`)."""
+    dates = F.col("dates") if "dates" in printed.columns else F.array_compact(F.array("printed_date"))
+    own = printed.select("stmt_id", "page", F.col("top").alias("_top"), "amount", "balance", dates.alias("_dates")).where("size(_dates) > 0")
     met = rows.join(own, ["stmt_id", "page", "amount", "balance"]).where(F.col("top").isNull() | (F.abs(F.col("top") - F.col("_top")) <= LINE_HEIGHT))
-    unique = met.groupBy("stmt_id", "seq").agg(F.count("*").alias("_n"), F.max("printed_date").alias("_d")).where("_n = 1")
+    unique = met.groupBy("stmt_id", "seq").agg(F.count("*").alias("_n"), F.max("_dates").alias("_d")).where("_n = 1")
     out = rows.join(unique, ["stmt_id", "seq"], "left")
-    return out.select(*rows.columns, F.when(F.col("_d").isNull(), "unverified").when(F.col("_d") == F.col("date"), "verified").otherwise("mismatch").alias("date_check"))
+    posted = F.col("posted_date").isNotNull() if "posted_date" in rows.columns else F.lit(False)
+    expected = F.when(posted, F.try_element_at("_d", F.lit(-1))).when(F.size("_d") == 1, F.get("_d", F.lit(0)))
+    return out.select(*rows.columns, F.when(expected.isNull(), "unverified").when(expected == F.col("date"), "verified").otherwise("mismatch").alias("date_check"))
 
 
 def credit_score(text: Column) -> Column:

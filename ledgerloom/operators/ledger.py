@@ -6,6 +6,7 @@ from __future__ import annotations
 from ledgerloom import rules
 from ledgerloom.functions.money import CENTS, month_of
 from ledgerloom.functions.text import compact
+from ledgerloom.operators.coverage import included
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ def drop_repeated_activity(rows: DataFrame) -> DataFrame:
     """G1: adds `kept`. The k-th copy of a row (account, currency, date, side, amount, description) in a later statement
     goes if an earlier statement has k copies of it or more; rows without a date always stay.
 
-    rows: case_id, stmt_id, stmt_ord, seq and the columns of a ledger row.
+    rows: case_id, stmt_id, stmt_ord, seq and the columns of a ledger row; those marked exclude_from_ledger (P4) are left
+    out.
     """
+    rows = included(rows)
     text = F.upper(F.trim(F.regexp_replace("description", r"\s+", " ")))
     key = ["case_id", "account_id", "currency", "date", "tx_type", "_amount", "_text"]
     keyed = rows.withColumn("_amount", F.col("amount").cast(CENTS)).withColumn("_text", text)
@@ -85,14 +88,17 @@ def validate_rows(rows: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def validate_statements(rows: DataFrame, statements: DataFrame) -> DataFrame:
-    """V1, statement part: one row for each statement that has rows: sums, and which of its printed figures fail."""
+    """V1 and D16, statement part: one row for each statement that has rows: sums, and which of its printed figures fail:
+    totals, numbers of debits and credits (debits_count, credits_count, where printed), the equation, the closing balance."""
     own = running_balances(rows, statements)
     by = own.groupBy("case_id", "stmt_id").agg(
         F.count("*").alias("n_rows"),
         F.sum(F.when(F.col("_ok") & (F.col("tx_type") == "debit"), F.col("amount"))).alias("d"),
         F.sum(F.when(F.col("_ok") & (F.col("tx_type") == "credit"), F.col("amount"))).alias("c"),
         F.max(F.struct("seq", "_ok", "running", "balance")).alias("last"), F.count_if("mismatch").alias("balance_errors"),
+        *[F.count_if(F.col("_ok") & (F.col("tx_type") == side)).alias(f"_n_{side}s") for side in ("debit", "credit")],
     )
+    counted = [f"{side}_count" for side in ("debits", "credits") if f"{side}_count" in statements.columns]
     cents = lambda name: F.coalesce(F.col(name), F.lit(0)).cast(CENTS)
     final = F.when(F.col("last._ok"), F.coalesce("last.balance", "last.running"))
     out = by.join(statements, ["case_id", "stmt_id"])
@@ -103,9 +109,20 @@ def validate_statements(rows: DataFrame, statements: DataFrame) -> DataFrame:
         wrong(F.col("opening") + cents("c") - cents("d") != F.col("closing")).alias("equation_wrong"),
         wrong(final != F.col("closing")).alias("closing_wrong"),
         F.coalesce(F.col("period_start") > F.col("period_end"), F.lit(True)).alias("period_invalid"),
+        *[wrong(F.col(c) != F.col(f"_n_{c.removesuffix('_count')}")).alias(f"{c}_wrong") for c in counted],
     )
 
 
+def statement_status(statements: DataFrame, row_findings: DataFrame, checks: DataFrame) -> DataFrame:
+    """V1: `statements` with `status` turned to review_required where a row has a finding or a printed figure fails; others
+    keep theirs. row_findings as of `validate_rows`, checks as of `validate_statements`."""
+    fails = [F.col(c) for c in checks.columns if c.endswith("_wrong") or c == "period_invalid"]
+    any_fails = (F.col("balance_errors") > 0) | F.array_contains(F.array(*fails), F.lit(True))
+    bad = row_findings.select("case_id", "stmt_id").unionByName(checks.where(any_fails).select("case_id", "stmt_id")).distinct().withColumn("_bad", F.lit(True))
+    status = F.when(F.col("_bad"), F.lit("review_required")).otherwise(F.col("status"))
+    return statements.join(bad, ["case_id", "stmt_id"], "left").select(*[status.alias(c) if c == "status" else F.col(c) for c in statements.columns])
+
+
 def overlapping_periods(statements: DataFrame) -> DataFrame:
     """V3: pairs of statements of one account whose periods overlap, but for a touch at a boundary with different
     starts. An equi-join on the account with a range condition."""
@@ -148,9 +165,31 @@ def match_fx_transfers(ledger: DataFrame) -> DataFrame:
     return good.select("case_id", "date", "reference", "credit_id", "debit_id")
 
 
+#: How accounts of three families print the other account of a transfer: family, pattern, the group that says
+#: 'to' or 'from' (0: none), and what names the account.
+TRANSFER_TEXTS = [
+    ("bmo_business:", r"(?i)^Transfer,\s*(\d{4})-(\d{4})-(\d{3})\b", 0, "bmo_business:$1$2-$3"),
+    ("scotia:", r"(?i)^TRANSFER\s+(TO|FROM)\s+(\d{5})\s+(\d{5})\s+(\d{2})\b", 1, "scotia:$2$3$4"),
+    ("vancity:", r"(?i)FUNDSTRANSFER-ONLINE(TO|FROM)#10(\d*)", 1, "vancity:$2"),
+]
+
+
+def transfer_target(account_id: Column, tx_type: Column, description: Column) -> Column:
+    """The account that a row of one of three families names as its other side, else null: 'to' must stand in a debit and
+    'from' in a credit. One family prints its texts with spaces anywhere."""
+    out = F.lit(None).cast("string")
+    for family, pattern, side, shown in TRANSFER_TEXTS:
+        text = F.regexp_replace(description, r"\s", "") if family == "vancity:" else description
+        named = F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, shown)
+        told = F.upper(F.regexp_extract(text, pattern, side)) if side else F.lit("")
+        right = F.lit(True) if not side else tx_type == F.when(told == "TO", "debit").otherwise("credit")
+        out = F.when(F.startswith(account_id, F.lit(family)), F.when(right, F.nullif(named, F.lit("")))).otherwise(out)
+    return out
+
+
 def match_reciprocal_transfers(ledger: DataFrame) -> DataFrame:
     """Credits and debits that name each other's account, of the same date, amount and currency, unique from both
-    sides. `ledger` has `target` (the account that the description names, null if none) and `holder` (may be null):
+    sides. `ledger` has `target` (see `transfer_target`; null if none) and `holder` (may be null):
     accounts of the 'bmo_business:' and 'scotia:' families also need one holder and a known currency. A credit without a
     unique debit contests nothing. One row a pair: case_id, credit_id, debit_id."""
     named = ledger.where("target is not null")

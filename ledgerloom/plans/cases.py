@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ledgerloom.functions.money import CENTS
 from ledgerloom.lineage import written
 from ledgerloom.operators import classify as K
@@ -93,6 +95,26 @@ def j2_reciprocal_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.match_reciprocal_transfers(_reciprocal_rows(spark, sf_dir))
 
 
+@query("j2_transfer_targets", over_orders(""", n AS (
+    SELECT id, tx_type, number % 3 AS f, lpad((id % 10000)::VARCHAR, 4, '0') AS a, lpad((id * 7 % 10000)::VARCHAR, 4, '0') AS b, lpad((id % 1000)::VARCHAR, 3, '0') AS c FROM ledger
+)
+SELECT id, CASE f WHEN 0 THEN 'bmo_business:' || a || b || '-' || c WHEN 1 THEN CASE WHEN (tx_type = 'debit') = (id % 5 <> 0) THEN 'scotia:1' || a || '2' || b || right(c, 2) END
+    ELSE CASE WHEN id % 7 <> 0 AND (tx_type = 'debit') = (id % 5 <> 0) THEN 'vancity:' || a || b END END AS target FROM n"""))
+def j2_transfer_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three families that print the other account in their own ways; in two of them 'to' and 'from' must fit the side."""
+    k, n = F.col("id"), F.element_at(F.split("account_id", ":"), 2).cast("long")
+    a, b, c = F.lpad((k % 10000).cast("string"), 4, "0"), F.lpad((k * 7 % 10000).cast("string"), 4, "0"), F.lpad((k % 1000).cast("string"), 3, "0")
+    told = F.when(k % 5 != 0, "TO").otherwise("FROM")
+    bmo = F.concat(F.lit("Transfer, "), a, F.lit("-"), b, F.lit("-"), c, F.lit(" ref"))
+    scotia = F.concat(F.lit("TRANSFER "), told, F.lit(" 1"), a, F.lit(" 2"), b, F.lit(" "), F.right(c, F.lit(2)))
+    vancity = F.concat(F.lit("Funds Trans fer - Online "), told, F.lit(" #"), F.when(k % 7 != 0, "10").otherwise("20"), a, F.lit(" "), b)
+    rows = orders_ledger(spark, sf_dir).select(
+        "id", "tx_type", F.when(n % 3 == 0, "bmo_business:1").when(n % 3 == 1, "scotia:1").otherwise("vancity:1").alias("account_id"),
+        F.when(n % 3 == 0, bmo).when(n % 3 == 1, scotia).otherwise(vancity).alias("description"),
+    )
+    return rows.select("id", L.transfer_target(F.col("account_id"), F.col("tx_type"), F.col("description")).alias("target"))
+
+
 @query("j6_reporting_currency", over_orders("""
 SELECT id, CAST(CASE WHEN currency = 'USD' THEN amount * 1.365 ELSE amount END AS DECIMAL(18,4)) AS reporting_amount FROM ledger WHERE case_id <> 3"""))
 def j6_reporting_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,9 +524,9 @@ _FACTS = {
 }
 
 
-def _decision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decision_ledger(spark: SparkSession, sf_dir: str, keyed: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     k = F.col("case_id")
-    rows = orders_ledger(spark, sf_dir).withColumn("amount", F.when(k % 7 == 6, 1 + F.col("id") % 50).otherwise(F.col("amount")).cast(CENTS))
+    rows = keyed(orders_ledger(spark, sf_dir)).withColumn("amount", F.when(k % 7 == 6, 1 + F.col("id") % 50).otherwise(F.col("amount")).cast(CENTS))
     own = K.classify_local(K.classify(rows)).withColumn("statement_period_start", F.trunc("date", "month"))
     late = (k % 6 == 5) & (F.col("description") == "RENT")
     decided = (k % 5 != 4) & (F.col("revenue_status") == P.rules.REVIEW)
@@ -514,28 +536,34 @@ def _decision_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _decision_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decision_statements(spark: SparkSession, sf_dir: str, keyed: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     k, bad = F.col("case_id"), (F.col("stmt_ord") % 17 == 3) & (F.col("case_id") % 3 == 1)
-    return orders_statements(spark, sf_dir).withColumns({
+    return keyed(orders_statements(spark, sf_dir)).withColumns({
         "opening": F.when(k % 11 != 10, F.col("opening")), "rate": F.lit(1).cast("decimal(18,6)"),
         "status": F.when(bad, F.lit("review_required")).otherwise(F.lit(X.ALLOWED_STATUSES[0])),
         "extraction_method": F.when(F.col("stmt_ord") % 29 == 0, F.lit(X.READ_BY_MODEL[0])).otherwise(F.lit("text")),
     })
 
 
-def _decision_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Everything that a decision run rests on."""
-    ledger, statements = written(_decision_ledger(spark, sf_dir)), written(_decision_statements(spark, sf_dir))
-    months = written(chosen_months(statements))
+def _schedule_of(ledger: DataFrame) -> DataFrame:
+    """A position for every group of payments: those of BIZFUND in even cases are no debt, every fourth case isn't verified."""
     k = F.col("case_id")
     groups = D.debt_payments(ledger).groupBy("case_id", "account_id", "lender", F.col("reference").alias("contract")).agg(F.first("tier").alias("tier"))
     no = (F.col("lender") == "BIZFUND") & (k % 2 == 0)
-    positions = written(groups.select(
+    return groups.select(
         F.concat_ws("/", "account_id", "lender", "contract").alias("position_id"), "case_id", "account_id", "lender", "contract", F.lit("").alias("reference"),
         F.when(F.col("tier").isin("Premium", "Standard"), "MCA").otherwise("Other debt").alias("kind"), F.when(no, "Not debt").otherwise("Active").alias("status"),
         F.lit("Monthly").alias("frequency"), (100 + F.element_at(F.split("account_id", ":"), 2).cast("long") * 10).cast(CENTS).alias("payment"),
         (k % 4 != 1).alias("verified"), F.array().cast("array<struct<id: bigint>>").alias("evidence"),
-    ))
+    )
+
+
+def _decision_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Everything that a decision run rests on."""
+    ledger, statements = written(_decision_ledger(spark, sf_dir)), written(_decision_statements(spark, sf_dir))
+    months = written(chosen_months(statements))
+    k = F.col("case_id")
+    positions = written(_schedule_of(ledger))
     inputs = written(X.underwriting_inputs(ledger, statements, months, positions))
     findings = statements.where("status = 'review_required'").select("case_id", "stmt_id", F.when(k % 13 == 7, "Suspected manipulation of text").otherwise("Totals differ").alias("code"))
     names = sorted(P.rules.INDUSTRIES)[:2]
@@ -609,6 +637,17 @@ def a11_decision_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("a7_account_figures", over_orders(f"""{_INPUTS}
+SELECT case_id AS account_number, months, round(r, 4) AS revenue, o AS operating_outflows, adb AS average_daily_balance, negative AS negative_days FROM inputs""", recursive=True)
+    .replace("o_custkey // 500 * 5 + o_custkey % 5 AS case_id", "o_custkey // 500 * 20 + o_custkey % 20 AS case_id"))
+def a7_account_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account by itself, over its own available months: the same measures, with the account in place of the case."""
+    own = lambda df: df.withColumn("case_id", F.element_at(F.split("account_id", ":"), 2).cast("long"))
+    return X.account_figures(_decision_ledger(spark, sf_dir, own), _decision_statements(spark, sf_dir, own), _schedule_of).select(
+        F.col("case_id").alias("account_number"), "months", F.round("revenue", 4).alias("revenue"), "operating_outflows", "average_daily_balance", "negative_days"
+    )
+
+
 _GATES = f"""{_INPUTS}, k AS (
     SELECT i.*, i.case_id AS k, i.case_id % 3 = 0 AS waived, {_FACTS["industry"]} AS industry, (i.case_id // 2) % 4 AS u,
         (SELECT count(*) FROM statements s WHERE s.case_id = i.case_id AND stmt_ord % 17 = 3 AND i.case_id % 3 = 1) AS bad,

@@ -236,12 +236,61 @@ def v1_row_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v1_statement_checks", over_orders(f"""{_RUNNING}, last AS (
     SELECT stmt_id, coalesce(balance, run) AS final FROM summed s WHERE seq = (SELECT max(seq) FROM ledger l WHERE l.stmt_id = s.stmt_id)
+), numbers AS (
+    SELECT stmt_id, count(*) FILTER (WHERE tx_type = 'debit') AS nd, count(*) FILTER (WHERE tx_type = 'credit') AS nc FROM ledger GROUP BY 1
+), printed AS (
+    SELECT stmt_id, CASE WHEN stmt_ord % 4 = 0 THEN debits + 1 ELSE debits END AS d, CASE WHEN stmt_ord % 3 <> 0 THEN nd + (stmt_ord % 6 = 1)::INT END AS dn, stmt_ord % 9 = 4 AS reversed
+    FROM statements JOIN numbers USING (stmt_id)
 )
 SELECT s.stmt_id, count(*) AS n_rows, max(debits) AS sum_debits, max(credits) AS sum_credits, count(*) FILTER (WHERE balance <> run) AS balance_errors,
-    false AS debits_wrong, false AS credits_wrong, false AS equation_wrong, max(final) <> max(closing) AS closing_wrong, false AS period_invalid
-FROM summed s JOIN last USING (stmt_id) GROUP BY s.stmt_id"""))
+    max(d) <> max(debits) AS debits_wrong, false AS credits_wrong, false AS equation_wrong, max(final) <> max(closing) AS closing_wrong, bool_or(reversed) AS period_invalid,
+    coalesce(max(dn) <> max(nd), false) AS debits_count_wrong, false AS credits_count_wrong
+FROM summed s JOIN last USING (stmt_id) JOIN numbers USING (stmt_id) JOIN printed USING (stmt_id) GROUP BY s.stmt_id"""))
 def v1_statement_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.validate_statements(orders_ledger(spark, sf_dir), orders_statements(spark, sf_dir)).drop("case_id")
+    return L.validate_statements(orders_ledger(spark, sf_dir), _printed_statements(spark, sf_dir)).drop("case_id")
+
+
+def _printed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with printed numbers of rows, some of them and some totals off by one, some periods turned round (V5)."""
+    ledger, o = orders_ledger(spark, sf_dir), F.col("stmt_ord")
+    numbers = ledger.groupBy("stmt_id").agg(F.count_if(F.col("tx_type") == "debit").alias("nd"), F.count_if(F.col("tx_type") == "credit").alias("credits_count"))
+    st = orders_statements(spark, sf_dir).join(numbers, "stmt_id")
+    turned = o % 9 == 4
+    return st.withColumns({
+        "debits_count": F.when(o % 3 != 0, F.col("nd") + (o % 6 == 1).cast("int")), "debits": F.when(o % 4 == 0, F.col("debits") + 1).otherwise(F.col("debits")).cast(money.CENTS),
+        "period_start": F.when(turned, F.date_add("period_end", 1)).otherwise(F.col("period_start")),
+    })
+
+
+@query("v1_statement_status", over_orders(f"""{_RUNNING}, bad AS (
+    SELECT stmt_id FROM summed WHERE balance <> run OR date < period_start OR date > period_end UNION SELECT stmt_id FROM statements WHERE stmt_ord % 4 = 0 OR stmt_ord % 9 = 4 OR stmt_ord % 6 = 1
+)
+SELECT s.stmt_id, CASE WHEN s.stmt_id IN (SELECT stmt_id FROM bad) OR coalesce(l.balance, l.run) <> s.closing THEN 'review_required' ELSE 'reconciled' END AS status
+FROM statements s JOIN summed l ON l.stmt_id = s.stmt_id AND l.seq = (SELECT max(seq) FROM ledger x WHERE x.stmt_id = s.stmt_id)"""))
+def v1_statement_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = written(_printed_statements(spark, sf_dir).withColumn("status", F.lit("reconciled")))
+    rows = orders_ledger(spark, sf_dir).join(st.select("stmt_id"), "stmt_id", "left_semi")
+    return L.statement_status(st, L.validate_rows(rows, st), L.validate_statements(rows, st)).select("stmt_id", "status")
+
+
+@query("p4_ledger_exclusion", over_orders(""", own AS (
+    SELECT * FROM statements WHERE stmt_ord % 10 <> 0
+), d2 AS (
+    SELECT DISTINCT case_id, account_id, unnest(generate_series(period_start, period_end, INTERVAL 1 DAY))::DATE AS day FROM own
+), c2 AS (
+    SELECT case_id, day FROM d2 GROUP BY case_id, day HAVING count(*) = (SELECT count(DISTINCT account_id) FROM own o WHERE o.case_id = d2.case_id)
+)
+SELECT case_id, 'covered days' AS what, count(*) AS n FROM c2 GROUP BY case_id
+UNION ALL SELECT case_id, 'gaps', count(*) FROM (SELECT case_id, period_start, max(period_end) OVER (PARTITION BY account_id ORDER BY stmt_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM own)
+    WHERE period_start > e + 1 GROUP BY case_id
+UNION ALL SELECT l.case_id, 'rows', count(*) FROM ledger l WHERE l.stmt_ord % 10 <> 0 GROUP BY l.case_id"""))
+def p4_ledger_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of every tenth month are excluded: from the covered days, the gaps and the assembled ledger."""
+    mark = lambda df: df.withColumn("exclude_from_ledger", F.when(F.col("stmt_ord") % 10 == 0, F.lit(True)))
+    st, rows = mark(orders_statements(spark, sf_dir)), mark(orders_ledger(spark, sf_dir))
+    count = lambda df, what: df.groupBy("case_id").agg(F.count("*").alias("n")).select("case_id", F.lit(what).alias("what"), "n")
+    parts = [count(C.covered_days(st), "covered days"), count(C.coverage_gaps(st), "gaps"), count(L.drop_repeated_activity(rows).where("kept"), "rows")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _shifted(statements: DataFrame) -> DataFrame:

@@ -347,24 +347,42 @@ def d3_carried_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f11_leading_dates", over_orders("""
-SELECT l.id, CASE WHEN l.date BETWEEN s.period_start AND s.period_end OR l.id % 3 = 2 THEN l.date END AS leading FROM ledger l JOIN statements s USING (stmt_id)"""))
+SELECT l.id, CASE WHEN l.date BETWEEN s.period_start AND s.period_end OR l.id % 3 = 2 THEN l.date END AS leading,
+    CASE WHEN l.id % 4 = 1 AND (l.date BETWEEN s.period_start AND s.period_end OR l.id % 3 = 2) AND l.date + 1 BETWEEN s.period_start AND s.period_end THEN CAST(l.date + 1 AS DATE) END AS second
+FROM ledger l JOIN statements s USING (stmt_id)"""))
 def f11_leading_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three forms of a date; every fourth line has the next day as a second one."""
     k = F.col("id") % 3
     text = F.when(k == 0, F.date_format("date", "MMM d")).when(k == 1, F.date_format("date", "d MMM")).otherwise(F.date_format("date", "yyyy/M/d"))
     rows = orders_ledger(spark, sf_dir).join(orders_statements(spark, sf_dir).select("stmt_id", "period_start", "period_end"), "stmt_id")
-    line = F.concat_ws(" ", F.lit(" "), text, F.col("description"))
-    return rows.select("id", D.leading_date(line, F.col("period_start"), F.col("period_end")).alias("leading"))
-
-
-_ROUTES = [("first", ["the", "with"]), ("second", ["der"]), ("third", ["que", "la"])]
-
-
-@query("d7_layout_routes", """
-SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'image_only' WHEN contains(lower(text), 'the') AND contains(lower(text), 'with') THEN 'first' WHEN contains(lower(text), 'der') THEN 'second'
-    WHEN contains(lower(text), 'que') AND contains(lower(text), 'la') THEN 'third' ELSE 'unsupported' END AS layout FROM documents""")
+    second = F.when(F.col("id") % 4 == 1, F.date_format(F.date_add("date", 1), "dMMM"))
+    dates = D.leading_dates(F.concat_ws(" ", F.lit(" "), text, second, F.col("description")), F.col("period_start"), F.col("period_end"))
+    return rows.select("id", F.get(dates, F.lit(0)).alias("leading"), F.get(dates, F.lit(1)).alias("second"))
+
+
+#: A first page of each layout, in the order of the routes; then one that meets none, and one without text.
+_FIRST_PAGES = [
+    ("neo", "Neo Everyday Account Summary"), ("wise", "Wise Payments\nyour statement"), ("vancity", "Independent Business\nAccount # 7 VANCITY"),
+    ("rbc_french", "RBCBanqueRoyale.com Sommaire de votre compte"), ("atb", "atb.com Deposit Account Statement"),
+    ("activity_screen", "Scotiabank Current Account Transactions"), ("rbc", "Royal Bank of Canada\nAccount Summary for this Period"),
+    ("scotia", "The Bank of Nova Scotia Business Account 12345 67890 12 Account Summary for this Period"), ("td", "CHEQUE/DEBIT Statement of Account"),
+    ("td", "Account Activity Withdrawals Deposits"), ("flinks", "see dashboard.flinks.com"), ("servus", "SERVUS.CA Business Plan 150 #1"),
+    ("cibc", "CIBC Account Statement Account Number 1 Transaction Details"), ("bmo_business", "bmo.com Business Banking statement"),
+    ("bmo_business_french", "BMO.com Période terminée le 31 mai"), ("national_french", "MM JJ Période du 01-02-2024"), ("unsupported", "Wise Payments"),
+    ("image_only", " "),
+]
+_PAGE_ROWS = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(_FIRST_PAGES))
+
+
+@query("d7_layout_routes", f"""
+WITH p(i, layout) AS (VALUES {_PAGE_ROWS})
+SELECT doc_id, layout FROM documents JOIN p ON p.i = doc_id % {len(_FIRST_PAGES)}""")
 def d7_layout_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page texts are ours, so the routes are made up: ordered tests of texts that a page holds."""
-    return table(spark, sf_dir, "documents").select("doc_id", D.routed(F.col("text"), _ROUTES).alias("layout"))
+    """Each document follows the first page of a layout; those without text of their own stay as short as that."""
+    page = F.element_at(F.array(*[F.lit(t) for _, t in _FIRST_PAGES]), (F.col("doc_id") % len(_FIRST_PAGES) + 1).cast("int"))
+    body = F.when(F.trim(page) != "", F.regexp_replace(F.coalesce("text", F.lit("")), "(?i)statement", "")).otherwise("")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return docs.select("doc_id", D.routed(F.concat_ws("\n", page, body)).alias("layout"))
 
 
 def _stamped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,25 +414,35 @@ def d6_captured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d10_a15_header_names", """
 SELECT s_suppkey AS doc_id, 'ACMELTD' || s_suppkey % 7 || 'INC' AS key, 'Acme Ltd. ' || s_suppkey % 7 || ' Inc.' AS name FROM supplier
-UNION ALL SELECT s_suppkey, '123456' || s_suppkey || 'CANADAINC', '123456' || s_suppkey || ' CANADA INC.' FROM supplier""")
+UNION ALL SELECT s_suppkey, '123456' || s_suppkey || 'CANADAINC', '123456' || s_suppkey || ' CANADA INC.' FROM supplier
+UNION ALL SELECT s_suppkey, 'JOESCAFE' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Joe''s Café ' || s_suppkey ELSE 'JOES CAFE ' || s_suppkey END FROM supplier""")
 def d10_header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A header for each supplier: a company twice, a numbered company, and a payee below the table's title."""
+    """A header for each supplier: a company twice, a numbered company, a payee below the table's title, and below that a
+    labelled name, which every other header spells in its own way."""
     k = F.col("s_suppkey").cast("string")
     own = F.concat(F.lit("Acme Ltd. "), (F.col("s_suppkey") % 7).cast("string"))
-    text = F.concat_ws("\n", F.lit("Statement"), F.concat(own, F.lit("   Inc.")), F.upper(F.concat(own, F.lit(" inc."))),
-                       F.concat(F.lit("123 456 "), k, F.lit(" Canada inc")), F.lit("Transaction details"), F.lit("Payee Corp."))
+    pretty = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Joe's Café "), k, F.lit("  For questions call us")))
+    text = F.concat_ws("\n", F.lit("Statement"), pretty, F.concat(own, F.lit("   Inc.")), F.upper(F.concat(own, F.lit(" inc."))),
+                       F.concat(F.lit("123 456 "), k, F.lit(" Canada inc")), F.lit("Transaction details"), F.lit("Payee Corp."),
+                       F.lit("Operating as :"), F.concat(F.lit(" JOES CAFE "), k))
     return D.header_names(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
 
 
-@query("d13_a13_verified_dates", over_orders("""
-SELECT stmt_id, count(*) FILTER (WHERE balance IS NOT NULL AND id % 4 <> 0 AND id % 5 <> 0) AS verified, count(*) FILTER (WHERE balance IS NOT NULL AND id % 4 <> 0 AND id % 5 = 0) AS mismatches,
-    count(*) FILTER (WHERE balance IS NULL OR id % 4 = 0) AS unverified FROM ledger GROUP BY stmt_id"""))
+@query("d13_a13_verified_dates", over_orders(""", r AS (
+    SELECT *, balance IS NOT NULL AND id % 4 <> 0 AND (id % 7 <> 0 OR id % 3 = 0) AS settled FROM ledger
+)
+SELECT stmt_id, count(*) FILTER (WHERE settled AND id % 5 <> 0) AS verified, count(*) FILTER (WHERE settled AND id % 5 = 0) AS mismatches,
+    count(*) FILTER (WHERE NOT settled) AS unverified FROM r GROUP BY stmt_id"""))
 def d13_verified_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is printed once on its page, four units off the place of every fourth row, a day late for every fifth."""
-    rows = orders_ledger(spark, sf_dir).withColumns({"page": F.floor(F.col("seq") / 40), "top": F.col("seq") * 12.0})
+    """Every row is printed once on its page, four units off the place of every fourth row, a day late for every fifth; every
+    seventh line has two dates, of which rows with a posted date (every third) count the second."""
+    rows = orders_ledger(spark, sf_dir).withColumns({
+        "page": F.floor(F.col("seq") / 40), "top": F.col("seq") * 12.0, "posted_date": F.when(F.col("id") % 3 == 0, F.col("date")),
+    })
+    day = F.when(F.col("id") % 5 == 0, F.date_add("date", 1)).otherwise(F.col("date"))
     printed = rows.where("balance is not null").select(
         "stmt_id", "page", (F.col("top") + F.when(F.col("id") % 4 == 0, 4.0).otherwise(1.0)).alias("top"), "amount", "balance",
-        F.when(F.col("id") % 5 == 0, F.date_add("date", 1)).otherwise(F.col("date")).alias("printed_date"),
+        F.when(F.col("id") % 7 == 0, F.array(F.date_sub(day, 2), day)).otherwise(F.array(day)).alias("dates"),
     )
     out = D.verified_dates(rows, printed)
     count = lambda x: F.count_if(F.col("date_check") == x)
@@ -442,14 +470,156 @@ def a15_first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_names(names.unionByName(names.withColumns({"ord": F.col("ord") + 100000, "name": F.upper("name")})))
 
 
-@query("u1_u2_u3_sets", over_orders(""", a AS (SELECT date, amount FROM ledger WHERE number = 1), b AS (SELECT date, amount FROM ledger WHERE number IN (1, 2) AND id % 3 <> 0)
-SELECT (SELECT count(*) FROM (SELECT date FROM a INTERSECT SELECT date FROM b)) AS shared_days, (SELECT count(*) FROM (SELECT date FROM a UNION SELECT date FROM b)) AS all_days,
-    (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first"""))
+@query("u1_u2_u3_sets", over_orders(""", a AS (
+    SELECT number AS n, date, amount FROM ledger
+), b AS (
+    SELECT number // 20 * 20 + (number % 20 + 15) % 20 AS n, date, amount FROM ledger
+), shared AS (
+    SELECT n, count(*) AS k FROM (SELECT n, date FROM a INTERSECT SELECT n, date FROM b) GROUP BY 1
+), every AS (
+    SELECT n, count(*) AS k FROM (SELECT n, date FROM a UNION SELECT n, date FROM b) GROUP BY 1
+), one AS (
+    SELECT n, count(*) AS k FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 1
+), two AS (
+    SELECT n, count(*) AS k FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY 1
+)
+SELECT every.n AS number, coalesce(shared.k, 0) AS shared_days, every.k AS all_days, coalesce(one.k, 0) AS only_first, coalesce(two.k, 0) AS only_second,
+    coalesce(one.k, 0) + coalesce(two.k, 0) = 0 AS equal
+FROM every LEFT JOIN shared ON shared.n = every.n LEFT JOIN one ON one.n = every.n LEFT JOIN two ON two.n = every.n"""))
 def u_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = orders_ledger(spark, sf_dir)
-    a = ledger.where("account_id = 'acct:1'").select("date", "amount")
-    b = ledger.where("account_id in ('acct:1', 'acct:2') and id % 3 <> 0").select("date", "amount")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(a.select("date").intersect(b.select("date")), "shared_days").join(one(a.select("date").union(b.select("date")).distinct(), "all_days")).join(
-        one(a.exceptAll(b), "only_first")
-    )
+    """Every account against the next one of its case, as if that were its second upload."""
+    n = F.element_at(F.split("account_id", ":"), 2).cast("long")
+    rows = orders_ledger(spark, sf_dir).select(n.alias("number"), "date", "amount")
+    before = F.col("number") - F.col("number") % 20 + (F.col("number") % 20 + 15) % 20
+    return B.compare_uploads(rows, rows.withColumn("number", before), ["number"])
+
+
+@query("s8_extracted_findings", over_orders(""", r AS (
+    SELECT l.stmt_id, l.seq, l.tx_type, l.balance, CASE WHEN id % 61 = 0 THEN 0 ELSE amount END AS amount, CASE WHEN id % 61 = 0 THEN 0 ELSE move END AS move,
+        CASE WHEN id % 67 = 0 THEN NULL ELSE l.date END AS date, id % 71 = 0 AS blank,
+        CASE WHEN id % 73 = 0 THEN greatest(l.seq - 1, 0) ELSE l.seq END AS shown, s.opening, s.period_start, s.period_end FROM ledger l JOIN statements s USING (stmt_id)
+), t AS (
+    SELECT *, row_number() OVER (PARTITION BY stmt_id, shown ORDER BY seq) AS nth, lag(date) OVER (PARTITION BY stmt_id ORDER BY seq) AS before FROM r
+), g AS (
+    SELECT * FROM t WHERE amount > 0
+), steps AS (
+    SELECT g.*, (SELECT max(seq) FROM g q WHERE q.stmt_id = g.stmt_id AND q.seq < g.seq AND q.balance IS NOT NULL) AS back FROM g WHERE balance IS NOT NULL
+), st AS (
+    SELECT s.*, CASE WHEN stmt_ord % 5 = 0 THEN debits + 1 WHEN stmt_ord % 5 < 3 THEN debits END AS d, CASE WHEN stmt_ord % 6 = 0 THEN 0 WHEN stmt_ord % 6 = 1 THEN 1 END AS dc,
+        CASE WHEN stmt_ord % 8 <> 0 THEN 0 WHEN stmt_ord % 16 = 0 THEN 1 ELSE 2 END AS cur,
+        (SELECT coalesce(sum(amount) FILTER (WHERE tx_type = 'debit'), 0) FROM g WHERE g.stmt_id = s.stmt_id) AS sd, (SELECT coalesce(sum(amount) FILTER (WHERE tx_type = 'credit'), 0) FROM g WHERE g.stmt_id = s.stmt_id) AS sc,
+        (SELECT count(*) FILTER (WHERE tx_type = 'debit') FROM g WHERE g.stmt_id = s.stmt_id) AS nd, (SELECT count(*) FROM g WHERE g.stmt_id = s.stmt_id) AS n,
+        (SELECT max(seq) FROM steps x WHERE x.stmt_id = s.stmt_id) AS at FROM statements s
+), closed AS (
+    SELECT st.*, coalesce((SELECT balance FROM g WHERE g.stmt_id = st.stmt_id AND g.seq = st.at), opening)
+        + coalesce((SELECT sum(move) FROM g WHERE g.stmt_id = st.stmt_id AND g.seq > coalesce(st.at, 0)), 0) AS reached FROM st
+)
+SELECT stmt_id, shown AS seq, 'sequence_invalid' AS code FROM t WHERE shown < 1 OR nth > 1 UNION ALL SELECT stmt_id, shown, 'date_missing' FROM t WHERE date IS NULL
+UNION ALL SELECT stmt_id, shown, 'date_outside_period' FROM t WHERE date NOT BETWEEN period_start AND period_end UNION ALL SELECT stmt_id, shown, 'dates_out_of_order' FROM t WHERE date < before
+UNION ALL SELECT stmt_id, shown, 'description_missing' FROM t WHERE blank UNION ALL SELECT stmt_id, shown, 'not_one_positive_side' FROM t WHERE amount = 0
+UNION ALL SELECT stmt_id, shown, 'checkpoint_difference' FROM steps x WHERE balance - coalesce((SELECT q.balance FROM g q WHERE q.stmt_id = x.stmt_id AND q.seq = x.back), opening)
+    <> (SELECT sum(move) FROM g q WHERE q.stmt_id = x.stmt_id AND q.seq > coalesce(x.back, 0) AND q.seq <= x.seq)
+UNION ALL SELECT stmt_id, NULL, unnest(list_filter([CASE WHEN cur = 2 THEN 'currency_missing' END, CASE WHEN cur = 1 THEN 'currency_unsupported' END, CASE WHEN n = 0 THEN 'no_rows' END,
+    CASE WHEN n > 0 AND d <> sd THEN 'debits_differ' END, CASE WHEN n > 0 AND credits <> sc THEN 'credits_differ' END, CASE WHEN n > 0 AND dc <> nd THEN 'debits_count_differs' END,
+    CASE WHEN reached <> closing THEN 'closing_not_reached' END, CASE WHEN n > 0 AND opening + sc - sd <> closing THEN 'equation_fails' END], lambda x: x IS NOT NULL)) FROM closed"""))
+def s8_extracted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted rows with repeated numbers, missing dates, texts and amounts, under statements whose printed figures are off."""
+    k, o = F.col("id"), F.col("stmt_ord")
+    st = orders_statements(spark, sf_dir).withColumns({
+        "debits": F.when(o % 5 == 0, F.col("debits") + 1).when(o % 5 < 3, F.col("debits")).cast(CENTS),
+        "debits_count": F.when(o % 6 == 0, 0).when(o % 6 == 1, 1), "credits_count": F.lit(None).cast("int"),
+        "currency": F.when(o % 8 != 0, F.col("currency")).when(o % 16 == 0, F.lit("EUR")),
+    })
+    rows = orders_ledger(spark, sf_dir).join(st.select("stmt_id"), "stmt_id", "left_semi").withColumns({
+        "place": F.col("seq"), "seq": F.when(k % 73 == 0, F.greatest(F.col("seq") - 1, F.lit(0))).otherwise(F.col("seq")),
+        "amount": F.when(k % 61 == 0, F.lit(0)).otherwise(F.col("amount")).cast(CENTS), "date": F.when(k % 67 != 0, F.col("date")),
+        "description": F.when(k % 71 == 0, F.lit(" ")).otherwise(F.col("description")),
+    })
+    return B.extracted_findings(rows, st)
+
+
+# ---- Words, cells and bytes ---------------------------------------------------------------------------------------------------
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as words on a page: two a line of text, two units of height apart."""
+    k = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 3 + 1).alias("page"), F.concat("l_returnflag", "l_linestatus").alias("text"), (F.col("l_quantity") * 4.0 + k / 100.0).alias("x0"),
+        (F.col("l_quantity") * 4.0 + k / 100.0 + 10.0).alias("x1"), (k * 2.0).alias("top"), k.alias("k"),
+    )
+
+
+@query("d1_lines_of_words", """
+WITH RECURSIVE w AS (
+    SELECT l_orderkey AS doc_id, l_orderkey % 3 + 1 AS page, l_returnflag || l_linestatus AS text, l_quantity * 4.0 + l_linenumber / 100.0 AS x0, l_linenumber * 2.0 AS top FROM lineitem
+), anchors AS (
+    SELECT doc_id, min(top) AS top, 1 AS line FROM w GROUP BY 1
+    UNION ALL SELECT a.doc_id, (SELECT min(top) FROM w WHERE w.doc_id = a.doc_id AND w.top > a.top + 3), a.line + 1 FROM anchors a
+    WHERE EXISTS (SELECT 1 FROM w WHERE w.doc_id = a.doc_id AND w.top > a.top + 3)
+)
+SELECT w.doc_id, w.page, a.line, min(w.top)::DOUBLE AS top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM w JOIN anchors a ON a.doc_id = w.doc_id
+    AND a.top = (SELECT max(b.top) FROM anchors b WHERE b.doc_id = w.doc_id AND b.top <= w.top) GROUP BY ALL""")
+def d1_lines_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.lines_of_words(_words(spark, sf_dir))
+
+
+@query("d2_line_cells", """
+SELECT l_orderkey AS doc_id, l_orderkey % 3 + 1 AS page, l_linenumber // 3 AS line, CASE WHEN x < 60 THEN 'date' WHEN x < 120 THEN 'description' ELSE 'debit' END AS role,
+    string_agg(l_returnflag || l_linestatus, ' ' ORDER BY x, l_returnflag || l_linestatus) AS text FROM (SELECT *, l_quantity * 4.0 + l_linenumber / 100.0 AS x FROM lineitem) WHERE x < 120 OR (x + 10 >= 150 AND x + 10 < 190)
+GROUP BY ALL""")
+def d2_line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns by the left edge and one by the right edge; what stands in none of them is left out."""
+    layout = spark.createDataFrame([("l", "date", 0.0, 60.0, "x0"), ("l", "description", 60.0, 120.0, "x0"), ("l", "debit", 150.0, 190.0, "x1")],
+                                   "layout string, role string, lo double, hi double, edge string")
+    return D.cells(_words(spark, sf_dir).withColumns({"layout": F.lit("l"), "line": F.floor(F.col("k") / 3)}), layout)
+
+
+@query("d12_glyph_cells", """
+WITH g AS (
+    SELECT l_orderkey AS doc_id, l_linenumber AS line, printf('%d.%02d', (l_quantity * 13)::INT % 900, l_orderkey % 100) AS cell FROM lineitem
+), three AS (
+    SELECT DISTINCT doc_id, line // 2 AS line, cell FROM g
+)
+SELECT doc_id, 1 AS page, line, min(cell) AS cell FROM three GROUP BY doc_id, line HAVING count(*) = 1""")
+def d12_glyph_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts printed glyph by glyph, two order lines near one line of text: one amount is taken, two are not. Words beside
+    them are no amounts."""
+    lines = table(spark, sf_dir, "lineitem")
+    cell = F.format_string("%d.%02d", (F.col("l_quantity") * 13).cast("int") % 900, F.col("l_orderkey") % 100)
+    glyphs = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.posexplode(F.split(cell, "")).alias("i", "text"), F.lit(8.0).alias("size"))
+    other = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.posexplode(F.split(F.concat("l_returnflag", "l_linestatus"), "")).alias("i", "text"), F.lit(6.0).alias("size"))
+    chars = glyphs.unionByName(other).where("text <> ''").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.floor(F.col("l_linenumber") / 2).alias("line"), (F.col("l_linenumber") * 100000 + F.col("l_partkey") + F.col("i") * 0.001).alias("top"),
+        (F.col("i") * 5.0).alias("x0"), "size", "text",
+    )
+    return D.glyph_cells(chars)
+
+
+@query("d11_integrity_flags", """
+SELECT doc_id, code FROM (SELECT doc_id, unnest([CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'PDF_REVISIONS' END, CASE WHEN doc_id % 4 = 1 THEN 'EDITING_SOFTWARE' END,
+    CASE WHEN trim(coalesce(text, '')) = '' THEN 'NO_TEXT_LAYER' END, CASE WHEN doc_id % 7 = 0 THEN 'ANNOTATIONS' END, CASE WHEN doc_id % 11 = 0 THEN 'UNREADABLE' END,
+    CASE WHEN doc_id % 5 = 0 THEN 'OVERLAPPING_DIGITS' END]) AS code FROM documents WHERE doc_id IS NOT NULL) WHERE code IS NOT NULL""")
+def d11_integrity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(
+        "doc_id", "text", F.concat_ws("\n", F.lit("%%EOF"), F.when(k % 3 == 0, F.lit("/Prev 17\n%%EOF"))).alias("raw_"), F.when(k % 4 == 1, "Adobe Photoshop 9").otherwise("bank").alias("producer"),
+        F.when(k % 7 == 0, F.array(F.lit("Link"), F.lit("FreeText"))).otherwise(F.array(F.lit("Link"))).alias("annotations"), (k % 11 != 0).alias("readable"),
+    )
+    docs = docs.withColumn("raw", F.when(k % 2 == 0, F.col("raw_")).otherwise("%%EOF")).drop("raw_")
+    at = docs.where(k % 5 == 0).select("doc_id", F.explode(F.array(F.lit("4"), F.lit("9"))).alias("text"))
+    chars = at.select("doc_id", F.lit(1).alias("page"), "text", F.lit(1.0).alias("x0"), F.lit(2.0).alias("top"), F.lit(3.0).alias("x1"))
+    return D.integrity_flags(docs, chars)
+
+
+@query("s3_expanded_documents", over_orders("""
+SELECT case_id, account_id, n, false AS blocker FROM (SELECT case_id, account_id, count(*) AS n FROM statements GROUP BY ALL) WHERE case_id % 3 <> 2
+UNION ALL SELECT DISTINCT case_id, NULL, NULL, true FROM statements WHERE case_id % 3 <> 0"""))
+def s3_expanded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a case with its accounts: every third has issues as well, every third has no accounts at all."""
+    own = orders_statements(spark, sf_dir).groupBy("case_id", "account_id").agg(F.count("*").alias("n"))
+    docs = own.groupBy("case_id").agg(F.collect_list(F.struct("account_id", "n")).alias("found")).select(
+        "case_id", F.col("case_id").alias("doc_id"), F.when(F.col("case_id") % 3 != 2, F.col("found")).alias("account_statements"),
+        F.when(F.col("case_id") % 3 == 1, F.array(F.lit("page 2 missing"))).alias("issues"),
+    )
+    return B.expand_documents(docs).select("case_id", "account_id", "n", "blocker")
