@@ -11,14 +11,15 @@ PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
 
 #: Descriptions that say nothing about who paid, over compact text (capitals and digits only) ...
 GENERIC_COMPACT = [
-    r"^(INTERAC)?E?TRANSFER(RECEIVED|RECU|IN|OUT|SENT|AUTODEPOSIT)?([0-9]+|CA[A-Z0-9]{5,})?$",
-    r"^(MOBILECHEQUE|MOBILECHECK|ATM|CASH|CHEQUE|CHECK|BUSINESS)?DEPOSIT(DA)?[0-9]*$",
-    r"^(VIREMENT|TRANSFERT)(INTERAC)?(RECU|ENTRANT)?[0-9]*$",
+    r"^(?:(?:INTERAC)?E?TRANSFER(?:RECEIVED|RECU|IN|OUT|SENT|AUTODEPOSIT)?(?:[0-9]+|CA[A-Z0-9]{5,})?)$",
+    r"^(?:(?:MOBILECHEQUE|MOBILECHECK|ATM|CASH|CHEQUE|CHECK|BUSINESS)?DEPOSIT(?:DA)?[0-9]*)$",
+    r"^(?:(?:VIREMENT|TRANSFERT)(?:INTERAC)?(?:RECU|ENTRANT)?[0-9]*)$",
 ]
-#: ... and over normalised text.
+#: ... and over normalised text. Whole texts are meant, hence ^(?: and )$ around each.
 GENERIC_TEXT = (
-    r"^((BUSINESS |CASH |CHEQUE |CHECK |MOBILE |ATM )?DEPOSIT( \d+)?|INTERAC E[- ]?TRANSFER (IN|OUT)|E[- ]?TRANSFER"
-    r"|DEPOT( COMPTANT| CHEQUE)?|PAYMENT|TRANSFER)$"
+    r"^(?:(BUSINESS |CASH |CHEQUE |CHECK |MOBILE |ATM )?DEPOSIT(?: \d+)?|"
+    r"INTERAC E[- ]?TRANSFER (IN|OUT)|E[- ]?TRANSFER|"
+    r"DEPOT(?: COMPTANT| CHEQUE)?|PAYMENT|TRANSFER)$"
 )
 #: Words that a statement's text layer runs together, and their repair, applied in this order.
 GLUED = [

@@ -32,7 +32,7 @@ def _exclusion_of(text: Column, field: int) -> Column:
     out = F.lit(None).cast("string")
     for i in reversed(range(len(rules.EXCLUSIONS))):
         hit = F.regexp_like(text, F.lit(rules.EXCLUSIONS[i][0]))
-        if i == len(rules.EXCLUSIONS) - 1:
+        if rules.EXCLUSIONS[i][1] == rules.INTERNAL:
             hit = hit & ~F.regexp_like(text, F.lit(rules.SETTLEMENT_TRANSFER))
         out = F.when(hit, F.lit(rules.EXCLUSIONS[i][field])).otherwise(out)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions.money import CENTS, MULTIPLIERS, month_of
+from ledgerloom.functions.money import CENTS, MULTIPLIERS
 from ledgerloom.functions.text import compact
 from ledgerloom.operators.classify import is_revenue, lender_match
 from pyspark.sql import Column, DataFrame, Window
@@ -162,11 +162,6 @@ def first_names(names: DataFrame) -> DataFrame:
     return keyed.groupBy("case_id", "key").agg(F.min_by("name", "ord").alias("name"))
 
 
-def by_contract_month(rows: DataFrame) -> DataFrame:
-    """Payments of a month by lender and contract, for charts."""
-    return rows.groupBy("case_id", month_of(F.col("date")).alias("month"), "lender", "reference").agg(F.sum("amount").cast(CENTS).alias("paid"))
-
-
 def ranked_latest(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group in the order given, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

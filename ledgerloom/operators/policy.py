@@ -7,7 +7,6 @@ from ledgerloom.functions.money import CENTS
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POLICY = "cashflow-100"
 #: Ladders of the scorecard: (bound, points) from the best, and what is left.
 AT_LEAST = {
     "revenue": ([(150000, 17), (75000, 14), (40000, 11), (20000, 8), (10000, 6)], 0),
@@ -24,15 +23,16 @@ AT_MOST = {
     "returned": ([(0, 4), (1, 3), (2, 2), (4, 1)], 0),
     "concentration": ([(20, 2), (35, 1)], 0),
 }
+#: The top of the trend ladder, points of velocity, records and verification.
 TREND_TOP = (15, 6)
 VELOCITY = [(0, 5), (1, 3)]
 VELOCITY_MORE = 1
 RECORDS = {"Clean": 4, "Minor": 3, "Moderate": 1, "Severe": 0}
 VERIFICATION = {"Bank Connect": 3, "Original PDF": 2, "Minor inconsistency": 1, "Suspected manipulation": 0}
-#: Least score, grade, share of revenue advanced, largest burden.
+#: Least score, grade, share of revenue advanced, largest burden.
 GRADES = [(90, "A+", 1.0, 0.18), (82, "A", 0.85, 0.17), (74, "B", 0.70, 0.15), (66, "C", 0.55, 0.13), (58, "D", 0.35, 0.10)]
 LOWEST_GRADE = ("E", 0.0, 0.0)
-#: Months of repayment by position: from, to; the last one for all further positions.
+#: Months of repayment by position: from, to; the last one for all further positions.
 TERMS = [(5, 8), (3, 6), (3, 5), (3, 4)]
 
 
