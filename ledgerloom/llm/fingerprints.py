@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import chunks, mix64, shingle_sets, shuffle_parts, table
+from ledgerloom.llm.common import chunks, cut_lineage, mix64, shingle_sets, shuffle_parts, table
 
 #: Bins of a fingerprint (a power of two), and low-order bits kept of each (4: two bins a byte).
 BINS, BITS = 256, 4
+#: Text that one task streams, about.
+RANGE_BYTES = 32 << 20
 _BIN_BITS = BINS.bit_length() - 1
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -102,85 +104,105 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _compare(rows: list[tuple[int | None, str, str]], prints: Callable = fingerprints) -> pa.RecordBatch:
-    """rows: (doc_id, text, text of the next document)."""
-    edited = [_edited(text, following) for _, text, following in rows]
-    own, other, after = (
-        prints([t.encode() for t in texts]) for texts in ([r[1] for r in rows], edited, [r[2] for r in rows])
-    )
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def _shown(prints: np.ndarray) -> pa.Array:
+    return pa.array([base64.b64encode(x.tobytes()).decode() for x in prints], pa.string())
+
+
+def _compare(rows: list[tuple[int | None, str]], own: np.ndarray) -> pa.RecordBatch:
+    """rows: (doc_id, text) in order, own: their fingerprints. Each but the last against its edited text and the next."""
+    edited = [_edited(text, after) for (_, text), (_, after) in zip(rows, rows[1:])]  # noqa: B905
+    other = fingerprints([t.encode() for t in edited])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([len(r[1]) for r in rows], pa.int64()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array([base64.b64encode(x.tobytes()).decode() for x in own]),
-            pa.array([base64.b64encode(x.tobytes()).decode() for x in other]),
-            pa.array(likeness(own, other)),
-            pa.array(likeness(own, after)),
+            pa.array([r[0] for r in rows[:-1]], pa.int64()),
+            pa.array([len(r[1]) for r in rows[:-1]], pa.int64()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+            _shown(own[:-1]), _shown(other), pa.array(likeness(own[:-1], other)), pa.array(likeness(own[:-1], own[1:])),
         ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+        _NAMES,
+    )
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slice, id, text, ahead) sorted by slice, ahead, id: every row meets its successor; rows that stand for
-    the first row of the following slice give no result of their own."""
-    held: tuple | None = None
-    pending: list[tuple] = []
-    size = 0
+    """Rows (part, id, text) of one range in order: every row meets the next. The first and the last row of the range also
+    come out with their texts (edge 'first', 'last'), for what stands at the border of two ranges."""
+    held: list[tuple] = []
+    own = np.zeros((0, BINS * BITS // 8), dtype=np.uint8)
+    part, size = None, 0
+
+    def edge(kind: str, row: tuple) -> pa.RecordBatch:
+        values = {"doc_id": row[0], "part": part, "edge": kind, "body": row[1]}
+        return pa.RecordBatch.from_pylist([values], schema=_STREAMED)
+
+    def settled() -> pa.RecordBatch:
+        nonlocal held, own, size
+        fresh = fingerprints([t.encode() for _, t in held[len(own) :]])
+        own = np.concatenate([own, fresh])
+        out = _compare(held, own)
+        held, own, size = held[-1:], own[-1:], 0
+        n = out.num_rows
+        return pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(n, _STREAMED.field(c).type) for c in ("part", "edge", "body"))], schema=_STREAMED)
+
+    for batch in batches:
+        for k, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part is None:
+                part = k
+                yield edge("first", (doc_id, text))
+            held.append((doc_id, text))
+            size += len(text)
+            if size > 1 << 19 and len(held) > 1:
+                yield settled()
+    if len(held) > 1:
+        yield settled()
+    if held:
+        yield edge("last", held[-1])
+
+
+_STREAMED = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+     ("part", pa.int32()), ("edge", pa.string()), ("body", pa.string())]
+)
+
+
+def _at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k, doc_id, text, ahead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
-            if held is not None and held[0] == k and not held[3]:
-                pending.append((held[1], held[2], text))
-                size += len(held[2])
-            held = (k, doc_id, text, ahead)
-            if size > 1 << 19:
-                yield _compare(pending)
-                pending, size = [], 0
-    if pending:
-        yield _compare(pending)
+        for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield _compare([(doc_id, text), (None, after)], fingerprints([text.encode(), after.encode()]))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprint every document and a copy whose last quarter is taken from its successor in ascending id.
 
-    Documents are cut into slices of the id range; the first row of each slice is also sent to the slice before it
-    (that of the first slice to the last), so every task streams its slice in order and the text moves once. What the
-    driver sees is one boundary for each slice.
+    Documents are dealt by ranges of id, hash of the text and place in the input, each of about RANGE_BYTES; every task
+    streams its range in order, and the text moves once. Two rows of each range are kept with their texts to be compared
+    over the borders; what the driver sees is the numbers of the ranges.
 
-    Null text is empty; a null id counts as the smallest; among equal ids the order is by text, then arbitrary (equal
-    texts are alike). A single document is its own successor. An empty table gives no rows. Other columns are ignored.
+    Null text is empty; a null id counts as the smallest; equal ids stand by hash of the text, and rows equal in both by
+    place in the input (equal texts are alike), so any number of them is spread over ranges. The last document's
+    successor is the first; a single document is its own. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    lowest = -(1 << 63)
     own = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")
-    ).withColumn("at", F.coalesce("id", F.lit(lowest)))
-    parts = parts or 2 * shuffle_parts(spark)
-    cuts = own.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    slice_of = F.lit(0)
-    # a binary search over the cuts as nested conditions, so that a row costs log(parts) comparisons
-
-    def search(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col("at") < F.lit(cuts[m]), search(a, m)).otherwise(search(m + 1, b))
-
-    slice_of = search(0, len(cuts)) if cuts else slice_of
-    firsts = {r[0]: r[1] for r in own.groupBy(slice_of.alias("slice")).agg(F.min("at")).collect()}
-    order = sorted(firsts)
-    before = [(firsts[k], order[i - 1]) for i, k in enumerate(order)]  # where the first row of each slice is needed too
-    if not before:
-        return spark.createDataFrame([], EDITED_SCHEMA)
-    lookahead = spark.createDataFrame(before, "at long, slice int")
-    rows = own.select(slice_of.alias("slice"), "id", "body", F.lit(False).alias("ahead"), "at").unionByName(
-        own.join(F.broadcast(lookahead), "at").select("slice", "id", "body", F.lit(True).alias("ahead"), "at")
-    )
-    placed = rows.repartition(parts, "slice").sortWithinPartitions("slice", "ahead", "at", "body")
-    return placed.select("slice", "id", "body", "ahead").mapInArrow(_stream, EDITED_SCHEMA)
+    ).select("id", "body", F.xxhash64("body").alias("h"), F.monotonically_increasing_id().alias("place"))
+    if parts is None:
+        held = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        parts = max(shuffle_parts(docs.sparkSession), -(-held // RANGE_BYTES))
+    order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("place")]
+    ranged = own.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = EDITED_SCHEMA + ", part int, edge string, body string"
+    streamed = cut_lineage(ranged.select(F.spark_partition_id().alias("part"), "id", "body").mapInArrow(_stream, schema))
+    firsts, lasts = streamed.where("edge = 'first'"), streamed.where("edge = 'last'")
+    order = [r.part for r in firsts.select("part").orderBy("part").collect()]  # a number for each range
+    if not order:
+        return streamed.select(*_NAMES)
+    follow = docs.sparkSession.createDataFrame([(k, order[(i + 1) % len(order)]) for i, k in enumerate(order)], "part int, next int")
+    met = lasts.join(follow, "part").join(firsts.select(F.col("part").alias("next"), F.col("body").alias("after")), "next")
+    borders = met.select("doc_id", "body", "after").mapInArrow(_at_borders, EDITED_SCHEMA)
+    return streamed.where("edge is null").select(*_NAMES).unionByName(borders)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
