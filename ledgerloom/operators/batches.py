@@ -38,6 +38,24 @@ def evidence_contract(rows: DataFrame, statements: DataFrame) -> DataFrame:
     )
 
 
+def readiness(statements: DataFrame, rows: DataFrame, findings: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """(stmt_id, readiness) of every statement: incomplete with findings or without rows, usable with warnings where there
+    are warnings or a model read it (ai_review_required), else validated."""
+    mark = lambda df, name: df.select("stmt_id").distinct().withColumn(name, F.lit(True))
+    out = statements.join(mark(rows, "_rows"), "stmt_id", "left").join(mark(findings, "_bad"), "stmt_id", "left")
+    out = out.withColumn("_warn", F.lit(None).cast("boolean")) if warnings is None else out.join(mark(warnings, "_warn"), "stmt_id", "left")
+    model = F.coalesce("ai_review_required", F.lit(False)) if "ai_review_required" in statements.columns else F.lit(False)
+    label = F.when(F.col("_bad") | F.col("_rows").isNull(), "Incomplete or inconsistent").when(F.col("_warn") | model, "Usable with warnings").otherwise("Validated figures")
+    return out.select("stmt_id", label.alias("readiness"))
+
+
+def page_rows(rows: DataFrame) -> DataFrame:
+    """Rows of extracted pages (doc_id, page, sequence) numbered through the document, in order of page and sequence; the
+    page's own number stays as page_sequence."""
+    order = Window.partitionBy("doc_id").orderBy("page", "sequence")
+    return rows.withColumn("page_sequence", F.col("sequence")).withColumn("sequence", F.row_number().over(order))
+
+
 def merge_pages(pages: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(metadata, conflicts). The first known value of each field by page; a field whose later values differ in their
     normal form is a conflict. fields: name -> 'account', 'currency', 'holder' or 'exact'."""
@@ -177,23 +195,52 @@ def retry_pages(findings: DataFrame, rows: DataFrame) -> DataFrame:
     return own.unionByName(rows.select("stmt_id", "page").distinct().join(rest, "stmt_id", "left_semi"))
 
 
+def combine_exports(parts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, rows). Parts of one export (account, search window, printed totals) become one window: rows in order of the
+    parts' periods, then of the source; opening of the first part, closing of the last. Totals that the parts print are the
+    window's, so they are checked once it is whole: `reconciled` if both totals, the equation and the last balance hold.
+
+    parts: account_id, part_id, search_start, search_end, debits, credits (printed), period_start, period_end, opening, closing;
+    rows: part_id, seq, tx_type, amount, balance. Windows are named by what their parts share.
+    """
+    name = F.sha2(F.to_json(F.struct("account_id", "search_start", "search_end", *[F.col(c).cast("string").alias(c) for c in ("debits", "credits")])), 256)
+    named = parts.withColumn("window_id", name)
+    met = rows.join(named.select("part_id", "window_id", "account_id", "period_start"), "part_id")
+    order = Window.partitionBy("window_id").orderBy("period_start", "part_id", "_seq")
+    ordered = met.withColumnRenamed("seq", "_seq").withColumn("seq", F.row_number().over(order)).drop("_seq", "period_start")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("tx_type") == side, F.col("amount"))), F.lit(0)).cast(CENTS)
+    sums = ordered.groupBy("window_id").agg(total("debit").alias("_d"), total("credit").alias("_c"), F.max_by("balance", "seq").alias("_last"))
+    whole = named.groupBy("window_id", "account_id").agg(
+        F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), F.min_by("opening", "period_start").alias("opening"),
+        F.max_by("closing", "period_end").alias("closing"), F.max("debits").alias("debits"), F.max("credits").alias("credits"), F.count("*").alias("parts"),
+    ).join(sums, "window_id")
+    wrong = [F.col("debits") != F.col("_d"), F.col("credits") != F.col("_c"), F.col("opening") + F.col("_c") - F.col("_d") != F.col("closing"), F.col("_last") != F.col("closing")]
+    bad = F.array_contains(F.array(*[F.coalesce(w, F.lit(False)) for w in wrong]), F.lit(True))
+    return whole.withColumn("reconciled", ~bad).drop("_d", "_c", "_last"), ordered
+
+
 def merge_windows(windows: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows of overlapping export windows of an account, each once, if every window meets the one before and both
     hold the same rows on the days that they share; else all rows of all windows. Adds `merged` and `kept`.
 
-    windows: account_id, window_id, period_start, period_end; rows: account_id, window_id, seq, date, description, tx_type,
+    windows: account_id, window_id, period_start, period_end, and reconciled where they were checked (one that isn't keeps its
+    account's windows apart); rows: account_id, window_id, seq, date, description, tx_type,
     amount, balance.
     """
     w = Window.partitionBy("account_id").orderBy("period_start", "window_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = windows.withColumn("_until", F.max("period_end").over(w))
     gaps = placed.where("period_start > _until").select("account_id")
-    mine = rows.join(placed, ["account_id", "window_id"]).withColumn("_own", F.col("_until").isNull() | (F.col("date") > F.col("_until")))
+    if "reconciled" in windows.columns:
+        gaps = gaps.unionByName(windows.where("not reconciled").select("account_id"))
+    mine = rows.join(placed.select("account_id", "window_id", "period_start", "period_end", "_until"), ["account_id", "window_id"]).withColumn("_own", F.col("_until").isNull() | (F.col("date") > F.col("_until")))
     key = ["date", "description", "tx_type", "amount", "balance"]
     shared = placed.where("_until is not null").select(
         "account_id", F.col("window_id").alias("_w"), F.col("period_start").alias("_s"), F.least("_until", "period_end").alias("_e"), F.col("period_start").alias("_ps")
     )
-    old = mine.where("_own").join(shared, "account_id").where("date between _s and _e and (period_start < _ps or (period_start = _ps and window_id < _w))")
-    new = mine.where("not _own").join(shared.withColumnRenamed("_w", "window_id").select("account_id", "window_id", "_s", "_e"), ["account_id", "window_id"]).where("date between _s and _e")
+    # the shared days one by one, so that rows meet them by account and day
+    by_day = shared.where("_s <= _e").withColumn("date", F.explode(F.sequence("_s", "_e")))
+    old = mine.where("_own").join(by_day, ["account_id", "date"]).where("period_start < _ps or (period_start = _ps and window_id < _w)")
+    new = mine.where("not _own").join(by_day.select("account_id", "date", F.col("_w").alias("window_id")), ["account_id", "window_id", "date"])
     tally = lambda df, side: df.groupBy("account_id", F.col(side).alias("_w"), *key).agg(F.count("*").alias("n"))
     a, b = tally(old, "_w"), tally(new, "window_id")
     odd = a.exceptAll(b).unionByName(b.exceptAll(a)).select("account_id")

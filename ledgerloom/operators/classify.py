@@ -3,6 +3,8 @@ meet: nothing is kept in memory but the rules themselves."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from ledgerloom import rules
@@ -117,7 +119,11 @@ def contract_reference(description: Column, lender: Column) -> Column:
 # ---- Categories and states ----------------------------------------------------------------------------------------------
 
 
-def suggested_category(description: Column, tx_type: Column, account_id: Column | None = None) -> Column:
+def suggested_category(
+    description: Column, tx_type: Column, account_id: Column | None = None, matcher: Callable[[Column], Column] | None = None
+) -> Column:
+    """K2; matcher (X1): a caller's description -> struct(tier, lender) in place of `lender_match`."""
+    named = (matcher or lender_match)(description)
     account_id = F.lit("") if account_id is None else account_id
     text = F.upper(description)
     credit = F.coalesce(
@@ -125,14 +131,14 @@ def suggested_category(description: Column, tx_type: Column, account_id: Column
         F.when(_any(text, rules.REVERSAL_PATTERNS), rules.REFUND)
         .when(_any(text, rules.INTERNAL_PATTERNS), rules.INTERNAL)
         .when(_any(text, rules.GOVERNMENT_PATTERNS), rules.GOVERNMENT)
-        .when(lender_match(description).isNotNull(), rules.LOAN)
+        .when(named.isNotNull(), rules.LOAN)
         .when(_any(text, rules.POS_PATTERNS), rules.POS)
         .when(_any(text, rules.CUSTOMER_PATTERNS), rules.CUSTOMER)
         .otherwise(rules.UNKNOWN),
     )
     debit = (
         F.when(_any(text, rules.REVERSAL_PATTERNS), rules.REFUND)
-        .when(debt_match(description, tx_type, account_id).isNotNull(), rules.FINANCING)
+        .when(debt_match(description, tx_type, account_id, None if matcher is None else named).isNotNull(), rules.FINANCING)
         .otherwise(rules.OPERATING)
     )
     return F.when(tx_type == "credit", credit).otherwise(debit)
@@ -155,18 +161,18 @@ def is_revenue() -> Column:
     )
 
 
-def classify(ledger: DataFrame) -> DataFrame:
+def classify(ledger: DataFrame, matcher: Callable[[Column], Column] | None = None) -> DataFrame:
     """K2 and K5: adds category, revenue_status, classification_source, classification_reason, reviewed,
-    internal_transfer and transfer_match to rows with description, tx_type and account_id."""
+    internal_transfer and transfer_match to rows with description, tx_type and account_id. matcher: see `suggested_category`."""
     servus = F.startswith(F.coalesce("account_id", F.lit("")), F.lit(rules.SERVUS_INTEREST[0]))
     if ledger.isStreaming:  # row by row: a stream has no distinct descriptions at hand
-        out = ledger.withColumn("category", suggested_category(F.col("description"), F.col("tx_type"), F.col("account_id")))
+        out = ledger.withColumn("category", suggested_category(F.col("description"), F.col("tx_type"), F.col("account_id"), matcher))
     else:
         account = F.when(F.col("_servus"), F.lit(rules.SERVUS_INTEREST[0])).otherwise(F.lit(""))
         texts = ledger.select("description", "tx_type", servus.alias("_servus")).distinct()
         named = texts.select(
             F.col("description").alias("_d"), F.col("tx_type").alias("_t"), F.col("_servus").alias("_s"),
-            suggested_category(F.col("description"), F.col("tx_type"), account).alias("category"),
+            suggested_category(F.col("description"), F.col("tx_type"), account, matcher).alias("category"),
         )
         same = F.col("description").eqNullSafe(F.col("_d")) & F.col("tx_type").eqNullSafe(F.col("_t")) & (servus == F.col("_s"))
         out = ledger.join(named, same, "left").drop("_d", "_t", "_s")
@@ -206,7 +212,7 @@ def set_decision(df: DataFrame, when: Column, status: Column, source: Column, re
 
 def classify_local(ledger: DataFrame, payer_rules: DataFrame | None = None) -> DataFrame:
     """K6: exclusions beat everything but an underwriter's decision; then merchant references, merchant services and
-    explicit receipts; then remembered payer rules (K7)."""
+    explicit receipts; recognised rows get their reason; then remembered payer rules (K7)."""
     text = normalized(F.col("description"))
     debits = ledger.where("tx_type = 'debit'").select(
         "case_id", "account_id", F.regexp_extract(text, r"^MRCH(\d+)\s*\|", 1).alias("merchant")
@@ -234,7 +240,9 @@ def classify_local(ledger: DataFrame, payer_rules: DataFrame | None = None) -> D
                        F.lit("Merchant deposit reference matches merchant fee debits in this account."), F.lit(rules.POS))
     out = set_decision(out, F.col("_s"), F.lit(rules.TRUE), F.lit("rules"), F.lit("Repeated merchant-service deposit reference."))
     out = set_decision(out, F.col("_e"), F.lit(rules.TRUE), F.lit("rules"), F.lit("Explicit customer receipt or merchant settlement."))
-    out = out.select(*ledger.columns)
+    known = credit & ~F.col("_gone") & (F.col("_was") != rules.REVIEW) & (F.trim(F.coalesce("classification_reason", F.lit(""))) == "")
+    reason = F.when(known, F.concat(F.lit("Recognized transaction description: "), "category")).otherwise(F.col("classification_reason"))
+    out = out.select(*[reason.alias(c) if c == "classification_reason" else F.col(c) for c in ledger.columns])
     return out if payer_rules is None else apply_rules(out, payer_rules)
 
 

@@ -149,6 +149,21 @@ def balance_continuity(statements: DataFrame) -> DataFrame:
     ).where("_next and _same and previous_closing <> opening").drop("_next", "_same")
 
 
+#: Fixed value: findings that show figures at odds with each other.
+INCONSISTENT = r"(?i)mismatch|does not|inconsistent|duplicat|outside|conflict"
+
+
+def consistency_flags(statements: DataFrame, findings: DataFrame) -> DataFrame:
+    """V4: (case_id, stmt_id, code, evidence) of statements in the ledger: FINANCIAL_INCONSISTENCY for findings (case_id, stmt_id,
+    text) that show figures at odds, BALANCE_CONTINUITY where a statement doesn't open as the one before closed."""
+    own = included(statements)
+    odd = findings.where(F.regexp_like("text", F.lit(INCONSISTENT))).join(own.select("case_id", "stmt_id"), ["case_id", "stmt_id"], "left_semi")
+    broken = balance_continuity(own.where("account_id is not null and currency is not null")).select(
+        "case_id", "stmt_id", F.lit("BALANCE_CONTINUITY").alias("code"), F.format_string("%s closed at %s, opened at %s", "previous_id", "previous_closing", "opening").alias("evidence")
+    )
+    return odd.select("case_id", "stmt_id", F.lit("FINANCIAL_INCONSISTENCY").alias("code"), F.col("text").alias("evidence")).unionByName(broken)
+
+
 def match_fx_transfers(ledger: DataFrame) -> DataFrame:
     """Pairs of one credit and one debit of a date and FX reference, in two known accounts, of equal amount if of one
     currency. One row a pair: case_id, date, reference, credit_id, debit_id."""

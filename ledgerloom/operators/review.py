@@ -175,3 +175,44 @@ def cited_positions(ledger: DataFrame, citations: DataFrame, used: DataFrame) ->
         F.bool_and(F.coalesce(good, F.lit(False))).alias("_ok"), F.count_distinct("account_id").alias("_a"), F.max("account_id").alias("account_id"),
         F.count("*").alias("payments"), F.median(F.col("amount").cast("double")).alias("payment"), F.max("date").alias("last_seen"),
     ).where("_ok and _a = 1").drop("_ok", "_a")
+
+
+def staged_proposals(ledger: DataFrame, actions: DataFrame, allowed: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(preview, rejects) of proposals, all of a case's or none: preview has one row (case_id, change, action_id, id, before,
+    after) for each row that an action touches, rejects one (case_id, reason) for each thing wrong with a case.
+
+    actions: case_id, action_id, kind ('revenue' or 'debt'), id, status (revenue), lender and debt_kind (debt); allowed: case_id,
+    id that the proposal may touch; used: case_id, id that already support a position.
+    """
+    key = ["case_id", "id"]
+    flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    own = Window.partitionBy(*key, "kind")
+    met = actions.withColumn("_times", F.count("*").over(own)).join(ledger.withColumn("_n", F.count("*").over(Window.partitionBy(*key))), key, "left")
+    met = met.join(flag(allowed, "_allowed"), key, "left").join(flag(used, "_used"), key, "left")
+    deal = Window.partitionBy("case_id", "action_id")
+    met = met.withColumn("_accounts", F.size(F.collect_set("account_id").over(deal)))
+    c, revenue, debt = F.col, F.col("kind") == "revenue", F.col("kind") == "debt"
+    internal = F.coalesce("internal_transfer", F.lit(False))
+    reasons = {
+        "unknown kind of action": ~F.coalesce(revenue | debt, F.lit(False)),
+        "row outside the reviewed context": c("_allowed").isNull() | c("_n").isNull(),
+        "duplicate transaction ids": c("_n") > 1,
+        "conflicting or repeated action": c("_times") > 1,
+        "invalid status": revenue & ~F.coalesce(c("status").isin(rules.TRUE, rules.NON, rules.REVIEW), F.lit(False)),
+        "only deposits are revenue": revenue & (c("tx_type") != "credit"),
+        "own transfers stay non-revenue": revenue & internal & (c("status") != rules.NON),
+        "payment supports a position already": debt & c("_used").isNotNull(),
+        "debt rests on debits": debt & (c("tx_type") != "debit"),
+        "currency needs a rate": debt & (c("currency") != "CAD"),
+        "one account for each position": debt & (c("_accounts") != 1),
+        "own transfers pay no debt": debt & internal,
+        "debt needs a lender and a kind": debt & ((F.trim(F.coalesce("lender", F.lit(""))) == "") | ~F.coalesce(c("debt_kind").isin("MCA", "Other debt"), F.lit(False))),
+    }
+    wrong = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in reasons.items()]))
+    judged = met.withColumn("_wrong", wrong)
+    rejects = judged.select("case_id", F.explode("_wrong").alias("reason")).distinct()
+    good = judged.join(rejects.select("case_id").distinct(), "case_id", "left_anti")
+    return good.select(
+        "case_id", F.when(revenue, "Revenue").otherwise("Unverified debt candidate").alias("change"), "action_id", "id",
+        F.when(revenue, c("revenue_status")).alias("before"), F.when(revenue, c("status")).otherwise(c("lender")).alias("after"),
+    ), rejects

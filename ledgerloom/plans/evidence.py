@@ -36,6 +36,29 @@ def k6_k7_payer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.classify_local(ledger, _rules(ledger)).select("id", "revenue_status", F.col("classification_source").alias("source"))
 
 
+@query("k6_reasons", over_orders(""", r AS (
+    SELECT id, tx_type, id % 7 AS m, number, CASE WHEN id % 12 = 0 THEN 'm' ELSE category END AS category, revenue_status, id % 12 = 0 AS merchant FROM ledger
+), fees AS (
+    SELECT DISTINCT number, m FROM r WHERE merchant AND tx_type = 'debit' AND id_is_fee
+)
+SELECT id, CASE WHEN merchant THEN CASE WHEN tx_type = 'credit' AND EXISTS (SELECT 1 FROM fees f WHERE f.number = r.number AND f.m = r.m)
+        THEN 'Merchant deposit reference matches merchant fee debits in this account.' ELSE '' END
+    WHEN tx_type <> 'credit' OR revenue_status = 'Review Required' THEN '' WHEN category = 'Non-Revenue - Interest' THEN 'Bank interest, rather than an operating receipt.'
+    WHEN category = 'Non-Revenue - Own-Account / Internal Transfer' THEN 'Explicit account transfer.' WHEN category LIKE '%NSF' AND NOT gst THEN 'Returned payment, refund, or reversal.'
+    WHEN category LIKE '%NSF' THEN 'Returned payment, refund, or reversal.' WHEN loan THEN 'Financing or owner funds, rather than an operating receipt.'
+    ELSE 'Recognized transaction description: ' || category END AS reason FROM r""".replace("revenue_status, id % 12 = 0 AS merchant", "revenue_status, id % 12 = 0 AS merchant, id % 5 < 3 AS id_is_fee, description LIKE 'GST%' AS gst, description = 'LOAN DISBURSEMENT' AS loan")))
+def k6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twelfth row names a merchant: deposits 'DPn |', and of the debits three in five fees 'MRCHn |'."""
+    k = F.col("id")
+    merchant = F.when(F.col("tx_type") == "credit", F.concat(F.lit("DP"), (k % 7).cast("string"), F.lit(" | x"))).when(
+        k % 5 < 3, F.concat(F.lit("MRCH"), (k % 7).cast("string"), F.lit(" | x"))
+    ).otherwise("RENT")
+    rows = orders_ledger(spark, sf_dir).withColumns({
+        "account_id": F.concat(F.lit("servus:"), "account_id"), "description": F.when(k % 12 == 0, merchant).otherwise(F.col("description")),
+    })
+    return K.classify_local(K.classify(rows)).select("id", F.col("classification_reason").alias("reason"))
+
+
 def _decisions(ledger: DataFrame) -> DataFrame:
     """Every pending deposit with a key divisible by 5 is no revenue; case 4 also decides a debit, which voids its decisions."""
     pending = ledger.where("tx_type = 'credit' and revenue_status = 'Review Required' and id % 5 = 0").select("case_id", "id", F.lit(rules.NON).alias("status"))
@@ -187,6 +210,99 @@ def s4_evidence_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.evidence_contract(rows, orders_statements(spark, sf_dir)).select("id", "date", "date_basis", "month", "source_sequence", "account_id")
 
 
+@query("s4_readiness", over_orders("""
+SELECT stmt_id, CASE WHEN stmt_ord % 5 = 0 OR NOT EXISTS (SELECT 1 FROM ledger l WHERE l.stmt_id = s.stmt_id AND l.id % 3 <> 0) THEN 'Incomplete or inconsistent'
+    WHEN stmt_ord % 7 = 0 OR stmt_ord % 4 = 0 THEN 'Usable with warnings' ELSE 'Validated figures' END AS readiness FROM statements s"""))
+def s4_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = orders_statements(spark, sf_dir).withColumn("ai_review_required", F.col("stmt_ord") % 4 == 0)
+    return B.readiness(st, orders_ledger(spark, sf_dir).where("id % 3 <> 0"), st.where("stmt_ord % 5 = 0"), st.where("stmt_ord % 7 = 0"))
+
+
+@query("s5_page_rows", over_orders("""
+SELECT id, row_number() OVER (PARTITION BY stmt_id ORDER BY (seq - 1) // 4, -seq) AS sequence, -seq AS page_sequence FROM ledger"""))
+def s5_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of four rows, each page listed backwards."""
+    rows = orders_ledger(spark, sf_dir).select("id", F.col("stmt_id").alias("doc_id"), F.floor((F.col("seq") - 1) / 4).alias("page"), (-F.col("seq")).alias("sequence"))
+    return B.page_rows(rows).select("id", "sequence", "page_sequence")
+
+
+@query("f10_verified_positions", over_orders("""
+SELECT DISTINCT case_id, account_id, lender, reference, number % 3 <> 0 AND number % 4 <> 1 AS is_verified FROM ledger WHERE tx_type = 'debit' AND lender IS NOT NULL"""))
+def f10_verified_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions whose verification was signed; in accounts 4k + 1 the payment changed afterwards."""
+    from ledgerloom.operators.debt import debt_payments, is_verified, signature
+
+    n = F.element_at(F.split("account_id", ":"), 2).cast("long")
+    own = debt_payments(orders_ledger(spark, sf_dir)).select("case_id", "account_id", "lender", "reference").distinct()
+    signed = own.withColumns({"kind": F.lit("MCA"), "status": F.lit("Active"), "frequency": F.lit("Weekly"), "payment": F.lit(10).cast(CENTS), "verified": n % 3 != 0})
+    later = signed.withColumn("verified_signature", signature()).withColumn("payment", F.when(n % 4 == 1, F.lit(11)).otherwise(F.col("payment")).cast(CENTS))
+    return later.select("case_id", "account_id", "lender", "reference", is_verified().alias("is_verified"))
+
+
+@query("v4_consistency_flags", over_orders(""", s AS (
+    SELECT *, opening + CASE WHEN stmt_ord % 4 = 0 THEN 1 ELSE 0 END AS o FROM statements WHERE stmt_ord % 10 <> 0
+)
+SELECT stmt_id, 'FINANCIAL_INCONSISTENCY' AS code FROM s WHERE stmt_ord % 6 IN (1, 2)
+UNION ALL SELECT y.stmt_id, 'BALANCE_CONTINUITY' FROM s x JOIN s y ON x.account_id = y.account_id AND x.stmt_ord = (SELECT max(stmt_ord) FROM s p WHERE p.account_id = y.account_id AND p.stmt_ord < y.stmt_ord)
+WHERE x.period_end + 1 = y.period_start AND x.closing <> y.o"""))
+def v4_consistency_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.operators.ledger import consistency_flags
+
+    o = F.col("stmt_ord")
+    st = orders_statements(spark, sf_dir).withColumns({
+        "opening": (F.col("opening") + F.when(o % 4 == 0, 1).otherwise(0)).cast(CENTS), "exclude_from_ledger": o % 10 == 0,
+    })
+    text = F.when(o % 6 == 1, "row 3 date is Outside the statement period").when(o % 6 == 2, "debits total does not match the statement").when(o % 6 == 3, "page 2 is blank")
+    return consistency_flags(st, st.select("case_id", "stmt_id", text.alias("text")).where("text is not null")).select("stmt_id", "code")
+
+
+@query("r5_staged_proposals", over_orders(""", a AS (
+    SELECT *, id % 11 = 0 AND tx_type = 'credit' AS revenue, id % 13 = 0 AND lender = 'BDC' AS debt FROM ledger
+), acts AS (
+    SELECT case_id, id, 'r' AS action, 'revenue' AS kind, revenue_status, 'Non-Revenue' AS after, id % 3 <> 2 OR case_id % 4 <> 1 AS allowed, true AS cad, 1 AS accounts FROM a WHERE revenue
+    UNION ALL SELECT case_id, id, 'd' || number, 'debt', NULL, 'BDC', id % 3 <> 2 OR case_id % 4 <> 1, currency = 'CAD', 1 FROM a WHERE debt
+), bad AS (
+    SELECT DISTINCT case_id FROM acts WHERE NOT allowed OR NOT cad
+)
+SELECT case_id, CASE kind WHEN 'revenue' THEN 'Revenue' ELSE 'Unverified debt candidate' END AS change, action AS action_id, id, revenue_status AS before, after FROM acts
+WHERE case_id NOT IN (SELECT case_id FROM bad)"""))
+def r5_staged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deposits and bank payments by keys; in cases 4k + 1 a third of the rows is outside what may be touched, and payments in
+    USD void their case."""
+    ledger = K.classify(orders_ledger(spark, sf_dir))
+    n = F.element_at(F.split("account_id", ":"), 2)
+    none = F.lit(None).cast("string")
+    revenue = ledger.where("id % 11 = 0 and tx_type = 'credit'").select(
+        "case_id", F.lit("r").alias("action_id"), F.lit("revenue").alias("kind"), "id", F.lit(rules.NON).alias("status"), none.alias("lender"), none.alias("debt_kind"))
+    debt = ledger.where("id % 13 = 0 and tx_type = 'debit' and description = 'BDC LOAN'").select(
+        "case_id", F.concat(F.lit("d"), n).alias("action_id"), F.lit("debt").alias("kind"), "id", none.alias("status"), F.lit("BDC").alias("lender"), F.lit("Other debt").alias("debt_kind"))
+    allowed = ledger.where("id % 3 <> 2 or case_id % 4 <> 1").select("case_id", "id")
+    return R.staged_proposals(ledger, revenue.unionByName(debt), allowed, ledger.where("false").select("case_id", "id"))[0]
+
+
+@query("g2_combined_exports", over_orders(""", p AS (
+    SELECT *, CASE WHEN month <= '1998-06' THEN 'a' ELSE 'b' END AS w FROM ledger
+)
+SELECT account_id, min(date) AS period_start, max(date) AS period_end, count(DISTINCT year(date)) AS parts, number % 5 <> 2 AS reconciled, count(*) AS n,
+    CAST(sum(move) AS DECIMAL(18,2)) AS net FROM p GROUP BY account_id, number, w"""))
+def g2_combined_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches an account, exported year by year; every part prints the totals of its search, in accounts 5k + 2 a cent off."""
+    n = F.element_at(F.split("account_id", ":"), 2).cast("long")
+    whole = Window.partitionBy("account_id").orderBy("date", "id").rowsBetween(Window.unboundedPreceding, 0)
+    move = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    rows = orders_ledger(spark, sf_dir).withColumns({"w": F.when(F.col("month") <= "1998-06", "a").otherwise("b"), "balance": F.sum(move).over(whole).cast(CENTS), "move": move})
+    rows = rows.withColumns({"part_id": F.concat_ws("/", "account_id", "w", F.year("date").cast("string")), "seq": F.row_number().over(Window.partitionBy("account_id").orderBy("date", "id"))})
+    search = Window.partitionBy("account_id", "w")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("tx_type") == side, F.col("amount"))).over(search), F.lit(0)).cast(CENTS)
+    marked = rows.withColumns({"d": (total("debit") + F.when(n % 5 == 2, F.lit("0.01").cast(CENTS)).otherwise(F.lit(0))).cast(CENTS), "c": total("credit")})
+    parts = marked.groupBy("account_id", "part_id", "w", "d", "c").agg(
+        F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.min_by(F.col("balance") - F.col("move"), "seq").alias("opening"), F.max_by("balance", "seq").alias("closing")
+    ).select("account_id", "part_id", F.col("w").alias("search_start"), F.col("w").alias("search_end"), F.col("d").alias("debits"), F.col("c").alias("credits"), "period_start", "period_end", "opening", "closing")
+    windows, ordered = B.combine_exports(parts, rows.select("part_id", "seq", "tx_type", "amount", "balance", "move"))
+    sums = ordered.groupBy("window_id").agg(F.count("*").alias("n"), F.sum("move").cast(CENTS).alias("net"))
+    return windows.join(sums, "window_id").select("account_id", "period_start", "period_end", "parts", "reconciled", "n", "net")
+
+
 @query("s5_merged_pages", """
 SELECT conv_id AS doc_id, (SELECT role FROM conversations d WHERE d.conv_id = c.conv_id AND turn = min(c.turn)) AS holder, count(DISTINCT upper(role)) > 1 AS conflict
 FROM conversations c GROUP BY conv_id""")

@@ -81,3 +81,21 @@ def write_by_case(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def memo_rows(df: DataFrame) -> DataFrame:
     """One JSON text a case, of all its columns."""
     return df.select("case_id", F.to_json(F.struct(*df.columns)).alias("memo"))
+
+
+#: The exports of a portfolio, each with the form it is written in.
+EXPORTS = {
+    "ledger": "json", "classification_audit": "json", "debt_audit": "json", "advances": "csv", "integrity_evidence": "json",
+    "extraction_audit": "json", "decision_memo": "json", "payer_rules": "json",
+}
+
+
+def write_exports(frames: dict[str, DataFrame], path: str) -> list[str]:
+    """Write the named exports (see EXPORTS; each with a case_id) below `path`, partitioned by case; a name that isn't an
+    export is refused. A decision memo is one JSON text a case. Returns the folders written."""
+    unknown = set(frames) - set(EXPORTS)
+    if unknown:
+        raise ValueError(f"no such export: {sorted(unknown)}")
+    for name, df in frames.items():
+        write_by_case(memo_rows(df) if name == "decision_memo" else df, f"{path}/{name}", EXPORTS[name])
+    return [f"{path}/{name}" for name in frames]
