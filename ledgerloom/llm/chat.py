@@ -56,27 +56,28 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
     `chosen` and `rejected` are arrays of structs with role and text (other fields don't count). Turns are the same if
     role and text are, null equal to null. A null array has no turns; where one conversation is the beginning of the
-    other its completion is empty. Null role or text are rendered empty. Every row stays, repeated or not.
+    other its completion is empty. Null role or text are rendered empty. Every row stays, repeated or not; an empty table
+    gives none. Columns of the names that are added must not be there yet; any others may.
     """
 
-    def plain(name: str) -> Column:
-        turns = F.transform(F.col(name), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    made = ["prompt_turns", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask"]
+    if clash := sorted(set(made) & set(pairs.columns)):
+        raise ValueError(f"there are columns {clash} already")
+
+    def plain(c: Column) -> Column:
+        turns = F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
         return F.coalesce(turns, F.array().cast("array<struct<role: string, text: string>>"))
 
-    own = [c for c in pairs.columns]
-    a, b = plain(chosen), plain(rejected)
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    shared = F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
-    cut = pairs.select("*", a.alias("_a"), b.alias("_b"), shared.alias("prompt_turns")).select(
-        *own, "prompt_turns", F.slice("_a", F.lit(1), F.col("prompt_turns")).alias("_p"),
-        F.slice("_a", F.col("prompt_turns") + 1, F.greatest(F.lit(0), F.size("_a") - F.col("prompt_turns"))).alias("_a"),
-        F.slice("_b", F.col("prompt_turns") + 1, F.greatest(F.lit(0), F.size("_b") - F.col("prompt_turns"))).alias("_b"),
-    )
-    return cut.select(
-        *own, "prompt_turns", _rendered(F.col("_p")).alias("prompt"), _rendered(F.col("_a")).alias("chosen_text"),
-        _rendered(F.col("_b")).alias("rejected_text"), _mask(F.col("_a")).alias("chosen_mask"),
-        _mask(F.col("_b")).alias("rejected_mask"),
-    )
+    # own columns travel as one struct, so none of their names can clash with those in between
+    own = F.struct(*[F.col(f"`{c}`") for c in pairs.columns]).alias("own")
+    both = pairs.select(own, plain(F.col(f"`{chosen}`")).alias("a"), plain(F.col(f"`{rejected}`")).alias("b"))
+    differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    shared = F.when(differ > 0, differ - 1).otherwise(F.size("a")).cast("int")
+    counted = both.withColumn("n", shared)
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.greatest(F.lit(0), F.size(c) - F.col("n")))
+    cut = counted.select("own", "n", F.slice("a", F.lit(1), F.col("n")).alias("p"), rest("a").alias("a"), rest("b").alias("b"))
+    values = [F.col("n"), _rendered(F.col("p")), _rendered(F.col("a")), _rendered(F.col("b")), _mask(F.col("a")), _mask(F.col("b"))]
+    return cut.select(*[F.col("own").getField(c).alias(c) for c in pairs.columns], *[v.alias(c) for v, c in zip(values, made, strict=True)])
 
 
 def swapped_answers(turns: DataFrame) -> DataFrame:

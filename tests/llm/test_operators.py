@@ -3,6 +3,7 @@ columns whose names clash with the operators' own."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -463,6 +464,64 @@ def test_preferences_share_their_prompt(spark):
     assert chat.format_preferences(chat.swapped_answers(talks)).count() == 2 and chat.swapped_answers(talks.limit(0)).count() == 0
 
 
+def test_preferences_beside_any_columns(spark):
+    pair = "array<struct<role: string, text: string>>"
+    pairs = spark.createDataFrame([(1, [("user", "a")], [("user", "b")], 7, 8, 9, 10)], f"own long, chosen {pair}, rejected {pair}, a int, b int, n int, _a int")
+    got = chat.format_preferences(pairs).first()
+    assert (got.own, got.a, got.b, got.n, got["_a"], got.prompt_turns) == (1, 7, 8, 9, 10, 0) and "a<|im_end|>" in got.chosen_text
+    with pytest.raises(ValueError):
+        chat.format_preferences(pairs.withColumnRenamed("a", "prompt"))
+
+
+def plain_statistics(text):
+    """Shares of a text, character by character."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    if not words:
+        return [0.0] * 13
+    n = len(text)
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    share = lambda chars: sum(c in chars for c in text) / n
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*+<=>@\\^_`{}~/[]", "|", "!?", ".,;:", "0123456789", "\n"]
+    known = set("".join(groups)) | set("abcdefghijklmnopqrstuvwxyz \t\n\r\v\f")
+    other = sum(ord(c) < 128 and c not in known for c in text) / n
+    return [math.log1p(len(words)), n / len(words), *map(share, groups), other, len(set(low)) / len(low),
+            sum(a == b for a, b in zip(low, low[1:])) / len(low), max(Counter(low).values()) / len(low)]
+
+
+def test_statistics_equal_plain_ones():
+    rng = random.Random(20)
+    texts = ["", " \n", "a", "A a a b!", "x|y 12 #é\"'(日)\n.,"] + [sentence(rng, 60) + "".join(rng.choice("AB|#!?.,;:09\n(é ") for _ in range(50)) for _ in range(40)]
+    got = quality.statistics([t.encode() for t in texts])
+    assert np.allclose(got, [plain_statistics(t) for t in texts], atol=1e-12)
+
+
+def test_lasso_weights_are_optimal():
+    """The conditions of an optimum: the gradient is the penalty against each weight's sign, and within it for zero weights."""
+    rng = np.random.default_rng(21)
+    x = (rng.random((600, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1] + 0.5)))).astype(float)
+    full = np.column_stack([x, np.ones(600, dtype=np.float32)])
+    w, b = quality._lasso(full, y, 0.01, rounds=4000)
+    grad = full.astype(float).T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / 600
+    assert abs(grad[-1]) < 1e-4 and all(abs(g + 0.01 * np.sign(v)) < 1e-4 if v else abs(g) <= 0.01 + 1e-4 for g, v in zip(grad[:-1], w, strict=True))
+    assert w[0] > 0.5 and w[1] < -0.5 and 0 < sum(w == 0) < 12
+
+
+def test_paths_of_a_tree_are_nested_conjunctions():
+    rng = np.random.default_rng(22)
+    x = rng.random((500, 13))
+    y = ((x[:, 2] > 0.5) & (x[:, 5] < 0.3)).astype(float)
+    for _ in range(5):
+        rules = quality._paths(x, y, rng)
+        assert rules and all(1 <= len(r.bounds) <= quality.DEPTH for r in rules)
+        held = np.array([r.holds(x) for r in rules])
+        for r, h in zip(rules, held, strict=True):
+            want = np.all([(x[:, k] > low) & (x[:, k] <= high) for k, low, high in r.bounds], axis=0)
+            assert (h == want).all()
+        first = [h for r, h in zip(rules, held, strict=True) if len(r.bounds) == 1]
+        assert any((a ^ b).all() for a, b in itertools.combinations(first, 2))  # the two sides of the root
+
+
 def quality_rows():
     rng = random.Random(8)
     good = [(i, sentence(rng, rng.randint(20, 120)) + ".", "s") for i in range(300)]
