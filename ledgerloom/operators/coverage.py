@@ -84,11 +84,11 @@ def latest_run(months: DataFrame) -> DataFrame:
     return kept.withColumn("run_length", F.count("*").over(last)).select("case_id", "month", "run_length")
 
 
-def offer_months(statements: DataFrame) -> DataFrame:
+def offer_months(statements: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Months that an offer rests on: complete months if a case has three, else all covered months; the latest run of
-    these if it has three months, else all of them."""
+    these if it has three months, else all of them. days: the covered days, where they are at hand."""
     full = full_months(statements).withColumn("_full", F.lit(1))
-    covered = coverage_summary(covered_days(statements)).select("case_id", "month")
+    covered = coverage_summary(covered_days(statements) if days is None else days).select("case_id", "month")
     enough = full.groupBy("case_id").agg(F.count("*").alias("_n")).where("_n >= 3").select("case_id")
     base = full.join(enough, "case_id", "left_semi").select("case_id", "month").unionByName(covered.join(enough, "case_id", "left_anti"))
     runs = latest_run(base).where("run_length >= 3").select("case_id", "month")
@@ -97,7 +97,8 @@ def offer_months(statements: DataFrame) -> DataFrame:
 
 def partial_months_left_out(statements: DataFrame) -> DataFrame:
     """Covered months that the offer months leave out."""
-    return coverage_summary(covered_days(statements)).join(offer_months(statements), ["case_id", "month"], "left_anti").select(
+    days = covered_days(statements)
+    return coverage_summary(days).join(offer_months(statements, days), ["case_id", "month"], "left_anti").select(
         "case_id", "month", "covered_days", "complete"
     )
 

@@ -53,7 +53,7 @@ def cells(words: DataFrame, layout: DataFrame) -> DataFrame:
     """Words put into the columns of a layout by their left or right edge: (doc_id, page, line, role, text). words: also
     layout, line; layout: layout, role, lo, hi, edge ('x0' or 'x1'): a small table."""
     edge = F.when(F.col("edge") == "x1", F.col("x1")).otherwise(F.col("x0"))
-    met = words.join(F.broadcast(layout), "layout").where((edge >= F.col("lo")) & (edge < F.col("hi")))
+    met = words.join(layout, "layout").where((edge >= F.col("lo")) & (edge < F.col("hi")))
     return met.groupBy("doc_id", "page", "line", "role").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("text")
     )

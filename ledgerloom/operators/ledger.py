@@ -247,7 +247,7 @@ def to_reporting_currency(ledger: DataFrame, rates: DataFrame, amounts: tuple[st
     rate is left out whole. Legs aren't rounded."""
     known = rates.where("rate > 0").unionByName(ledger.sparkSession.createDataFrame([("CAD",)], "currency string").select(
         "currency", F.lit(1).cast("decimal(18,6)").alias("rate"))).dropDuplicates(["currency"])
-    joined = ledger.join(F.broadcast(known), "currency", "left")
+    joined = ledger.join(known, "currency", "left")
     bad = joined.where("rate is null").select("case_id").distinct()
     good = joined.join(bad, "case_id", "left_anti")
     return good.select(*ledger.columns, "rate", *[(F.col(c).cast(CENTS) * F.col("rate")).alias(f"reporting_{c}") for c in amounts])

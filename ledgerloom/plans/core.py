@@ -455,7 +455,8 @@ def a4_revenue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chosen_months(statements: DataFrame) -> DataFrame:
     """Offer months with their coverage."""
-    return C.coverage_summary(C.covered_days(statements), C.offer_months(statements))
+    days = written(C.covered_days(statements))
+    return C.coverage_summary(days, C.offer_months(statements, days))
 
 
 def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
