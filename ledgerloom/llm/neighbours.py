@@ -27,7 +27,8 @@ from ledgerloom.llm.common import cut_lineage, mix64, shuffle_parts, table
 TABLES, PROJECTIONS, WIDTH, PROBES = 4, 6, 2.0, 64
 #: Vectors and queries that meet in one cell, at most about.
 CELL_VECTORS, CELL_QUERIES = 2048, 512
-_ROWS = "tbl int, bucket long, vec_id long, vec array<double>"
+#: Buckets whose sizes are broadcast, at most (about 8 MB); beyond that they are joined in _PARTS parts of each bucket.
+BROADCAST_BUCKETS, _PARTS = 200_000, 32
 
 
 class Tables:
@@ -79,7 +80,8 @@ class Tables:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """Vectors of one length as rows, in double precision whatever they are stored in."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -89,20 +91,28 @@ def _emit(tbl: np.ndarray, bucket: np.ndarray, ids: np.ndarray, vectors: pa.Arra
     )
 
 
-def _hashed(tables: Tables, query: bool):
+def _hashed(indexes: dict[int, Tables], query: bool):
+    """indexes: tables for each length of vectors. Tables of different lengths have different numbers."""
+
+    def of_length(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+        tables = indexes[n]
+        ids, places = batch.column(0).to_numpy(), tables.places(_matrix(batch.column(1)))
+        for t in range(tables.tables):
+            if query:
+                own = [Tables.bucket(tables.visited(p)) for p in places[:, t]]
+                rows = np.repeat(np.arange(len(ids)), [len(b) for b in own])
+                bucket = np.concatenate(own)
+            else:
+                rows, bucket = np.arange(len(ids)), Tables.bucket(np.floor(places[:, t]))
+            yield _emit(np.full(len(rows), n * tables.tables + t), bucket, ids[rows], batch.column(1).take(pa.array(rows)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512 if query else 4096):
                 batch = whole.slice(begin, 512 if query else 4096)
-                ids, places = batch.column(0).to_numpy(), tables.places(_matrix(batch.column(1)))
-                for t in range(tables.tables):
-                    if query:
-                        own = [Tables.bucket(tables.visited(p)) for p in places[:, t]]
-                        rows = np.repeat(np.arange(len(ids)), [len(b) for b in own])
-                        bucket = np.concatenate(own)
-                    else:
-                        rows, bucket = np.arange(len(ids)), Tables.bucket(np.floor(places[:, t]))
-                    yield _emit(np.full(len(rows), t), bucket, ids[rows], batch.column(1).take(pa.array(rows)))
+                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for n in np.unique(sizes).tolist():
+                    yield from of_length(batch.filter(pa.array(sizes == n)), n)
 
     return run
 
@@ -149,10 +159,10 @@ def _nearest(k: int):
             nonlocal kept, size
             rows = rows.combine_chunks()
             ids, query = rows["vec_id"].to_numpy(), rows["side"].to_numpy() == 0
-            x = _matrix(rows["vec"].chunk(0)) if len(rows) else np.zeros((0, 0))
+            vectors = rows["vec"].chunk(0)
             begin = 0
             for end in ends:
-                for got in cell(ids[begin:end], x[begin:end], query[begin:end]):
+                for got in cell(ids[begin:end], _matrix(vectors.slice(begin, end - begin)), query[begin:end]):
                     kept.append(got)
                     size += len(got[0])
                 begin = end
@@ -185,13 +195,20 @@ def _nearest(k: int):
 
 def _met(vectors: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFrame:
     """Both: tbl, bucket, vec_id, vec. The k best of each query over the buckets that it shares with vectors."""
-    sizes = (
+    sizes = cut_lineage(
         vectors.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / CELL_VECTORS).alias("nv"))
         .join(queries.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / CELL_QUERIES).alias("nq")), ["tbl", "bucket"])
     )
+    few = sizes.count() <= BROADCAST_BUCKETS
+
+    def sized(df: DataFrame) -> DataFrame:
+        if few:
+            return df.join(F.broadcast(sizes), ["tbl", "bucket"])
+        parts_of = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PARTS - 1).cast("long"))))
+        return df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(_PARTS))).join(parts_of, ["tbl", "bucket", "part"]).drop("part")
 
     def dealt(df: DataFrame, side: int, own: str, count: str, other: str, copies: str) -> DataFrame:
-        placed = df.join(sizes, ["tbl", "bucket"]).withColumn(own, F.pmod(F.xxhash64("vec_id"), count))
+        placed = sized(df).withColumn(own, F.pmod(F.xxhash64("vec_id"), count))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))).select(
             "tbl", "bucket", "vb", "qb", F.lit(side).alias("side"), "vec_id", "vec"
         )
@@ -205,14 +222,13 @@ def _met(vectors: DataFrame, queries: DataFrame, k: int, parts: int) -> DataFram
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec in double precision) of the rows that take part: an id, and a vector of the most frequent length
-    without null or non-finite components, not all zero. Rows equal in both count once."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).dropna()
-    good = own.where(
+    """(vec_id, vec) of the rows that take part: an id, and a vector without null or non-finite components, not all zero. Rows
+    equal in both count once. Single precision stays as it is stored, all else becomes double: half the bytes to move."""
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec")).dropna()
+    return own.where(
         F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    )
-    most = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").select("n").first()
-    return good.where(F.size("vec") == (most[0] if most else 0)).dropDuplicates(["vec_id", "vec"])
+    ).dropDuplicates(["vec_id", "vec"])
 
 
 def nearest(
@@ -223,26 +239,31 @@ def nearest(
     divisible by 100) among all other rows, by Euclidean distance, nearest first, ties to the smaller id.
 
     Rows that don't take part (see `usable`) are neither queries nor found; an id isn't its own neighbour, and rows that
-    repeat an id count once, with their smallest distance. A query that finds fewer than k is compared with every row,
-    so fewer come back only where there are fewer. An empty table gives no rows.
+    repeat an id count once, with their smallest distance. Vectors of different lengths have no distance: each length is
+    searched on its own. A query that finds fewer than k is compared with every row of its length, so fewer come back
+    only where there are fewer. An empty table gives no rows.
     """
-    parts = shuffle_parts(vectors.sparkSession)
+    spark = vectors.sparkSession
+    parts = shuffle_parts(spark)
     good = cut_lineage(usable(vectors, id_col, vec_col))
     asked = good.where(F.col("vec_id") % 100 == 0 if is_query is None else is_query)
-    spread = good.select(F.posexplode("vec").alias("at", "x")).groupBy("at").agg(F.var_pop("x").alias("v")).agg(
-        F.count("*"), F.sum("v")
-    ).first()
-    index = Tables(spread[0], float(spread[1] or 1.0) ** 0.5 or 1.0, tables, projections, width, probes)
-    stored, visits = (df.mapInArrow(_hashed(index, q), _ROWS) for df, q in ((good, False), (asked, True)))
+    sized = good.select(F.size("vec").alias("n"), F.posexplode(F.col("vec").cast("array<double>")).alias("at", "x"))
+    spread = sized.groupBy("n", "at").agg(F.var_pop("x").alias("v"), F.count("*").alias("rows"))
+    lengths = spread.groupBy("n").agg(F.sum("v").alias("v"), F.max("rows").alias("rows")).orderBy("n").collect()  # a row for each length
+    indexes = {r.n: Tables(r.n, float(r.v or 1.0) ** 0.5 or 1.0, tables, projections, width, probes) for r in lengths}
+    rows = f"tbl int, bucket long, vec_id long, vec {dict(good.dtypes)['vec']}"
+    stored, visits = (df.mapInArrow(_hashed(indexes, q), rows) for df, q in ((good, False), (asked, True)))
     found = cut_lineage(_met(stored, visits, k, parts))
     short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    blocks = max(1, -(-good.count() // CELL_VECTORS))
-    every = good.select(F.lit(-1).alias("tbl"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("bucket"), "vec_id", "vec")
-    over_all = short.select(
-        F.lit(-1).alias("tbl"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"),
-        "vec_id", "vec",
-    )
     if not short.isEmpty():
+        blocks = spark.createDataFrame([(r.n, -(-r.rows // CELL_VECTORS)) for r in lengths], "n int, blocks long")
+
+        def in_blocks(df: DataFrame, bucket: Column) -> DataFrame:
+            of_length = df.withColumn("n", F.size("vec")).join(F.broadcast(blocks), "n")
+            return of_length.select((-F.col("n")).alias("tbl"), bucket.alias("bucket"), "vec_id", "vec")
+
+        every = in_blocks(good, F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+        over_all = in_blocks(short, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         more = _met(every, over_all, k, parts)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(more)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -258,7 +258,8 @@ def test_neighbours_of_each_length_on_their_own(spark):
     assert hits >= 54 and 900 not in got
 
 
-def test_neighbours_recall_on_the_given_table(spark):
+def test_neighbours_recall_on_the_given_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BROADCAST_BUCKETS", 10)  # sizes of buckets are joined in parts
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     good = {r.vec_id: np.array(r.vec) for r in neighbours.usable(table, "vec_id", "embedding").collect()}
     ids, e = np.array(sorted(good)), np.array([good[i] for i in sorted(good)])
