@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,6 +174,14 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield begin, len(sizes)
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `most` text bytes in column `at`, so that only a slice of a batch is ever held as
+    Python objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.binary())), 0).to_pylist()
+    for a, b in chunks(sizes, most):
+        yield batch.slice(a, b - a)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut_lineage
+from ledgerloom.llm.common import cut_lineage, join_counted
 
 #: Links that a task joins at once.
 AT_ONCE = 1 << 20
@@ -31,7 +31,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[up[leaf]], nodes[leaf]
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as stars, AT_ONCE of them at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def done() -> pa.RecordBatch:
@@ -48,10 +49,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """Large star, then small star: larger neighbours go to the smallest neighbour, then smaller ones do."""
+    """Large star, then small star: larger neighbours go to the smallest neighbour, then smaller ones do. The hub of a star
+    is a hot key: its links are dealt by a broadcast."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
+    large = join_counted(both, low, ["a"], "n").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
     low = large.groupBy("b").agg(F.min("a").alias("low"))
     near = large.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b"))
     return near.unionByName(low.select(F.col("low").alias("a"), "b")).where("a <> b").distinct()
@@ -66,16 +68,16 @@ def _settled(edges: DataFrame) -> bool:
     return seen.where("lo <> hi or (leaf > 0 and leaf < n)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, as_stars: bool = False) -> DataFrame:
     """links: (a long, b long), null-free. Returns (node, component) for every node but the smallest of its component;
     component is the smallest node that can be reached. Links of a node to itself, in both directions or repeated change
     nothing; without links there are no rows.
 
     Tasks join the links that they hold, up to AT_ONCE at a time, so only what is spread over tasks is left to rounds of
     a few shuffles; their number grows with the logarithm of the longest chain at most. Each round is written to the
-    checkpoint folder, so a lost executor costs one round at most.
+    checkpoint folder, so a lost executor costs one round at most. as_stars: tasks have joined these links already.
     """
-    edges = cut_lineage(links.select("a", "b").mapInArrow(_joined, "a long, b long"))
+    edges = cut_lineage(links.select("a", "b") if as_stars else links.select("a", "b").mapInArrow(joined, "a long, b long"))
     while not _settled(edges):
-        edges = cut_lineage(_round(edges).mapInArrow(_joined, "a long, b long"))
+        edges = cut_lineage(_round(edges).mapInArrow(joined, "a long, b long"))
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))

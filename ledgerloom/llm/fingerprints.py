@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import chunks, cut_lineage, mix64, shingle_sets, shuffle_parts, table
+from ledgerloom.llm.common import cut_lineage, mix64, shingle_sets, shuffle_parts, slices, table, text_bytes
 
 #: Bins of a fingerprint (a power of two), and low-order bits kept of each (4: two bins a byte).
 BINS, BITS = 256, 4
@@ -80,12 +80,9 @@ def fingerprint_column(df: DataFrame, text_col: str = "text", name: str = "finge
         raise ValueError(f"there is a column {name} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            codes: list[str] = []
-            for a, b in chunks([len(x) for x in texts]):
-                codes += [base64.b64encode(x.tobytes()).decode() for x in fingerprints(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string())], [*batch.schema.names, name])
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            prints = _shown(fingerprints(text_bytes(batch.column(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
 
     return df.mapInArrow(run, df.select("*", F.lit("").alias(name)).schema)
 
@@ -147,7 +144,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*out.columns, *(pa.nulls(n, _STREAMED.field(c).type) for c in ("part", "edge", "body"))], schema=_STREAMED)
 
     for batch in batches:
-        for k, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows = (row for piece in slices(batch, 2) for row in zip(*(c.to_pylist() for c in piece.columns), strict=True))
+        for k, doc_id, text in rows:
             if part is None:
                 part = k
                 yield edge("first", (doc_id, text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_lower, cut_lineage, shuffle_parts, table
+from ledgerloom.llm.common import ascii_lower, cut_lineage, shuffle_parts, slices, table
 
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d"
 _RUNS = "cut boolean, h1 long, h2 long, doc_id long, body long, pos int"
@@ -99,7 +99,8 @@ def keep_bitmaps(
     one document: its lines stay or go together. An empty table gives no rows. Other columns are ignored.
     """
     parts = parts or shuffle_parts(docs.sparkSession)
-    rows = _line_rows(docs, id_col, text_col, min_chars)
+    # range partitioning reads its rows twice, for bounds and for rows: they are written once instead of hashed again
+    rows = cut_lineage(_line_rows(docs, id_col, text_col, min_chars))
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("body"), F.col("pos")]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     runs = cut_lineage(ranged.mapInArrow(_stream(min_docs), _RUNS))
@@ -160,7 +161,7 @@ def drop_repeated_lines(
     at = int(own_text[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             cols, keep = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
             if any(k is not None for k in keep):
                 texts = cols[at].to_pylist()
@@ -177,7 +178,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined, (own_id, own_text) = _with_bitmaps(docs, "doc_id", "text", 40, 5)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             kept = [_kept(t or "", k) for t, k in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -21,8 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import chunks, cut_lineage, mix64, shingle_sets, shuffle_parts, table, text_bytes
-from ledgerloom.llm.components import components
+from ledgerloom.llm.common import chunks, cut_lineage, mix64, shingle_sets, shuffle_parts, slices, table, text_bytes
+from ledgerloom.llm.components import components, joined
 
 #: 32 bands of 4 coordinates: sets of similarity 0.75 share a band but for 5 in a million.
 BANDS, ROWS = 32, 4
@@ -60,15 +60,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "k1", "k2", "bands", "sig", "packed"]
     closed = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = text_bytes(batch.column(1))
-        for a, b in chunks([len(t) for t in texts]):
-            sets = shingle_sets(texts[a:b])
+    for whole in batches:
+        for batch in slices(whole, 1):
+            texts, n = text_bytes(batch.column(1)), batch.num_rows
+            sets = shingle_sets(texts)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(sizes)
-            k1, k2 = np.zeros(b - a, dtype=np.uint64), np.zeros(b - a, dtype=np.uint64)
-            bands: list = [None] * (b - a)
-            sigs: list = [None] * (b - a)
+            k1, k2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+            bands: list = [None] * n
+            sigs: list = [None] * n
             if len(full):
                 some = [sets[i] for i in full]
                 flat, starts = np.concatenate(some), np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -84,9 +84,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bands[i], sigs[i] = h, s.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0)[a:b], pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                    batch.column(0), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
-                    pa.array([closed.compress(t) if n else None for t, n in zip(texts[a:b], sizes, strict=True)], pa.binary()),
+                    pa.array([closed.compress(t) if k else None for t, k in zip(texts, sizes, strict=True)], pa.binary()),
                 ],
                 names,
             )
@@ -215,13 +215,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(cells: DataFrame, contents: DataFrame, parts: int) -> DataFrame:
-    """cells: band, hash, i, j, second, rep, label; contents: rep, bands, sig, packed. The exact links (a, b) of all cells,
-    as a spanning forest of each."""
+    """cells: band, hash, i, j, second, rep, label; contents: rep, bands, sig, packed. The exact links of all cells as stars
+    (a, b): a spanning forest of each cell, and what a task finds joined in the same worker."""
     full = cells.join(contents, "rep").select(
         "band", "hash", "i", "j", "rep", "label", "second", "sig", "packed", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")
     )
     placed = full.repartition(parts, "band", "hash", "i", "j").sortWithinPartitions("band", "hash", "i", "j", "rep")
-    return placed.mapInArrow(_links, "a long, b long")
+    return placed.mapInArrow(lambda batches: joined(_links(batches)), "a long, b long")
 
 
 def _paired(rows: DataFrame, others: Column) -> DataFrame:
@@ -302,14 +302,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     contents = cut_lineage(full.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig", "packed"))
     first = _near_cells(members.where(F.col("band") < FIRST_BANDS).withColumn("label", F.col("rep")))
-    found = cut_lineage(components(_opened(first, contents, parts)))
+    found = cut_lineage(components(_opened(first, contents, parts), as_stars=True))
     # small buckets of the first bands are settled; large ones only as far as their components
     rest = members.where((F.col("band") >= FIRST_BANDS) | (F.col("size") > BLOCK))
     labelled = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "hash", "rep", "weight", "size", F.coalesce("component", "rep").alias("label")
     )
     more = _opened(_far_cells(labelled), contents, parts)
-    found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), as_stars=True)
     named = classes.select("k1", "k2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import chunks, table, text_bytes, word_hashes
+from ledgerloom.llm.common import slices, table, text_bytes, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -72,13 +72,12 @@ def with_statistics(df: DataFrame, text_col: str = "text", name: str = "statisti
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(at))
-            rows = [statistics(texts[a:b]) for a, b in chunks([len(t) for t in texts])]
-            flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(STATISTICS)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+        for whole in batches:
+            for batch in slices(whole, at):
+                rows = statistics(text_bytes(batch.column(at)))
+                offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
     return df.mapInArrow(run, df.select("*", F.array().cast("array<double>").alias(name)).schema)
 
