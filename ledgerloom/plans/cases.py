@@ -277,12 +277,26 @@ SELECT s.case_id, s.lender, s.stream::INT AS stream, CASE WHEN s.reference <> ''
     observed_total, last_seen, evidence FROM seen s JOIN pattern p ON p.case_id = s.case_id AND p.lender = s.lender AND p.reference = s.reference AND p.stream = s.stream
 """.removeprefix(")"), recursive=True))
 def a10_seed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeded = D.seeded_payments(_debit_days(events_ledger(spark, sf_dir)))
+    rows = D.position_evidence(seeded).groupBy("position_id").agg(F.array_sort(F.collect_list(F.struct("date", "id"))).alias("evidence"))
     shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["date"].cast("string"), e["id"].cast("string"))), ",")
-    return D.seed_positions(_debit_days(events_ledger(spark, sf_dir))).select(
+    return D.positions_of(seeded).join(rows, "position_id").select(
         "case_id", "lender", "stream", "reference", "kind", "frequency", "payment", "observed_payments", "observed_total", "last_seen", shown.alias("evidence")
     )
 
 
+@query("a10_position_evidence", over_events(f"""), paid AS (
+    SELECT case_id, lender, reference, date, id, amount, row_number() OVER (PARTITION BY case_id ORDER BY date, id) AS seq FROM (
+        SELECT *, tx_type = 'debit' AND lender IS NOT NULL AS mine FROM daily) WHERE mine
+), {_streams_sql("paid", "case_id, lender, reference")}
+SELECT case_id, lender, reference AS contract, stream::INT AS stream, id, date, amount FROM streamed""".removeprefix(")"), recursive=True))
+def a10_position_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payments that each seeded position rests on, by its id."""
+    seeded = D.seeded_payments(_debit_days(events_ledger(spark, sf_dir)))
+    named = D.positions_of(seeded).select("position_id", "lender", "contract", "stream")
+    return D.position_evidence(seeded).join(named, "position_id").select("case_id", "lender", "contract", "stream", "id", "date", "amount")
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A debt schedule made of suppliers: case, kind, frequency and payment from their keys and balances."""
     k = F.col("s_suppkey")
@@ -338,17 +352,18 @@ def a12_debt_revenue_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(M.debt_revenue_ratios(revenue, good), "ratio")
 
 
-def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _schedule(seeded: DataFrame) -> DataFrame:
     """Seeded positions, those of BIZFUND in cases 0 and 1 verified as no debt."""
     no = (F.col("lender") == "BIZFUND") & (F.col("case_id") < 2)
-    seeded = D.seed_positions(orders_ledger(spark, sf_dir))
-    return seeded.withColumns({"status": F.when(no, "Not debt").otherwise(F.col("status")), "verified": no})
+    return D.positions_of(seeded).withColumns({"status": F.when(no, "Not debt").otherwise(F.col("status")), "verified": no})
 
 
 @query("p5_debt_payment_mask", over_orders("""
 SELECT id, lender, amount FROM ledger WHERE tx_type = 'debit' AND lender IS NOT NULL AND NOT (lender = 'BIZFUND' AND case_id < 2)"""))
 def p5_debt_payment_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.debt_payment_rows(orders_ledger(spark, sf_dir), _schedule(spark, sf_dir)).select("id", "lender", "amount")
+    ledger = orders_ledger(spark, sf_dir)
+    seeded = D.seeded_payments(ledger)
+    return D.debt_payment_rows(ledger, _schedule(seeded), evidence=D.position_evidence(seeded)).select("id", "lender", "amount")
 
 
 @query("r4_position_edits", f"""{_POSITIONS}, e AS (

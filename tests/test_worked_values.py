@@ -172,7 +172,9 @@ def test_debt_rows_of_a_callers_matcher_and_cited_rows(spark):
     own = lambda text: F.when(F.contains(text, F.lit("ACME")), F.struct(F.lit("Standard").alias("tier"), F.lit("ACME").alias("lender")))
     assert [(r.id, r.lender) for r in debt.debt_payments(ledger, own).collect()] == [(2, "ACME")]
     assert [r.lender for r in debt.seed_positions(ledger, own).collect()] == ["ACME"]
-    seeded = debt.seed_positions(ledger)
+    assert debt.position_evidence(debt.seeded_payments(ledger)).count() == 1
+    rows = debt.position_evidence(debt.seeded_payments(ledger)).groupBy("position_id").agg(F.collect_list(F.struct("id")).alias("evidence"))
+    seeded = debt.seed_positions(ledger).join(rows, "position_id")
     cited = seeded.limit(1).withColumns({"position_id": F.lit("chat:x"), "contract": F.lit("chat:x"), "lender": F.lit("Landlord"),
                                          "evidence": F.transform("evidence", lambda e: e.withField("id", F.lit(4).cast("long")))})
     got = {r.id: r.lender for r in debt.debt_payment_rows(ledger, seeded.unionByName(cited)).collect()}
