@@ -22,6 +22,8 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Payments of a range, about.
 RANGE_ROWS = 500_000
+#: Up to so many pairs of a stream and a payment of one day are simply compared.
+FEW = 36
 
 
 def _nearest(anchors: list[int], todo: list[tuple[int, int]], moving: bool) -> Iterator[tuple[int, int]]:
@@ -83,6 +85,20 @@ def assign_day(anchors: list[int], amounts: list[int]) -> list[int]:
     together first, among streams that have none on that day; when each has one, the rest go to the nearest of all. `anchors`
     follow their payments. n log n for a day of n payments."""
     out = [-1] * len(amounts)
+    if len(anchors) * len(amounts) <= FEW:
+        free, left = list(range(len(anchors))), list(range(len(amounts)))
+        while left:
+            gap = None
+            for s in free or range(len(anchors)):
+                last = anchors[s]
+                for p in left:
+                    if gap is None or abs(amounts[p] - last) < gap:
+                        gap, stream, payment = abs(amounts[p] - last), s, p
+            out[payment], anchors[stream] = stream, amounts[payment]
+            left.remove(payment)
+            if free:
+                free.remove(stream)
+        return out
     for moving in (False, True):
         todo = [(p, a) for p, a in enumerate(amounts) if out[p] < 0]
         if not todo:
@@ -94,7 +110,7 @@ def assign_day(anchors: list[int], amounts: list[int]) -> list[int]:
 
 
 #: Columns that a walk needs before the payment's own: place of the range, group, 0 for the row that brings the first amounts and 1
-#: for a payment, those amounts and the payment's, in cents.
+#: for a payment, those amounts (as text) and the payment's, in cents.
 _PART, _GROUP, _KIND, _START, _CENTS = (f"_walk_{c}" for c in ("part", "group", "kind", "start", "cents"))
 _BORDER = "_walk_border"
 
@@ -127,22 +143,23 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changes = [True] + [bool(x) for x in (np.diff(parts) != 0) | (np.diff(codes) != 0) | (np.diff(kinds) != 0) | (np.diff(days) != 0)]
         begins = np.flatnonzero(changes).tolist()
         ends = [*begins[1:], batch.num_rows]
-        streams, out = np.zeros(batch.num_rows, dtype=np.int32), []
         done = 0 if last else begins.pop()  # the last day may go on
-        borders = []
+        out, borders, found = [], [], [-1] * batch.num_rows
+        parts, kinds, codes, cents, known = parts.tolist(), kinds.tolist(), codes.tolist(), cents.tolist(), names.dictionary.to_pylist()
         for a, b in zip(begins, ends):  # noqa: B905
-            name = names.dictionary[int(codes[a])].as_py()
-            if (int(parts[a]), name) != (part, group):
+            name = known[codes[a]]
+            if name != group or parts[a] != part:
                 if parts[a] != part:
                     if part is not None:
                         borders.append(ended(batch))
-                    part = int(parts[a])
-                    border = {"part": part, "first": name, "begun": bool(kinds[a] == 0)}
+                    part = parts[a]
+                    border = {"part": part, "first": name, "begun": kinds[a] == 0}
                 group, anchors = name, None
             if kinds[a] == 0:
-                anchors = batch.column(3)[a].as_py()
+                anchors = [int(x) for x in batch.column(3)[a].as_py().split(",")]
             elif anchors is not None:
-                streams[a:b] = np.array(assign_day(anchors, cents[a:b].tolist())) + 1
+                found[a:b] = assign_day(anchors, cents[a:b])
+        streams = np.array(found, dtype=np.int32) + 1
         whole = batch if last else batch.slice(0, done)
         if whole.num_rows:
             out.append(shown(whole, streams[: whole.num_rows] > 0, streams[: whole.num_rows]))
@@ -174,10 +191,10 @@ def walk_streams(payments: DataFrame, starts: DataFrame, group: list[str], range
     are taken by seq, id and amount. Days are taken from the last to the first."""
     name = F.to_json(F.struct(*group))
     cents: Callable[[Column], Column] = lambda c: (c.cast(CENTS) * 100).cast("long")
-    own = payments.select(F.lit(0).alias(_PART), name.alias(_GROUP), F.lit(1).alias(_KIND), F.lit(None).cast("array<long>").alias(_START),
+    own = payments.select(F.lit(0).alias(_PART), name.alias(_GROUP), F.lit(1).alias(_KIND), F.lit(None).cast("string").alias(_START),
                           F.coalesce(cents(F.col("amount")), F.lit(0)).alias(_CENTS), *payments.columns)
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in payments.schema.fields]
-    heads = starts.select(F.lit(0).alias(_PART), name.alias(_GROUP), F.lit(0).alias(_KIND), F.transform("anchors", cents).alias(_START), F.lit(None).cast("long").alias(_CENTS), *empty)
+    heads = starts.select(F.lit(0).alias(_PART), name.alias(_GROUP), F.lit(0).alias(_KIND), F.array_join(F.transform("anchors", cents), ",").alias(_START), F.lit(None).cast("long").alias(_CENTS), *empty)
     rows = written(own.unionByName(heads))
     parts = max(1, -(-rows.count() // range_rows))
     if parts > 1:
@@ -194,7 +211,7 @@ def walk_streams(payments: DataFrame, starts: DataFrame, group: list[str], range
     known = {k: ends[k]["anchors"] for k in order if k not in waiting or ends[k]["first"] != ends[k]["last"]}
     while waiting:
         ready = sorted(k for k in waiting if before[k] in known)
-        heads = payments.sparkSession.createDataFrame([(k, ends[k]["first"], known[before[k]]) for k in ready], f"{_PART} int, {_GROUP} string, {_START} array<long>")
+        heads = payments.sparkSession.createDataFrame([(k, ends[k]["first"], ",".join(map(str, known[before[k]]))) for k in ready], f"{_PART} int, {_GROUP} string, {_START} string")
         heads = heads.select(_PART, _GROUP, F.lit(0).alias(_KIND), _START, F.lit(None).cast("long").alias(_CENTS), *empty)
         mine = rows.where(F.col(_PART).isin(ready)).join(F.broadcast(heads.select(_PART, _GROUP)), [_PART, _GROUP], "left_semi").select(*rows.columns)
         more, borders = _round(mine.unionByName(heads), schema)
