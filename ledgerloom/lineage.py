@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -14,10 +15,32 @@ def written(df: DataFrame) -> DataFrame:
     Where that is unset, a folder is made on a local master alone, as in tests; on a cluster it would not be shared, so
     it is refused.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; see `written`."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def kept_by(df: DataFrame, key: str = "case_id") -> DataFrame:
+    """`df` written once as a Parquet table bucketed by `key` below the shared folder, and read from there.
+
+    Joins, windows and aggregations by the key (alone or with other columns) between such tables need no exchange, and Spark
+    knows their sizes. For tables of a case's statements, months, positions and the like; rows of a ledger are aggregated by
+    case before they move instead, so that a case with most of the rows stays spread out. The number of buckets is that of
+    shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"kept_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/tables/{name}")
+    rows.saveAsTable(name)
+    return spark.table(name)

@@ -3,8 +3,8 @@ meet: nothing is kept in memory but the rules themselves."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-
 from functools import reduce
 
 from ledgerloom import rules
@@ -62,6 +62,9 @@ LENDER_ALIASES = [
 ]
 
 
+_ALIAS_ROWS = json.dumps([{"name": f" {key} ", "tier": tier, "lender": lender} for key, tier, lender in LENDER_ALIASES])
+
+
 def _pair(tier: Column | str, lender: Column | str) -> Column:
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(as_column(tier).alias("tier"), as_column(lender).alias("lender"))
@@ -82,7 +85,7 @@ def lender_match(description: Column) -> Column:
 
 def _lender_of(text: Column) -> Column:
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    names = F.array(*[F.struct(F.lit(f" {k} ").alias("name"), F.lit(t).alias("tier"), F.lit(n).alias("lender")) for k, t, n in LENDER_ALIASES])
+    names = F.from_json(F.lit(_ALIAS_ROWS), "array<struct<name: string, tier: string, lender: string>>")  # folded to a constant
     hit = F.get(F.filter(names, lambda a: F.contains(padded, a["name"])), F.lit(0))
     named = F.when(hit.isNotNull(), _pair(hit["tier"], hit["lender"]))
     loan = F.regexp_extract(text, r"TRANSFER TO LOAN (\d+)", 1)

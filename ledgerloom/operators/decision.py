@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from ledgerloom import rules
 from ledgerloom.functions.money import CENTS
-from ledgerloom.lineage import written
+from ledgerloom.lineage import kept_by, written
 from ledgerloom.operators import classify as K
 from ledgerloom.operators import coverage as C
 from ledgerloom.operators import debt as D
@@ -49,7 +49,8 @@ def data_signature(ledger: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def underwriting_inputs(
-    ledger: DataFrame, statements: DataFrame, months: DataFrame, positions: DataFrame | None = None, matcher: Callable[[Column], Column] | None = None
+    ledger: DataFrame, statements: DataFrame, months: DataFrame, positions: DataFrame | None = None, matcher: Callable[[Column], Column] | None = None,
+    covered: DataFrame | None = None,
 ) -> DataFrame:
     """Measures of the chosen months of every case that has statements (revenue, trend, ...: see `revenue_metrics`),
     average daily balance, negative days (null if balances can't be rebuilt), returned items and fees, distinct lenders
@@ -57,10 +58,11 @@ def underwriting_inputs(
     paid), and the counts of positions.
 
     ledger: a classified ledger with seq and statement_period_start; statements with opening and rate; months as of
-    `chosen_months`; positions as of `seed_positions`.
+    `chosen_months`; positions as of `seed_positions`; covered: the covered spans, where they are at hand. Tables by case are
+    best kept by case (`lineage.kept_by`): all that is joined here is one row a case.
     """
-    days = written(C.covered_days(statements))
-    rows = written(C.covered_rows(ledger, days, months))
+    spans = kept_by(C.covered_spans(statements)) if covered is None else covered
+    rows = written(C.covered_rows(ledger, spans, months))
     paid = D.debt_payments(rows, matcher).select("case_id", "id", "lender", "amount", "month") if positions is None else D.debt_payment_rows(rows, positions, matcher)
     paid = written(paid)
     ids = paid.select("case_id", "id").distinct()
@@ -70,7 +72,7 @@ def underwriting_inputs(
     parts = [
         M.revenue_metrics(rows, months).withColumnRenamed("average", "revenue"), lenders, M.monthly_average(own, months, "operating_outflows"),
         M.returned_payments(ledger).select("case_id", F.col("returned_items").alias("returned"), "fee_rows"),
-        C.daily_balances(statements, ledger, months).select("case_id", F.round("average_daily_balance", 2).alias("average_daily_balance"), "negative_days"),
+        C.daily_balances(statements, ledger, months, spans).select("case_id", F.round("average_daily_balance", 2).alias("average_daily_balance"), "negative_days"),
         months.groupBy("case_id").agg(F.count("*").alias("months"), F.bool_and("complete").alias("months_complete")),
     ]
     if positions is None:
@@ -91,9 +93,10 @@ def underwriting_inputs(
 def account_figures(ledger: DataFrame, statements: DataFrame, schedule: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`underwriting_inputs` of every account by itself, over its own available months. ledger and statements have the
     account as their case_id; schedule: positions of a ledger."""
-    ledger, statements = written(ledger), written(statements)
-    months = written(C.coverage_summary(C.covered_days(statements), C.offer_months(statements)))
-    return underwriting_inputs(ledger, statements, months, None if schedule is None else schedule(ledger))
+    ledger, statements = written(ledger), kept_by(statements)
+    spans = kept_by(C.covered_spans(statements))
+    months = kept_by(C.coverage_summary(spans, C.offer_months(statements, spans)))
+    return underwriting_inputs(ledger, statements, months, None if schedule is None else schedule(ledger), covered=spans)
 
 
 def gate_findings(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ledgerloom.functions.money import CENTS
-from ledgerloom.lineage import written
+from ledgerloom.lineage import kept_by, written
 from ledgerloom.operators import classify as K
 from ledgerloom.operators import coverage as C
 from ledgerloom.operators import debt as D
@@ -575,11 +575,12 @@ def _schedule_of(ledger: DataFrame) -> DataFrame:
 
 def _decision_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Everything that a decision run rests on."""
-    ledger, statements = written(_decision_ledger(spark, sf_dir)), written(_decision_statements(spark, sf_dir))
-    months = written(chosen_months(statements))
+    ledger, statements = written(_decision_ledger(spark, sf_dir)), kept_by(_decision_statements(spark, sf_dir))
+    spans = kept_by(C.covered_spans(statements))
+    months = kept_by(C.coverage_summary(spans, C.offer_months(statements, spans)))
     k = F.col("case_id")
-    positions = written(_schedule_of(ledger))
-    inputs = written(X.underwriting_inputs(ledger, statements, months, positions))
+    positions = kept_by(_schedule_of(ledger))
+    inputs = kept_by(X.underwriting_inputs(ledger, statements, months, positions, covered=spans))
     findings = statements.where("status = 'review_required'").select("case_id", "stmt_id", F.when(k % 13 == 7, "Suspected manipulation of text").otherwise("Totals differ").alias("code"))
     names = sorted(P.rules.INDUSTRIES)[:2]
     signed = X.data_signature(ledger, statements)
@@ -593,7 +594,7 @@ def _decision_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (3 + k % 7).cast("int").alias("repayment_term"), F.lit(None).cast("decimal(6,4)").alias("repayment_factor"), F.when(k % 3 == 2, 40).cast("decimal(6,2)").alias("advance_pct_revenue"),
     )
     flags = cases.where("case_id % 2 = 1").select("case_id", F.when(k % 4 == 1, "page").otherwise("integrity").alias("kind"))
-    return {"ledger": ledger, "statements": statements, "inputs": inputs, "findings": findings, "cases": written(cases), "flags": flags}
+    return {"ledger": ledger, "statements": statements, "inputs": inputs, "findings": findings, "cases": kept_by(cases), "flags": flags}
 
 
 _INPUTS = f"""{_OFFER}, dl AS (
@@ -710,7 +711,7 @@ SELECT i.case_id, (SELECT count(*) FROM gates g WHERE g.case_id = i.case_id) > 0
     CAST(floor(high * 85) / 100 AS DECIMAL(18,2)) AS low, high FROM (SELECT case_id FROM inputs) i LEFT JOIN ends ON ends.k = i.case_id""", recursive=True))
 def r11_decision_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decision_frames(spark, sf_dir)
-    gates = written(X.gate_findings(d["cases"], d["ledger"], d["statements"], d["findings"], d["inputs"], d["flags"]))
+    gates = kept_by(X.gate_findings(d["cases"], d["ledger"], d["statements"], d["findings"], d["inputs"], d["flags"]))
     out = X.decision_run(d["cases"], d["inputs"], gates)
     return out.select(
         "case_id", "blocked", F.array_join("gates", ",").alias("gates"), "score", "grade", "funding_position", "term", "problem", "low", "high"

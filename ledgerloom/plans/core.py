@@ -337,7 +337,7 @@ def c1_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT case_id, month, covered_days, calendar_days, round(covered_days / calendar_days, 6) AS coverage_fraction,
     covered_days = calendar_days AS complete FROM coverage"""))
 def c2_c3_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.coverage_summary(C.covered_days(orders_statements(spark, sf_dir)))
+    out = C.coverage_summary(C.covered_spans(orders_statements(spark, sf_dir)))
     return out.withColumn("coverage_fraction", ratio(F.col("coverage_fraction")))
 
 
@@ -379,7 +379,7 @@ def c7_partial_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l.id FROM ledger l JOIN covered d ON d.case_id = l.case_id AND d.day = l.date JOIN offer o ON o.case_id = l.case_id AND o.month = l.month""", recursive=True))
 def p3_covered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements = orders_statements(spark, sf_dir)
-    return C.covered_rows(orders_ledger(spark, sf_dir), C.covered_days(statements), C.offer_months(statements)).select("id")
+    return C.covered_rows(orders_ledger(spark, sf_dir), C.covered_spans(statements), C.offer_months(statements)).select("id")
 
 
 def events_statements(ledger: DataFrame) -> DataFrame:
@@ -455,14 +455,14 @@ def a4_revenue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chosen_months(statements: DataFrame) -> DataFrame:
     """Offer months with their coverage."""
-    days = written(C.covered_days(statements))
-    return C.coverage_summary(days, C.offer_months(statements, days))
+    spans = written(C.covered_spans(statements))
+    return C.coverage_summary(spans, C.offer_months(statements, spans))
 
 
 def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements = written(orders_statements(spark, sf_dir))
     months = written(chosen_months(statements))
-    rows = C.covered_rows(classified(spark, sf_dir), C.covered_days(statements), months)
+    rows = C.covered_rows(classified(spark, sf_dir), C.covered_spans(statements), months)
     return M.revenue_metrics(rows, months)
 
 
