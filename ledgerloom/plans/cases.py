@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from ledgerloom.functions.money import CENTS
-from ledgerloom.lineage import kept_by, written
+from ledgerloom.lineage import kept_by, shared_folder, written
 from ledgerloom.operators import classify as K
 from ledgerloom.operators import coverage as C
 from ledgerloom.operators import debt as D
@@ -16,6 +17,8 @@ from ledgerloom.operators import policy as P
 from ledgerloom.plans.bridge import events_ledger, orders_ledger, orders_statements, table
 from ledgerloom.plans.core import _OFFER, case_metrics, chosen_months, classified, query, ratio
 from ledgerloom.plans.oracle_base import over_events, over_orders
+from ledgerloom.sources import verified_csv as V
+from ledgerloom.sources.statement_csv import StatementCsv
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -528,6 +531,82 @@ def r8_r9_r10_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
                        P.capped_advance(F.col("u"), F.col("u") * 2, F.col("pct")).alias("capped"), a_low.alias("a_low"), a_mid.alias("a_mid"), a_high.alias("a_high"))
 
 
+# ---- Statement files and exports ----------------------------------------------------------------------------------------------
+
+
+def _statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement file for each account, oldest row first; texts with quotes, commas and line breaks; the flaw of a file depends on
+    its account's number: 1 a wrong balance, 2 wrong totals, 3 a wrong closing balance, 4 a row of both sides, 5 a second currency."""
+    rows = orders_ledger(spark, sf_dir)
+    k = F.element_at(F.split("account_id", ":"), 2).cast("long")
+    account = Window.partitionBy("account_id")
+    by_time = account.orderBy("date", "id")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("tx_type") == side, F.col("amount"))).over(account), F.lit(0).cast(CENTS))
+    move = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    own = rows.withColumns({
+        "k": k % 7, "seq": F.row_number().over(by_time), "shown": F.sum(move).over(by_time.rowsBetween(Window.unboundedPreceding, 0)), "closing": F.sum(move).over(account),
+        "out": total("debit"), "in": total("credit"), "period_start": F.min("date").over(account), "period_end": F.max("date").over(account), "number": k,
+    })
+    flaw = lambda kind, when=F.lit(True): F.when((F.col("k") == kind) & when, 1).otherwise(0)
+    text = lambda c: c.cast(CENTS).cast("string")
+    side = lambda name: F.when((F.col("tx_type") == name) | ((F.col("k") == 4) & (F.col("seq") == 1)), text(F.col("amount"))).otherwise("")
+    other = F.when((F.col("k") == 5) & (F.col("seq") == 2), F.when(F.col("currency") == "CAD", "USD").otherwise("CAD")).otherwise(F.col("currency"))
+    return own.select(
+        F.concat(F.col("number").cast("string"), F.lit(".csv")).alias("source_file"), "seq", "account_id", other.alias("currency"),
+        F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), F.lit("0.00").alias("opening_balance"),
+        text(F.col("closing") + flaw(3)).alias("closing_balance"), text(F.col("out") + flaw(2)).alias("expected_debits"), text(F.col("in")).alias("expected_credits"),
+        F.col("date").cast("string").alias("date"),
+        F.when(F.col("id") % 5 == 0, F.concat("description", F.lit(' "quoted",\nsecond line'))).otherwise(F.col("description")).alias("description"),
+        side("debit").alias("debit"), side("credit").alias("credit"), text(F.col("shown") + flaw(1, F.col("seq") == 2)).alias("balance"),
+    )
+
+
+@query("s1_s10_statement_files", over_orders(""", own AS (
+    SELECT *, number % 7 AS k, row_number() OVER (PARTITION BY number ORDER BY date, id) AS s, count(*) OVER (PARTITION BY number) AS n FROM ledger
+), files AS (
+    SELECT number, k, count(*) AS n, coalesce(sum(amount) FILTER (WHERE tx_type = 'debit'), 0) AS debits, coalesce(sum(amount) FILTER (WHERE tx_type = 'credit'), 0) AS credits,
+        sum(move) + CASE WHEN k = 1 AND count(*) = 2 THEN 1 ELSE 0 END AS last, sum(length(description) + CASE WHEN id % 5 = 0 THEN 22 ELSE 0 END) AS letters FROM own GROUP BY number, k
+), judged AS (
+    SELECT *, k = 4 OR (k = 5 AND n > 1) AS rejected FROM files
+)
+SELECT number, rejected, CASE WHEN NOT rejected THEN n END::BIGINT AS transactions, CASE WHEN NOT rejected THEN debits END::DECIMAL(18,2) AS debits,
+    CASE WHEN NOT rejected THEN credits END::DECIMAL(18,2) AS credits, CASE WHEN NOT rejected THEN last END::DECIMAL(18,2) AS last_balance,
+    CASE WHEN NOT rejected THEN letters END::BIGINT AS letters, CASE WHEN rejected THEN '' WHEN k = 1 AND n > 2 THEN 'balance_mismatch,balance_mismatch'
+        WHEN k = 1 AND n = 2 THEN 'balance_mismatch,closing_differs' WHEN k = 2 THEN 'totals_differ' WHEN k = 3 THEN 'closing_differs' ELSE '' END AS findings FROM judged"""))
+def s1_s10_statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements written as files by the format `statement_csv`, read again by it and verified: a row for each file."""
+    spark.dataSource.register(StatementCsv)
+    folder = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
+    rows = _statement_rows(spark, sf_dir).repartition("source_file").sortWithinPartitions("source_file", "seq")
+    rows.write.format("statement_csv").mode("append").save(folder)
+    statements, transactions, findings, rejects = V.verified_statements(spark.read.format("statement_csv").load(folder))
+    number = F.regexp_extract("source_file", r"(\d+)\.csv$", 1).cast("long")
+    own = transactions.groupBy("source_file").agg(F.count("*").alias("transactions"), F.sum(F.length("description")).alias("letters"))
+    codes = findings.groupBy("source_file").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("findings"))
+    read = statements.join(own, "source_file").join(codes, "source_file", "left").select(
+        number.alias("number"), F.lit(False).alias("rejected"), "transactions", "debits", "credits", "last_balance", "letters", F.coalesce("findings", F.lit("")).alias("findings")
+    )
+    return read.unionByName(rejects.select(number.alias("number"), F.lit(True).alias("rejected"), F.lit("").alias("findings")), allowMissingColumns=True)
+
+
+@query("s10_exports", over_orders("""
+SELECT export, case_id, count(*) AS rows, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM (
+    SELECT 'ledger' AS export, case_id, amount FROM ledger
+    UNION ALL SELECT 'advances', case_id, amount FROM ledger WHERE tx_type = 'debit'
+    UNION ALL SELECT 'decision_memo', case_id, max(amount) FROM ledger GROUP BY case_id) GROUP BY ALL"""))
+def s10_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of the named exports of a portfolio, written by case and read again."""
+    rows = orders_ledger(spark, sf_dir).select("case_id", "id", "tx_type", "amount")
+    frames = {"ledger": rows, "advances": rows.where("tx_type = 'debit'"), "decision_memo": rows.groupBy("case_id").agg(F.max("amount").alias("amount"))}
+    paths = V.write_exports({k: v.repartition("case_id") for k, v in frames.items()}, f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}")
+    kinds = "case_id long, id long, tx_type string, amount decimal(18,2)"
+    read = lambda i, kind, schema: spark.read.schema(schema).option("header", True).format(kind).load(paths[i])
+    memo = read(2, "json", "case_id long, memo string").select("case_id", F.from_json("memo", "amount decimal(18,2)").alias("m")).select("case_id", "m.amount")
+    parts = [(read(0, "json", kinds), "ledger"), (read(1, "csv", "id long, tx_type string, amount decimal(18,2), case_id long"), "advances"), (memo, "decision_memo")]
+    shown = [df.groupBy("case_id").agg(F.count("*").alias("rows"), F.sum("amount").cast(CENTS).alias("amount")).withColumn("export", F.lit(name)) for df, name in parts]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 # ---- The decision run ---------------------------------------------------------------------------------------------------------
 #
 # Every case differs by its number k: pending deposits are decided but for k % 5 = 4, amounts are small for k % 7 = 6, the opening

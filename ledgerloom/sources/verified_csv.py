@@ -2,58 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from ledgerloom.functions.money import CENTS, month_of, parse_money, strict_day
+from ledgerloom.lineage import written
+from ledgerloom.sources.statement_csv import COLUMNS, SCHEMA, batch_of
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Columns of the template; the first eight are the same in every row of a file.
-COLUMNS = ["account_id", "currency", "period_start", "period_end", "opening_balance", "closing_balance", "expected_debits", "expected_credits",
-           "date", "description", "debit", "credit", "balance"]
 CONSTANT = COLUMNS[:8]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, content, sha256) of every file below a path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.select(F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
+    """(source_file, content) of every CSV below a path. Spark passes over files without bytes here; `statement_csv` rejects them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("source_file"), "content")
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Rows of all files in their order: source_file, sha256, seq and COLUMNS as text. Quoted line breaks aren't supported;
-    the order of a file's rows is that of its lines, whatever the partitions."""
-    schema = ", ".join(f"{c} string" for c in COLUMNS)
-    lines = files.select("source_file", "sha256", F.posexplode(F.split(F.regexp_replace("content", "\r", ""), "\n")).alias("seq", "line"))
-    rows = lines.where("seq > 0 and trim(line) <> ''").select("source_file", "sha256", "seq", F.from_csv("line", F.lit(schema)).alias("r"))
-    return rows.select("source_file", "sha256", "seq", *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in COLUMNS])
+    """Records of all files (source_file, content) in their order, as the format `statement_csv` reads them: source_file, sha256,
+    seq, COLUMNS as text, and `problem`. For folders that only Spark's own readers reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                yield batch_of(name.as_py(), data.as_py() or b"")
+
+    return files.select("source_file", "content").mapInArrow(run, SCHEMA)
 
 
 def verified_statements(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(statements, transactions, findings, rejects) of parsed files. A file that breaks the template is rejected whole;
-    a file whose figures don't reconcile is read, with findings."""
-    day, start, end = strict_day(F.col("date")), strict_day(F.col("period_start")), strict_day(F.col("period_end"))
-    money = lambda c: F.when(F.trim(c) == "", F.lit(0).cast(CENTS)).otherwise(parse_money(F.col(c)))
+    """(statements, transactions, findings, rejects) of records, as `statement_csv` or `parse_files` gives them. A file that
+    breaks the template is rejected whole, with its `problem`; a file whose figures don't reconcile is read, with findings. An id
+    counts the header, so the first record's is 2."""
+    rows = written(rows)  # files are read once, several branches rest on them
+    broken = rows.where("problem is not null").select("source_file", "problem")
+    rows = rows.where("problem is null")
+    # what is the same in all records of a file is read once a file
+    same = [F.count_distinct(F.trim(c)).alias(f"_{c}") for c in CONSTANT]
+    heads = rows.groupBy("source_file", "sha256").agg(*same, *[F.min_by(c, "seq").alias(c) for c in CONSTANT])
+    # amounts are parsed by one expression over an array: side by side they would outgrow generated code
+    figures = F.transform(F.array("opening_balance", "closing_balance", "expected_debits", "expected_credits"), parse_money)
+    heads = heads.withColumns({"s": strict_day(F.col("period_start")), "e": strict_day(F.col("period_end")), "_f": figures}).withColumns(
+        {c: F.get("_f", F.lit(i)) for i, c in enumerate(("opening", "closing", "want_out", "want_in"))}
+    )
+    fine = (F.trim("account_id") != "") & F.col("currency").isin("CAD", "USD") & (F.col("s") <= F.col("e"))
+    for c in ("opening", "closing", "want_out", "want_in"):
+        fine = fine & F.col(c).isNotNull()
+    for c in CONSTANT:
+        fine = fine & (F.col(f"_{c}") == 1)
+    heads = heads.withColumn("_fine", F.coalesce(fine, F.lit(False))).select("source_file", *[F.trim(c).alias(c) for c in ("account_id", "currency")], "s", "e",
+                                                                            "opening", "closing", "want_out", "want_in", "_fine")
+    heads = written(heads)
+    figures = F.transform(F.array("debit", "credit", "balance"), parse_money)
+    money = lambda c, i: F.when(F.trim(c) == "", F.lit(0).cast(CENTS)).otherwise(F.get("_f", F.lit(i)))
     w = Window.partitionBy("source_file").orderBy("seq")
-    typed = rows.withColumns({
-        "d": day, "s": start, "e": end, "out": money("debit"), "in": money("credit"), "shown": parse_money(F.col("balance")),
-        "opening": parse_money(F.col("opening_balance")), "closing": parse_money(F.col("closing_balance")),
-        "want_out": parse_money(F.col("expected_debits")), "want_in": parse_money(F.col("expected_credits")),
-    }).withColumn("_last", F.lag("d").over(w))
+    typed = rows.withColumn("_f", figures).select(
+        "source_file", "sha256", "seq", "description", strict_day(F.col("date")).alias("d"), money("debit", 0).alias("out"), money("credit", 1).alias("in"),
+        F.get("_f", F.lit(2)).alias("shown"),
+    ).join(heads, "source_file")
+    typed = typed.withColumn("_last", F.lag("d").over(w))
     ok = (
-        F.col("d").between(F.col("s"), F.col("e")) & (F.col("_last").isNull() | (F.col("d") >= F.col("_last"))) & (F.col("out") >= 0) & (F.col("in") >= 0)
-        & ((F.col("out") > 0) != (F.col("in") > 0)) & (F.trim("description") != "") & F.col("shown").isNotNull() & F.col("currency").isin("CAD", "USD")
-        & (F.trim("account_id") != "") & F.col("opening").isNotNull() & F.col("closing").isNotNull() & F.col("want_out").isNotNull() & F.col("want_in").isNotNull()
+        F.col("_fine") & F.col("d").between(F.col("s"), F.col("e")) & (F.col("_last").isNull() | (F.col("d") >= F.col("_last"))) & (F.col("out") >= 0) & (F.col("in") >= 0)
+        & ((F.col("out") > 0) != (F.col("in") > 0)) & (F.trim("description") != "") & F.col("shown").isNotNull()
     )
-    same = [F.count_distinct(F.trim(c)).alias(f"_{c}") for c in CONSTANT]
-    judged = typed.groupBy("source_file").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("_ok"), *same)
-    good = F.col("_ok")
-    for c in CONSTANT:
-        good = good & (F.col(f"_{c}") == 1)
-    rejects = judged.where(~good).select("source_file")
-    kept = typed.join(judged.where(good).select("source_file"), "source_file", "left_semi")
+    typed = written(typed.withColumn("_ok", F.min(F.coalesce(ok, F.lit(False))).over(Window.partitionBy("source_file"))))
+    rejects = typed.where("not _ok").select("source_file").distinct().withColumn("problem", F.lit("records break the template")).unionByName(broken)
+    kept = typed.where("_ok")
     prev = F.coalesce(F.lag("shown").over(w), F.col("opening"))
     kept = kept.withColumn("_wrong", prev + F.col("in") - F.col("out") != F.col("shown"))
     statements = kept.groupBy("source_file", "sha256").agg(
-        *[F.first(F.trim(c)).alias(c) for c in ("account_id", "currency")], F.first("s").alias("period_start"), F.first("e").alias("period_end"),
+        *[F.first(c).alias(c) for c in ("account_id", "currency")], F.first("s").alias("period_start"), F.first("e").alias("period_end"),
         F.first("opening").alias("opening"), F.first("closing").alias("closing"), F.sum("out").cast(CENTS).alias("debits"), F.sum("in").cast(CENTS).alias("credits"),
         F.first("want_out").alias("want_out"), F.first("want_in").alias("want_in"), F.max_by("shown", "seq").alias("last_balance"),
     )
@@ -64,7 +84,7 @@ def verified_statements(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         statements.select("source_file", F.lit(None).cast("int").alias("seq"), F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flaws.items()]))).alias("code"))
     )
     transactions = kept.select(
-        "source_file", "seq", F.concat_ws(":", F.substring("sha256", 1, 16), F.lit("csv"), F.col("seq").cast("string")).alias("id"), F.col("d").alias("date"),
+        "source_file", "seq", F.concat_ws(":", F.substring("sha256", 1, 16), F.lit("csv"), (F.col("seq") + 1).cast("string")).alias("id"), F.col("d").alias("date"),
         month_of(F.col("d")).alias("month"), "description", F.when(F.col("in") > 0, "credit").otherwise("debit").alias("tx_type"),
         F.greatest("in", "out").alias("amount"), F.col("shown").alias("balance"),
     )
