@@ -134,7 +134,8 @@ def captured(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 
 #: The layouts, in the order in which they are tried, and what the first page of each holds. A test is a text as
-#: it stands, 'lower:' a text whatever its case, 'packed:' one without white space or case, 'like:' a pattern.
+#: it stands, 'lower:' a text whatever its case, 'packed:' one without white space or case, 'like:' a pattern, 'any:' a pattern that
+#: some page holds.
 ROUTES = [
     ("neo", ["Neo Everyday Account Summary"]),
     ("wise", ["Wise Payments", "statement"]),
@@ -143,7 +144,7 @@ ROUTES = [
     ("atb", ["lower:atb.com", "like:Consolidated Statement|Deposit Account Statement"]),
     ("activity_screen", ["Scotiabank", "Current Account", "Transactions", "like:^((?!Account Summary for this Period)[\\s\\S])*$"]),
     ("rbc", ["packed:ROYALBANKOFCANADA", "Account Summary for this Period"]),
-    ("scotia", ["like:(?i)scotiabank|bank of nova scotia", "like:Business Account\\s+\\d{5}\\s+\\d{5}\\s+\\d{2}", "Account Summary for this Period"]),
+    ("scotia", ["any:(?i)scotiabank|bank of nova scotia", "like:Business Account\\s+\\d{5}\\s+\\d{5}\\s+\\d{2}", "Account Summary for this Period"]),
     ("td", ["like:Statement of Account[\\s\\S]*CHEQUE/DEBIT|CHEQUE/DEBIT[\\s\\S]*Statement of Account"]),
     ("td", ["Account Activity", "Withdrawals", "Deposits"]),
     ("flinks", ["like:(?i)flinks dashboard|dashboard\\.flinks\\.com"]),
@@ -155,17 +156,19 @@ ROUTES = [
 ]
 
 
-def routed(text: Column, routes: list[tuple[str, list[str]]] | None = None) -> Column:
-    """The first layout all of whose tests a first page meets (see ROUTES); unsupported if none, image_only without text."""
+def routed(text: Column, routes: list[tuple[str, list[str]]] | None = None, pages: Column | None = None) -> Column:
+    """The first layout all of whose tests a first page meets (see ROUTES); unsupported if none, image_only without text.
+    pages: an array of the texts of all pages, for tests that any page may meet; without it the first page stands for all."""
     out = F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\S")), "unsupported").otherwise("image_only")
     packed = F.upper(F.regexp_replace(text, r"\s", ""))
+    every = F.array(text) if pages is None else pages
     for name, needed in reversed(ROUTES if routes is None else routes):
         hit = F.lit(True)
         for n in needed:
-            kind, _, rest = n.rpartition(":") if n.startswith(("lower:", "packed:")) else (("like", "", n[5:]) if n.startswith("like:") else ("", "", n))
+            kind, rest = next(((k, n[len(k) + 1 :]) for k in ("lower", "packed", "like", "any") if n.startswith(f"{k}:")), ("", n))
             hit = hit & {
                 "lower": lambda x: F.contains(F.lower(text), F.lit(x.lower())), "packed": lambda x: F.contains(packed, F.lit(x)),
-                "like": lambda x: F.regexp_like(text, F.lit(x)), "": lambda x: F.contains(text, F.lit(x)),
+                "like": lambda x: F.regexp_like(text, F.lit(x)), "any": lambda x: F.exists(every, lambda t: F.coalesce(F.regexp_like(t, F.lit(x)), F.lit(False))), "": lambda x: F.contains(text, F.lit(x)),
             }[kind](rest)
         out = F.when(hit, name).otherwise(out)
     return out

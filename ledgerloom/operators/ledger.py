@@ -123,20 +123,31 @@ def statement_status(statements: DataFrame, row_findings: DataFrame, checks: Dat
     return statements.join(bad, ["case_id", "stmt_id"], "left").select(*[status.alias(c) if c == "status" else F.col(c) for c in statements.columns])
 
 
+#: The longest period that is looked up month by month.
+LONG_DAYS = 3660
+
+
 def overlapping_periods(statements: DataFrame) -> DataFrame:
-    """V3: pairs of statements of one account whose periods overlap, but for a touch at a boundary with different
-    starts. An equi-join on the account with a range condition."""
-    a, b = statements.alias("a"), statements.alias("b")
-    col = F.col
-    touch = (col("a.period_start") != col("b.period_start")) & (
-        (col("a.period_end") == col("b.period_start")) | (col("b.period_end") == col("a.period_start"))
+    """V3: pairs of statements of one account whose periods overlap, but for a touch at a boundary with different starts.
+
+    Statements meet in the months of their periods, and a pair counts in the first month that both have, so an account may have
+    any number of them. A period of more than LONG_DAYS is no month's: it meets all statements of its account."""
+    own = statements.where("period_start <= period_end").select("case_id", "account_id", "stmt_id", "stmt_ord", "period_start", "period_end")
+    other = own.select(*[F.col(c).alias(f"_{c}") for c in own.columns])
+    c = F.col
+    same = (c("case_id") == c("_case_id")) & (c("account_id") == c("_account_id")) & (c("stmt_ord") < c("_stmt_ord"))
+    touch = (c("period_start") != c("_period_start")) & ((c("period_end") == c("_period_start")) | (c("_period_end") == c("period_start")))
+    met = same & (c("period_start") <= c("_period_end")) & (c("_period_start") <= c("period_end")) & ~touch
+    month = lambda start, end: F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
+    short = F.datediff("period_end", "period_start") <= LONG_DAYS
+    other_short = F.datediff("_period_end", "_period_start") <= LONG_DAYS
+    first = F.trunc(F.greatest("period_start", "_period_start"), "month")
+    binned = own.where(short).withColumn("_m", month("period_start", "period_end")).join(
+        other.where(other_short).withColumn("_om", month("_period_start", "_period_end")), met & (c("_m") == c("_om")) & (c("_m") == first)
     )
-    return a.join(
-        b,
-        (col("a.case_id") == col("b.case_id")) & (col("a.account_id") == col("b.account_id")) & (col("a.stmt_ord") < col("b.stmt_ord"))
-        & (col("a.period_start") <= col("b.period_end")) & (col("b.period_start") <= col("a.period_end")) & ~touch,
-    ).select(col("a.case_id").alias("case_id"), col("a.account_id").alias("account_id"), col("a.stmt_id").alias("stmt_id"),
-             col("b.stmt_id").alias("other_id"))
+    shown = ["case_id", "account_id", "stmt_id", F.col("_stmt_id").alias("other_id")]
+    long = own.where(~short).join(other, met).select(*shown).unionByName(own.where(short).join(other.where(~other_short), met).select(*shown))
+    return binned.select(*shown).unionByName(long)
 
 
 def balance_continuity(statements: DataFrame) -> DataFrame:
