@@ -111,23 +111,25 @@ def scan_licenses(
     hashed = rows.select(*key, words_of(ascii_lower(F.col("t"))).alias("w")).withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
     hashed = hashed.select("h1", "h2", "w", *(_hashes(F.col("hw"), m).alias(f"s{m}") for m in sorted({m for m, _ in kinds})))
 
-    def numbered(width: int, step: int) -> Column:
-        count = F.ceil(F.size(f"s{width}") / step)
+    def windows(width: int, step: int) -> Column:
+        """The windows of a text for one kind of template, each with its own words and its sketch, so that nothing of the rest of
+        the text goes along with it."""
+        count, span = F.ceil(F.size(f"s{width}") / step), 2 * step
         numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(numbers, lambda k: F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), k.alias("window")))
-
-    none = F.array().cast("array<struct<width: int, step: int, window: bigint>>")
-    each = hashed.withColumn("x", F.explode(F.concat(none, *(numbered(*kind) for kind in kinds))))
-    begin, span = (F.col("x.window") * F.col("x.step") + 1).cast("int"), 2 * F.col("x.step")
-    own = F.lit(None).cast("array<bigint>")
-    for m in {m for m, _ in kinds}:
-        own = F.when(F.col("x.width") == m, F.col(f"s{m}")).otherwise(own)
-    banded = each.withColumn("value", F.explode(_sketch(F.slice(own, begin, span))))
+
+        def window(k: Column) -> Column:
+            begin = (k * step + 1).cast("int")
+            words = F.slice("w", begin, F.lit(span + width - 1))
+            return F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), k.alias("window"), words.alias("words"),
+                            _sketch(F.slice(f"s{width}", begin, F.lit(span))).alias("values"))
+
+        return F.transform(numbers, window)
+
+    none = F.array().cast("array<struct<width: int, step: int, window: bigint, words: array<string>, values: array<bigint>>>")
+    each = hashed.select("h1", "h2", F.explode(F.concat(none, *(windows(*kind) for kind in kinds))).alias("x")).select("h1", "h2", "x.*")
     offers = known.select("license", "width", "step", F.explode("sketch").alias("value"))
-    named = banded.select("h1", "h2", "w", "value", "x.*", begin.alias("begin"), (span + F.col("x.width") - 1).alias("n_words"))
-    met = named.join(F.broadcast(offers), ["width", "step", "value"]).select(
-        "h1", "h2", "license", "window", F.array_join(F.slice("w", F.col("begin"), F.col("n_words")), " ").alias("words")
-    )
+    banded = each.withColumn("value", F.explode("values")).drop("values")
+    met = banded.join(F.broadcast(offers), ["width", "step", "value"]).select("h1", "h2", "license", "window", F.array_join("words", " ").alias("words"))
     met = cut_lineage(met.groupBy("h1", "h2", "license", "window").agg(F.first("words").alias("words")))
     both = met.join(known.drop("sketch"), "license")
     found = F.size(F.array_intersect(_shingles(F.split("words", " "), F.col("width")), F.col("own"))).cast("long")
