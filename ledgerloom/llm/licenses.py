@@ -54,6 +54,8 @@ WIDTH, BANDS, CONTAINED = 5, 32, 0.75
 LADDER = [round(16 * 2 ** (i / 2)) for i in range(40)]
 #: Templates that may be broadcast: BANDS rows of each, about 2 MB in all.
 MOST_TEMPLATES = 1000
+#: Windows of a block of text.
+WINDOWS = 8
 #: Parts that the rows of one text are dealt to when they fetch its result, so that a common row is no hot key.
 _PARTS = 16
 
@@ -111,25 +113,29 @@ def scan_licenses(
     hashed = rows.select(*key, words_of(ascii_lower(F.col("t"))).alias("w")).withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
     hashed = hashed.select("h1", "h2", "w", *(_hashes(F.col("hw"), m).alias(f"s{m}") for m in sorted({m for m, _ in kinds})))
 
-    def windows(width: int, step: int) -> Column:
-        """The windows of a text for one kind of template, each with its own words and its sketch, so that nothing of the rest of
-        the text goes along with it."""
-        count, span = F.ceil(F.size(f"s{width}") / step), 2 * step
+    def blocks(width: int, step: int) -> Column:
+        """A text for one kind of template in blocks of WINDOWS windows, each with its own words and hashes, so that a window is
+        never accompanied by more than its block."""
+        count, span = F.ceil(F.size(f"s{width}") / (WINDOWS * step)), WINDOWS * step
         numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
 
-        def window(k: Column) -> Column:
-            begin = (k * step + 1).cast("int")
-            words = F.slice("w", begin, F.lit(span + width - 1))
-            return F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), k.alias("window"), words.alias("words"),
-                            _sketch(F.slice(f"s{width}", begin, F.lit(span))).alias("values"))
+        def block(b: Column) -> Column:
+            begin = (b * span + 1).cast("int")
+            return F.struct(F.lit(width).alias("width"), F.lit(step).alias("step"), (b * WINDOWS).alias("first"),
+                            F.slice("w", begin, F.lit(span + step + width - 1)).alias("w"), F.slice(f"s{width}", begin, F.lit(span + step)).alias("s"))
 
-        return F.transform(numbers, window)
+        return F.transform(numbers, block)
 
-    none = F.array().cast("array<struct<width: int, step: int, window: bigint, words: array<string>, values: array<bigint>>>")
-    each = hashed.select("h1", "h2", F.explode(F.concat(none, *(windows(*kind) for kind in kinds))).alias("x")).select("h1", "h2", "x.*")
+    none = F.array().cast("array<struct<width: int, step: int, first: bigint, w: array<string>, s: array<bigint>>>")
+    each = hashed.select("h1", "h2", F.explode(F.concat(none, *(blocks(*kind) for kind in kinds))).alias("x")).select("h1", "h2", "x.*")
+    last = F.least(F.lit(WINDOWS), F.ceil(F.size("s") / F.col("step"))) - 1
+    placed = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    begin, span = (F.col("k") * F.col("step") + 1).cast("int"), 2 * F.col("step")
+    banded = placed.withColumn("value", F.explode(_sketch(F.slice("s", begin, span))))
     offers = known.select("license", "width", "step", F.explode("sketch").alias("value"))
-    banded = each.withColumn("value", F.explode("values")).drop("values")
-    met = banded.join(F.broadcast(offers), ["width", "step", "value"]).select("h1", "h2", "license", "window", F.array_join("words", " ").alias("words"))
+    named = banded.select("h1", "h2", "width", "step", "value", (F.col("first") + F.col("k")).alias("window"), "w", begin.alias("begin"), (span + F.col("width") - 1).alias("n_words"))
+    words = F.array_join(F.slice("w", F.col("begin"), F.col("n_words")), " ")
+    met = named.join(F.broadcast(offers), ["width", "step", "value"]).select("h1", "h2", "license", "window", words.alias("words"))
     met = cut_lineage(met.groupBy("h1", "h2", "license", "window").agg(F.first("words").alias("words")))
     both = met.join(known.drop("sketch"), "license")
     found = F.size(F.array_intersect(_shingles(F.split("words", " "), F.col("width")), F.col("own"))).cast("long")
