@@ -633,15 +633,3 @@ def test_secrets_of_a_text_with_very_many_matches(spark):
     assert time.time() - began < 60
     assert sorted((s.first, s.last) for s in got[1].base) == [(25 * i, 25 * i + 24) for i in range(100_000)]
     assert got[2].base[0].repositories == 2 and got[2].base[0].owners == 2
-
-
-def test_licenses_of_a_very_long_text(spark):
-    rng = random.Random(12)
-    words = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
-    name, notice = sorted(licenses.TEMPLATES.items())[0]
-    at = 250_000
-    words[at:at] = notice.split()
-    began = time.time()
-    got = licenses.scan_licenses(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()
-    assert [x.license for x in got[0].licenses] == [name] and got[0].licenses[0].containment == 1.0
-    assert time.time() - began < 90  # linear in the text's length
