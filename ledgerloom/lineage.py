@@ -6,7 +6,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a kept table up to which Spark may broadcast it.
+BROADCAST_ROWS = 100_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,14 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
 def kept_by(df: DataFrame, key: str = "case_id") -> DataFrame:
     """`df` written once as a Parquet table bucketed by `key` below the shared folder, and read from there.
 
-    Joins, windows and aggregations by the key (alone or with other columns) between such tables need no exchange, and Spark
-    knows their sizes. For tables of a case's statements, months, positions and the like; rows of a ledger are aggregated by
+    Joins, windows and aggregations by the key (alone or with other columns) between such tables need no exchange. A table of
+    more than BROADCAST_ROWS rows is merged in joins: Spark knows the sizes of its files alone, and millions of rows in order
+    of a key take few bytes there but hundreds of MB in a broadcast that the driver builds. For tables of a case's statements, months, positions and the like; rows of a ledger are aggregated by
     case before they move instead, so that a case with most of the rows stays spread out. The number of buckets is that of
     shuffle partitions, one file each.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"kept_{uuid.uuid4().hex}"
-    rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/tables/{name}")
+    seen = Observation(name)
+    rows = df.observe(seen, F.count("*").alias("n")).repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/tables/{name}")
     rows.saveAsTable(name)
-    return spark.table(name)
+    kept = spark.table(name)
+    return kept.hint("merge") if seen.get["n"] > BROADCAST_ROWS else kept

@@ -144,12 +144,14 @@ def partial_months_left_out(statements: DataFrame) -> DataFrame:
 
 
 def _of_months(covered: DataFrame, months: DataFrame | None) -> DataFrame:
-    """(case_id, month, start, end): covered spans (or days) cut at the ends of months, of chosen months alone."""
+    """(case_id, month, start, end): covered spans (or days) cut at the ends of months, of chosen months alone. What is joined to
+    them is merged: a span may be many months, which Spark's estimate of their size for a broadcast leaves out."""
     if "day" in covered.columns:
         pieces = covered.select("case_id", month_of(F.col("day")).alias("month"), F.col("day").alias("start"), F.col("day").alias("end"))
     else:
         pieces = by_month(covered)
-    return pieces if months is None else pieces.join(months.select("case_id", "month").distinct(), ["case_id", "month"], "left_semi")
+    chosen = pieces if months is None else pieces.join(months.select("case_id", "month").distinct(), ["case_id", "month"], "left_semi")
+    return chosen.hint("merge")
 
 
 def covered_rows(ledger: DataFrame, covered: DataFrame, months: DataFrame) -> DataFrame:

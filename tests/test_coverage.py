@@ -109,3 +109,20 @@ def test_tables_kept_by_case_meet_without_an_exchange(spark):
         assert exchanges(kept.groupBy("case_id").count().join(months.groupBy("case_id").count(), "case_id")) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_large_tables_kept_by_case_are_merged_not_broadcast(spark, monkeypatch):
+    """Their files are small, since rows of a case repeat: a broadcast of millions of rows would be built in the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    st = spark.createDataFrame(random_periods(5), PERIODS)
+    ledger = spark.createDataFrame([(c, date(2024, 1, 1) + timedelta(d)) for c in range(40) for d in range(0, 200, 7)], "case_id long, date date")
+    small = kept_by(st)
+    assert "BroadcastHashJoin" in plan(small.join(kept_by(ledger.limit(50)), "case_id"))
+    want = sorted(map(str, small.join(ledger, "case_id").collect()))
+    monkeypatch.setattr("ledgerloom.lineage.BROADCAST_ROWS", 20)
+    large = kept_by(st)
+    joined = large.join(ledger, "case_id")
+    assert "Broadcast" not in plan(joined) and sorted(map(str, joined.collect())) == want
+    spans = coverage.covered_spans(st)
+    rows = coverage.covered_rows(ledger, spans, coverage.coverage_summary(spans).where("complete"))
+    assert "BroadcastExchange" not in plan(rows).split("Initial Plan")[0].split("SortMergeJoin")[0] and "SortMergeJoin" in plan(rows)
