@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut_lineage, join_counted
@@ -48,23 +48,27 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _each(edges: DataFrame, *rows: list[Column]) -> DataFrame:
+    """Several rows (a, b) of each row, in the partition that holds it: a union would double the tasks of every stage."""
+    pairs = [F.struct(x.cast("long").alias("a"), y.cast("long").alias("b")) for x, y in rows]
+    return edges.select(F.explode(F.array(*pairs)).alias("_e")).select("_e.a", "_e.b")
+
+
 def _round(edges: DataFrame) -> DataFrame:
     """Large star, then small star: larger neighbours go to the smallest neighbour, then smaller ones do. The hub of a star
     is a hot key: its links are dealt by a broadcast."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    both = _each(edges, [a, b], [b, a])
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
     large = join_counted(both, low, ["a"], "n").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
-    low = large.groupBy("b").agg(F.min("a").alias("low"))
-    near = large.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b"))
-    return near.unionByName(low.select(F.col("low").alias("a"), "b")).where("a <> b").distinct()
+    near = large.withColumn("low", F.min("a").over(Window.partitionBy("b")))
+    return _each(near, [F.col("low"), a], [F.col("low"), b]).where("a <> b").distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every node is either the smallest of its star or linked to just that one."""
-    ends = edges.select(F.col("b").alias("node"), F.col("a").alias("low")).unionByName(
-        edges.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("low"))
-    )
-    seen = ends.groupBy("node").agg(F.min("low").alias("lo"), F.max("low").alias("hi"), F.count("*").alias("n"), F.count("low").alias("leaf"))
+    ends = _each(edges, [F.col("a"), F.col("b")], [F.lit(None), F.col("a")])  # a: the smallest of the star of the node b
+    seen = ends.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n"), F.count("a").alias("leaf"))
     return seen.where("lo <> hi or (leaf > 0 and leaf < n)").isEmpty()
 
 
