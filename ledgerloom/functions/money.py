@@ -15,6 +15,8 @@ SETTING_BOUNDS = {"repayment_term": (1, 24), "credit_score": (300, 900), "months
 def parse_money(c: Column) -> Column:
     """A complete printed cell as decimal(18,2): (x), leading or trailing minus, $, DR, CR and OD suffixes, thousands in
     groups of three, one or two decimals after comma or point. Conflicting signs and odd groups give null."""
+    own = F.trim(c)
+    simple = F.regexp_like(own, F.lit(r"^-?\d{1,16}(\.\d{1,2})?\z"))  # as most are: cast as they stand, without the many patterns below
     text = F.regexp_replace(F.regexp_replace(F.trim(c), "[−–]", "-"), " ", " ")
     suffix = F.upper(F.regexp_extract(text, r"(?i)\s*(DR|CR|OD)$", 1))
     text = F.trim(F.regexp_replace(text, r"(?i)\s*(DR|CR|OD)$", ""))
@@ -32,7 +34,8 @@ def parse_money(c: Column) -> Column:
         point, F.replace(digits, F.lit(","), F.lit(""))
     )
     sign = F.when((minus > 0) | suffix.isin("DR", "OD"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(~stray & ~conflict, (plain.try_cast(CENTS) * sign).cast(CENTS))
+    other = F.when(~stray & ~conflict, (plain.try_cast(CENTS) * sign).cast(CENTS))
+    return F.when(own == "", F.lit(None).cast(CENTS)).when(simple, own.try_cast(CENTS)).otherwise(other)
 
 
 def decimal_value(c: Column) -> Column:

@@ -34,6 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt as `kept_by` keeps it: what is worked out by the key from here on needs no exchange, nor does keeping it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def kept_by(df: DataFrame, key: str = "case_id") -> DataFrame:
     """`df` written once as a Parquet table bucketed by `key` below the shared folder, and read from there.
 

@@ -537,22 +537,22 @@ def r8_r9_r10_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement file for each account, oldest row first; texts with quotes, commas and line breaks; the flaw of a file depends on
     its account's number: 1 a wrong balance, 2 wrong totals, 3 a wrong closing balance, 4 a row of both sides, 5 a second currency."""
-    rows = orders_ledger(spark, sf_dir)
     k = F.element_at(F.split("account_id", ":"), 2).cast("long")
-    account = Window.partitionBy("account_id")
+    rows = orders_ledger(spark, sf_dir).withColumn("source_file", F.concat(k.cast("string"), F.lit(".csv")))
+    account = Window.partitionBy("source_file")
     by_time = account.orderBy("date", "id")
     total = lambda side: F.coalesce(F.sum(F.when(F.col("tx_type") == side, F.col("amount"))).over(account), F.lit(0).cast(CENTS))
     move = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
     own = rows.withColumns({
         "k": k % 7, "seq": F.row_number().over(by_time), "shown": F.sum(move).over(by_time.rowsBetween(Window.unboundedPreceding, 0)), "closing": F.sum(move).over(account),
-        "out": total("debit"), "in": total("credit"), "period_start": F.min("date").over(account), "period_end": F.max("date").over(account), "number": k,
+        "out": total("debit"), "in": total("credit"), "period_start": F.min("date").over(account), "period_end": F.max("date").over(account),
     })
     flaw = lambda kind, when=F.lit(True): F.when((F.col("k") == kind) & when, 1).otherwise(0)
     text = lambda c: c.cast(CENTS).cast("string")
     side = lambda name: F.when((F.col("tx_type") == name) | ((F.col("k") == 4) & (F.col("seq") == 1)), text(F.col("amount"))).otherwise("")
     other = F.when((F.col("k") == 5) & (F.col("seq") == 2), F.when(F.col("currency") == "CAD", "USD").otherwise("CAD")).otherwise(F.col("currency"))
     return own.select(
-        F.concat(F.col("number").cast("string"), F.lit(".csv")).alias("source_file"), "seq", "account_id", other.alias("currency"),
+        "source_file", "seq", "account_id", other.alias("currency"),
         F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), F.lit("0.00").alias("opening_balance"),
         text(F.col("closing") + flaw(3)).alias("closing_balance"), text(F.col("out") + flaw(2)).alias("expected_debits"), text(F.col("in")).alias("expected_credits"),
         F.col("date").cast("string").alias("date"),
@@ -577,7 +577,7 @@ def s1_s10_statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements written as files by the format `statement_csv`, read again by it and verified: a row for each file."""
     spark.dataSource.register(StatementCsv)
     folder = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
-    rows = _statement_rows(spark, sf_dir).repartition("source_file").sortWithinPartitions("source_file", "seq")
+    rows = _statement_rows(spark, sf_dir).sortWithinPartitions("source_file", "seq")  # windows over files have dealt them
     rows.write.format("statement_csv").mode("append").save(folder)
     statements, transactions, findings, rejects = V.verified_statements(spark.read.format("statement_csv").load(folder))
     number = F.regexp_extract("source_file", r"(\d+)\.csv$", 1).cast("long")

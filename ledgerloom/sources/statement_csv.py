@@ -24,13 +24,14 @@ import posixpath
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Row
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Columns of the template; the first eight are the same in every row of a file.
@@ -52,6 +53,7 @@ def records(data: bytes) -> Iterator[list[str]]:
         if missing := [c for c in COLUMNS if c not in names]:
             raise ValueError(f"columns missing: {', '.join(sorted(missing))}")
         places = [names.index(c) for c in COLUMNS]
+        as_is = names == COLUMNS
         found = False
         for fields in lines:
             if not fields:
@@ -59,6 +61,9 @@ def records(data: bytes) -> Iterator[list[str]]:
             if len(fields) > len(names):
                 raise ValueError(f"line {lines.line_num}: {len(fields)} fields under {len(names)} columns")
             found = True
+            if as_is and len(fields) == len(COLUMNS):
+                yield fields
+                continue
             yield [fields[i] if i < len(fields) else "" for i in places]
         if not found:
             raise ValueError("no transactions: a statement without activity needs a review of its own")
@@ -73,10 +78,11 @@ def batch_of(source_file: str, data: bytes) -> pa.RecordBatch:
     sha = hashlib.sha256(data).hexdigest()
     try:
         rows = list(records(data))
-        columns = [[source_file] * len(rows), [sha] * len(rows), range(1, len(rows) + 1), *zip(*rows, strict=True), [None] * len(rows)]
+        n, seq, own, problem = len(rows), range(1, len(rows) + 1), [pa.array(c, pa.string()) for c in zip(*rows, strict=True)], None
     except ValueError as error:
-        columns = [[source_file], [sha], [None], *[[None]] * len(COLUMNS), [str(error)]]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+        n, seq, own, problem = 1, [None], [pa.nulls(1, pa.string())] * len(COLUMNS), str(error)
+    same = lambda x: pa.repeat(pa.scalar(x, pa.string()), n)
+    return pa.RecordBatch.from_arrays([same(source_file), same(sha), pa.array(seq, pa.int32()), *own, same(problem)], schema=_ARROW)
 
 
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -133,24 +139,28 @@ class StatementCsvWriter(DataSourceWriter):
         return posixpath.join(root, "_temporary", self.job)
 
     def write(self, iterator: Iterator[Row]) -> Written:
+        return self._write((row.source_file, [[row[c] for c in COLUMNS]]) for row in iterator)
+
+    def _write(self, pieces: Iterator[tuple[str, Iterable[Sequence[str | None]]]]) -> Written:
+        """Pieces of files: a name and records, null as empty."""
         store, root = open_folder(self.path)
         folder = posixpath.join(self._temporary(root), uuid.uuid4().hex)  # of this attempt
         store.create_dir(folder, recursive=True)
         files: dict[str, str] = {}
         name = out = sink = None
         try:
-            for row in iterator:
-                if row.source_file != name:
+            for own, rows in pieces:
+                if own != name:
                     if sink is not None:
                         sink.close()
-                    name = row.source_file
+                    name = own
                     if not name or "/" in name or name in files:
                         raise ValueError(f"{name}: a file needs a plain name, and its rows must come together")
                     files[name] = posixpath.join(folder, name)
                     sink = io.TextIOWrapper(store.open_output_stream(files[name]), "utf-8", newline="")
                     out = csv.writer(sink)
                     out.writerow(COLUMNS)
-                out.writerow(["" if row[c] is None else row[c] for c in COLUMNS])
+                out.writerows(rows)
         finally:
             if sink is not None:
                 sink.close()
@@ -182,6 +192,21 @@ class StatementCsvWriter(DataSourceWriter):
             store.delete_dir(parent)
 
 
+class StatementCsvArrowWriter(StatementCsvWriter, DataSourceArrowWriter):
+    """The same over Arrow batches: rows of a file are written as a piece, not turned into Rows one by one."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return self._write(piece for batch in iterator for piece in _pieces(batch))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, Iterable[Sequence[str | None]]]]:
+    runs = pc.run_end_encode(batch.column("source_file"))
+    columns, begin = [batch.column(c).to_pylist() for c in COLUMNS], 0
+    for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+        yield name, zip(*[c[begin:end] for c in columns], strict=True)
+        begin = end
+
+
 class StatementCsv(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -201,4 +226,4 @@ class StatementCsv(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> StatementCsvWriter:
         if missing := [c for c in ("source_file", *COLUMNS) if c not in schema.names]:
             raise ValueError(f"columns missing: {', '.join(missing)}")
-        return StatementCsvWriter(self._path(), overwrite)
+        return StatementCsvArrowWriter(self._path(), overwrite)
