@@ -598,11 +598,11 @@ def s10_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three of the named exports of a portfolio, written by case and read again."""
     rows = orders_ledger(spark, sf_dir).select("case_id", "id", "tx_type", "amount")
     frames = {"ledger": rows, "advances": rows.where("tx_type = 'debit'"), "decision_memo": rows.groupBy("case_id").agg(F.max("amount").alias("amount"))}
-    paths = V.write_exports({k: v.repartition("case_id") for k, v in frames.items()}, f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}")
+    paths = V.write_exports(frames, f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}")
     kinds = "case_id long, id long, tx_type string, amount decimal(18,2)"
     read = lambda i, kind, schema: spark.read.schema(schema).option("header", True).format(kind).load(paths[i])
     memo = read(2, "json", "case_id long, memo string").select("case_id", F.from_json("memo", "amount decimal(18,2)").alias("m")).select("case_id", "m.amount")
-    parts = [(read(0, "json", kinds), "ledger"), (read(1, "csv", "id long, tx_type string, amount decimal(18,2), case_id long"), "advances"), (memo, "decision_memo")]
+    parts = [(read(0, "json", kinds), "ledger"), (read(1, "csv", kinds), "advances"), (memo, "decision_memo")]
     shown = [df.groupBy("case_id").agg(F.count("*").alias("rows"), F.sum("amount").cast(CENTS).alias("amount")).withColumn("export", F.lit(name)) for df, name in parts]
     return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
