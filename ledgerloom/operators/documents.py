@@ -3,6 +3,11 @@ tables; every rule is a condition over columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from ledgerloom.functions.text import bound, compact
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,13 +242,47 @@ def integrity_flags(docs: DataFrame, chars: DataFrame | None = None) -> DataFram
     return found.unionByName(over.select("doc_id").distinct().withColumn("code", F.lit("OVERLAPPING_DIGITS")))
 
 
+def _tenth(c: Column) -> Column:
+    """round(c, 1) of a double: plain arithmetic but near ties and for very large numbers, where a tenth isn't told so."""
+    y = c * 10
+    plain = (F.abs(y) < 1e12) & (F.abs(y - F.floor(y) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(y + 0.5) / 10.0).otherwise(F.round(c, 1))
+
+
+#: A whole amount; as elsewhere a line break may follow it.
+_AMOUNT = r"^\$?\d{1,3}(,\d{3})*\.\d{2}(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"
+
+
+def _single_amounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (three keys and their sorted glyphs) as the one amount that each has; other lines go."""
+    for batch in batches:
+        glyphs = batch.column(3)
+        line = np.repeat(np.arange(len(glyphs)), pc.list_value_length(glyphs).to_numpy(zero_copy_only=False))
+        flat = glyphs.flatten()
+        new = np.diff(line, prepend=-1) != 0
+        for c in ("t", "s"):
+            known, x = flat.field(c).is_valid().to_numpy(zero_copy_only=False), flat.field(c).to_numpy(zero_copy_only=False)
+            new[1:] |= (known[1:] != known[:-1]) | ((x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1])))
+        starts = np.flatnonzero(new)
+        groups = pa.ListArray.from_arrays(pa.array(np.append(starts, len(line)), pa.int32()), pc.fill_null(flat.field("text"), ""))
+        cells = pc.binary_join(groups, "")
+        amount = pc.match_substring_regex(cells, _AMOUNT)
+        owner, cells = line[starts][amount.to_numpy(zero_copy_only=False)], cells.filter(amount)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(first):
+            before = np.repeat(first, np.diff(np.append(first, len(owner))))
+            one = first[np.logical_and.reduceat(pc.equal(cells, cells.take(pa.array(before))).to_numpy(zero_copy_only=False), first)]
+            at = pa.array(owner[one])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), cells.take(pa.array(one))], [*batch.schema.names[:3], "cell"])
+
+
 def glyph_cells(chars: DataFrame) -> DataFrame:
-    """Money values of glyph groups (rounded top and size) near a line, taken only if a line has exactly one."""
-    groups = chars.groupBy("doc_id", "page", "line", F.round("top", 1).alias("t"), F.round("size", 1).alias("s")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]), "").alias("cell")
-    )
-    money = groups.where(F.regexp_like("cell", F.lit(r"^\$?\d{1,3}(,\d{3})*\.\d{2}$")))
-    return money.groupBy("doc_id", "page", "line").agg(F.count_distinct("cell").alias("n"), F.min("cell").alias("cell")).where("n = 1").drop("n")
+    """Money values of glyph groups (rounded top and size) near a line, taken only if a line has exactly one. The glyphs of
+    a line are gathered once, in order, and cut into groups where they are."""
+    glyph = F.struct(_tenth(F.col("top").cast("double")).alias("t"), _tenth(F.col("size").cast("double")).alias("s"), "x0", "text")
+    own = chars.select("doc_id", "page", "line", glyph.alias("glyph"))  # worked out before: what is collected isn't compiled
+    lines = own.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list("glyph")).alias("glyphs"))
+    return lines.mapInArrow(_single_amounts, lines.select("doc_id", "page", "line", F.lit("").alias("cell")).schema)
 
 
 def verified_dates(rows: DataFrame, printed: DataFrame) -> DataFrame:

@@ -701,11 +701,11 @@ SELECT doc_id, 1 AS page, line, min(cell) AS cell FROM three GROUP BY doc_id, li
 def d12_glyph_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts printed glyph by glyph, two order lines near one line of text: one amount is taken, two are not. Words beside
     them are no amounts."""
-    lines = table(spark, sf_dir, "lineitem")
     cell = F.format_string("%d.%02d", (F.col("l_quantity") * 13).cast("int") % 900, F.col("l_orderkey") % 100)
-    glyphs = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(F.split(cell, "")).alias("i", "text"), F.lit(8.0).alias("size"))
-    other = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(F.split(F.concat("l_returnflag", "l_linestatus"), "")).alias("i", "text"), F.lit(6.0).alias("size"))
-    chars = glyphs.unionByName(other).where("text <> ''").select(
+    printed = F.array(F.struct(cell.alias("text"), F.lit(8.0).alias("size")), F.struct(F.concat("l_returnflag", "l_linestatus").alias("text"), F.lit(6.0).alias("size")))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode(printed).alias("p"))
+    glyphs = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(F.split("p.text", "")).alias("i", "text"), "p.size")
+    chars = glyphs.where("text <> ''").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.floor(F.col("l_linenumber") / 2).alias("line"), ((F.col("l_linenumber") * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000 + F.col("i") * 0.001).alias("top"),
         (F.col("i") * 5.0).alias("x0"), "size", "text",
     )
