@@ -45,11 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
 HOT_PART = 1024
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int | None = None) -> DataFrame:
     """`rows` joined to `keyed`, which has one row for each key of `rows`, with the number of its rows in a column `count`
-    (dropped). Hot keys are broadcast, HOT_PART of them at most, so no task joins all rows of one."""
-    keyed = cut_lineage(keyed)
-    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    (dropped). Hot keys are broadcast, HOT_PART of them at most, so no task joins all rows of one. `total`: the number of
+    all rows, where it is known; `keyed` isn't written then."""
+    if total is None:
+        keyed = cut_lineage(keyed)
+        total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.col(count) >= max(1, total // HOT_PART)
     often = F.broadcast(keyed.where(hot).drop(count))
     rest = rows.join(F.broadcast(keyed.where(hot).select(*on)), on, "left_anti")

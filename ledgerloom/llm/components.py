@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut_lineage, join_counted
+from ledgerloom.llm.common import cut_lineage, join_counted, shuffle_parts
 
 #: Links that a task joins at once.
 AT_ONCE = 1 << 20
+#: Links that make a task of its own worth while: fewer in each of many tasks are gathered before they go through rounds.
+GATHER = 1 << 18
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,22 +56,29 @@ def _each(edges: DataFrame, *rows: list[Column]) -> DataFrame:
     return edges.select(F.explode(F.array(*pairs)).alias("_e")).select("_e.a", "_e.b")
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _hubs(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links both ways, and for each node `a` its smallest and largest neighbour and the number of its links."""
+    both = _each(edges, [F.col("a"), F.col("b")], [F.col("b"), F.col("a")])
+    return both, both.groupBy("a").agg(F.min("b").alias("first"), F.max("b").alias("last"), F.count("*").alias("n"))
+
+
+def _round(edges: DataFrame, links: int | None = None) -> DataFrame:
     """Large star, then small star: larger neighbours go to the smallest neighbour, then smaller ones do. The hub of a star
-    is a hot key: its links are dealt by a broadcast."""
+    is a hot key: its links are dealt by a broadcast. links: their number, where it is known."""
     a, b = F.col("a"), F.col("b")
-    both = _each(edges, [a, b], [b, a])
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
-    large = join_counted(both, low, ["a"], "n").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
+    both, hubs = _hubs(edges)
+    low = hubs.select("a", F.least("first", "a").alias("low"), "n")
+    large = join_counted(both, low, ["a"], "n", None if links is None else 2 * links)
+    large = large.where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()
     near = large.withColumn("low", F.min("a").over(Window.partitionBy("b")))
     return _each(near, [F.col("low"), a], [F.col("low"), b]).where("a <> b").distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node is either the smallest of its star or linked to just that one."""
-    ends = _each(edges, [F.col("a"), F.col("b")], [F.lit(None), F.col("a")])  # a: the smallest of the star of the node b
-    seen = ends.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("n"), F.count("a").alias("leaf"))
-    return seen.where("lo <> hi or (leaf > 0 and leaf < n)").isEmpty()
+def _open(edges: DataFrame) -> tuple[int, bool]:
+    """The number of links (a < b), and whether any node is neither the smallest of its star nor linked to just that one."""
+    loose = (F.col("first") < F.col("a")) & (F.col("first") < F.col("last"))
+    n, left = _hubs(edges)[1].agg(F.sum("n"), F.max(loose)).first()
+    return (n or 0) // 2, bool(left)
 
 
 def components(links: DataFrame, as_stars: bool = False) -> DataFrame:
@@ -77,11 +86,17 @@ def components(links: DataFrame, as_stars: bool = False) -> DataFrame:
     component is the smallest node that can be reached. Links of a node to itself, in both directions or repeated change
     nothing; without links there are no rows.
 
-    Tasks join the links that they hold, up to AT_ONCE at a time, so only what is spread over tasks is left to rounds of
-    a few shuffles; their number grows with the logarithm of the longest chain at most. Each round is written to the
-    checkpoint folder, so a lost executor costs one round at most. as_stars: tasks have joined these links already.
+    Tasks join the links that they hold, up to AT_ONCE at a time. Many partitions of few links are gathered, a task for
+    every GATHER links, and joined again, so only what is spread over such tasks is left to rounds of a few shuffles; their
+    number grows with the logarithm of the longest chain at most. Each pass is written to the checkpoint folder, so a
+    lost executor costs one pass at most. as_stars: tasks have joined these links already.
     """
     edges = cut_lineage(links.select("a", "b") if as_stars else links.select("a", "b").mapInArrow(joined, "a long, b long"))
-    while not _settled(edges):
-        edges = cut_lineage(_round(edges).mapInArrow(joined, "a long, b long"))
+    gathered = False
+    while (state := _open(edges))[1]:
+        tasks = -(-state[0] // GATHER)
+        gathered = not gathered and tasks < shuffle_parts(edges.sparkSession)
+        edges = cut_lineage((edges.coalesce(tasks) if gathered else _round(edges, state[0])).mapInArrow(joined, "a long, b long"))
+        if gathered and tasks == 1:
+            break
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))

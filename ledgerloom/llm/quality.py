@@ -94,15 +94,6 @@ class Rule:
             out &= (x[:, k] > low) & (x[:, k] <= high)
         return out
 
-    def column(self, values: Column) -> Column:
-        out = F.lit(True)
-        for k, low, high in self.bounds:
-            if low > -math.inf:
-                out = out & (values[k] > F.lit(low))
-            if high < math.inf:
-                out = out & (values[k] <= F.lit(high))
-        return out
-
 
 @dataclass(frozen=True)
 class RuleEnsemble:
@@ -110,10 +101,24 @@ class RuleEnsemble:
     rules: tuple[tuple[float, Rule], ...]
 
     def column(self, values: Column) -> Column:
-        """Score of an array of STATISTICS, 0 to 1."""
+        """Score of an array of STATISTICS, 0 to 1. Weights and bounds are literal arrays that one expression runs over: with a
+        branch for each rule, planning and compiling it took more of the driver's memory than anything else."""
         total = F.lit(self.intercept)
-        for weight, rule in self.rules:
-            total = total + F.when(rule.column(values), F.lit(weight)).otherwise(F.lit(0.0))
+        if self.rules:
+            wide = max(len(r.bounds) for _, r in self.rules)
+            padded = [[*r.bounds, *[(0, -math.inf, math.inf)] * (wide - len(r.bounds))] for _, r in self.rules]
+            table = [np.array([w for w, _ in self.rules], dtype=float)]
+            for j in range(wide):
+                table += [np.array(c, dtype=t) for c, t in zip(zip(*(b[j] for b in padded), strict=True), (np.int32, float, float), strict=True)]
+
+            def add(so_far: Column, rule: Column) -> Column:
+                holds = F.lit(True)
+                for j in range(1, len(table), 3):
+                    value = values[rule[str(j)]]
+                    holds = holds & (value > rule[str(j + 1)]) & (value <= rule[str(j + 2)])
+                return so_far + F.when(holds, rule["0"]).otherwise(F.lit(0.0))
+
+            total = F.aggregate(F.arrays_zip(*(F.lit(c) for c in table)), total, add)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
